@@ -137,13 +137,14 @@ def add_persistence(df: DataFrame, cols: Sequence[str] = PERSISTENCE_VARS, round
 
 
 def time_features(df: DataFrame, *, windows: Sequence[str] = tuple(WINDOWS), cols: Sequence[str] = MEASURES,
-                  lags: Sequence[int] = LAGS, persistence: bool = True, seconds: int = FOUR_DAYS) -> DataFrame:
+                  lags: Sequence[int] = LAGS, persistence: bool = True, ref: str = "1h",
+                  seconds: int = FOUR_DAYS) -> DataFrame:
     """Lags, rolling, rates, deviations, interactions and persistence with one main exchange."""
     span = max(WINDOWS[w] for w in windows)
     out = prepare(df, rows=max(3, *lags) if lags else 2, span=span, seconds=seconds)
     if lags:
         out = add_lags(out, cols, lags)
-    out = add_interactions(add_deviations(add_rates(add_rolling(out, cols, windows), cols)))
+    out = add_interactions(add_deviations(add_rates(add_rolling(out, cols, windows), cols), ref=ref), ref)
     if persistence:
         out = mark_changes(out)
     out = drop_halo(out, US)

@@ -64,16 +64,16 @@ PERSISTENCE_NAMES = [f"{c}_duration_unchanged_minutes" for c in ft.PERSISTENCE_V
 PERSISTENCE_INTS = [f"{c}_{s}" for c in ft.PERSISTENCE_VARS for s in ("consecutive_unchanged_count", "rounded_unchanged_count")]
 
 
-def deviation_cte():
+def deviation_cte(ref="1h"):
     out = []
     for c in ft.PERSISTENCE_VARS:
-        m, s = f"{c}_rolling_mean_1h", f"{c}_rolling_std_1h"
-        out += [f"{c} - {m} AS {c}_deviation_from_mean_1h",
-                f"CASE WHEN abs({m}) > 0.1 THEN ({c} - {m}) / {m} * 100.0 END AS {c}_pct_deviation_1h",
-                f"CASE WHEN {s} > 1e-6 THEN ({c} - {m}) / {s} END AS {c}_zscore_1h"]
+        m, s = f"{c}_rolling_mean_{ref}", f"{c}_rolling_std_{ref}"
+        out += [f"{c} - {m} AS {c}_deviation_from_mean_{ref}",
+                f"CASE WHEN abs({m}) > 0.1 THEN ({c} - {m}) / {m} * 100.0 END AS {c}_pct_deviation_{ref}",
+                f"CASE WHEN {s} > 1e-6 THEN ({c} - {m}) / {s} END AS {c}_zscore_{ref}"]
     def scaled(c):
-        return f"CASE WHEN {c}_rolling_std_1h <> 0.0 THEN {c}_delta / ({c}_rolling_std_1h + 1e-6) END"
-    norm = " + ".join(f"pow(coalesce({c}_zscore_1h, 0.0), 2)" for c in ft.PERSISTENCE_VARS)
+        return f"CASE WHEN {c}_rolling_std_{ref} <> 0.0 THEN {c}_delta / ({c}_rolling_std_{ref} + 1e-6) END"
+    norm = " + ".join(f"pow(coalesce({c}_zscore_{ref}, 0.0), 2)" for c in ft.PERSISTENCE_VARS)
     return (f"deviated AS (SELECT *, {', '.join(out)} FROM rated),\n"
             f"interacted AS (SELECT *, temperature_c - dew_point_c AS dew_point_spread_c, "
             f"{TEMP}_delta * {RH}_delta AS temp_rh_delta_interaction, {scaled(TEMP)} - {scaled(RH)} AS joint_temp_rh_divergence, "
@@ -101,9 +101,9 @@ def _q(fn):
 
 
 def departures(obs):
-    out = ft.time_features(obs, windows=("1h",), cols=[TEMP, RH, SLP], lags=(), persistence=False)
-    return out.filter(F.abs(f"{TEMP}_zscore_1h") >= 1.5).select(
-        *ID, TEMP, f"{TEMP}_rolling_mean_1h", f"{TEMP}_zscore_1h", f"{TEMP}_rate_per_hour")
+    out = ft.time_features(obs, windows=("6h",), cols=[TEMP, RH, SLP], lags=(), persistence=False, ref="6h")
+    return out.filter(F.abs(f"{TEMP}_zscore_6h") >= 1.5).select(
+        *ID, TEMP, f"{TEMP}_rolling_mean_6h", f"{TEMP}_zscore_6h", f"{TEMP}_rate_per_hour")
 
 
 def elapsed_and_rates(obs):
@@ -149,7 +149,7 @@ def _idcols(names):
 
 
 QUERIES = {
-    "departures_from_last_hour": _q(departures),
+    "departures_from_recent_mean": _q(departures),
     "calendar_features": _q(lambda o: ft.calendar_features(o).select("event_id", *ID, *CAL)),
     "lag_features": _q(lags),
     "rolling_window_features": _q(rolling),
@@ -162,9 +162,9 @@ QUERIES = {
 }
 
 ORACLES = {
-    "departures_from_last_hour": oracle(
-        f"{_idcols([TEMP, TEMP + '_rolling_mean_1h', TEMP + '_zscore_1h', TEMP + '_rate_per_hour'])} FROM deviated WHERE abs({TEMP}_zscore_1h) >= 1.5",
-        roll_cte(["1h"]), rate_cte(), deviation_cte(), doubles=[f"{TEMP}_rolling_mean_1h", f"{TEMP}_zscore_1h", f"{TEMP}_rate_per_hour"]),
+    "departures_from_recent_mean": oracle(
+        f"{_idcols([TEMP, TEMP + '_rolling_mean_6h', TEMP + '_zscore_6h', TEMP + '_rate_per_hour'])} FROM deviated WHERE abs({TEMP}_zscore_6h) >= 1.5",
+        roll_cte(["6h"]), rate_cte(), deviation_cte("6h"), doubles=[f"{TEMP}_rolling_mean_6h", f"{TEMP}_zscore_6h", f"{TEMP}_rate_per_hour"]),
     "calendar_features": oracle(
         f"""SELECT event_id, station_id, obs_ts, hour(obs_ts) AS hour, minute(obs_ts) AS minute, dayofyear(obs_ts) AS day_of_year,
         month(obs_ts) AS month, isodow(obs_ts) - 1 AS day_of_week,
