@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values -------------------------------------------------------------
@@ -35,19 +35,35 @@ def clean_number(x: Column | str) -> Column:
     return F.when(~bad, n)
 
 
-def scaled_field(x: Column | str, scale: float = 10.0) -> Column:
-    """``"+0108,1"`` -> struct(value 10.8, qc "1"); sentinels are null, bad numbers have QC 3."""
-    raw = unquoted(x)
-    head = F.trim(F.split_part(raw, F.lit(","), F.lit(1)))
-    flag = F.trim(F.split_part(raw, F.lit(","), F.lit(2)))
-    blank = raw.isNull() | (raw == "")
-    missing = (head == "") | head.isin(ISD_MISSING_TEXT)
-    number = head.try_cast("double")
-    sentinel = number.isin(ISD_MISSING_NUMBERS)
-    unreadable = ~blank & ~missing & number.isNull()
-    qc = F.when(unreadable, "3").when(blank | (flag == ""), "9").otherwise(flag)
-    value = F.when(~blank & ~missing & ~sentinel, F.round(number / scale, 2))
-    return F.struct(value.alias("value"), qc.alias("qc"))
+def add_scaled_fields(df: DataFrame, fields: dict[str, str], scale: float = 10.0) -> DataFrame:
+    """``"+0108,1"`` -> ``<name>_value`` 10.8 and ``<name>_qc`` "1", for each name: text column.
+
+    Sentinels are null; bad numbers have QC 3. The steps are separate projections and end in a
+    generator, so a filter on a parsed value does not repeat the parsing once per reference.
+    """
+    kept = df.columns
+    df = df.withColumns({f"_{n}_raw": unquoted(c) for n, c in fields.items()})
+    df = df.withColumns(
+        {k: v for n in fields for k, v in {
+            f"_{n}_head": F.trim(F.split_part(F.col(f"_{n}_raw"), F.lit(","), F.lit(1))),
+            f"_{n}_flag": F.trim(F.split_part(F.col(f"_{n}_raw"), F.lit(","), F.lit(2))),
+        }.items()})
+    df = df.withColumns({f"_{n}_number": F.col(f"_{n}_head").try_cast("double") for n in fields})
+    out = []
+    for n in fields:
+        head, flag, number = (F.col(f"_{n}_{x}") for x in ("head", "flag", "number"))
+        blank = F.coalesce(F.col(f"_{n}_raw"), F.lit("")) == ""
+        missing = (head == "") | head.isin(ISD_MISSING_TEXT)
+        unreadable = ~blank & ~missing & number.isNull()
+        value = F.when(~blank & ~missing & ~number.isin(ISD_MISSING_NUMBERS), F.round(number / scale, 2))
+        qc = F.when(unreadable, "3").when(blank | (flag == ""), "9").otherwise(flag)
+        out += [value.alias(f"{n}_value"), qc.alias(f"{n}_qc")]
+    return pin(df, out).select(*kept, *[f"{n}_{x}" for n in fields for x in ("value", "qc")])
+
+
+def pin(df: DataFrame, computed: list[Column]) -> DataFrame:
+    """Adds columns through a generator, which later filters and projections are not merged into."""
+    return df.select("*", F.inline(F.array(F.struct(*computed))))
 
 
 def qc_status(code: Column | str) -> Column:

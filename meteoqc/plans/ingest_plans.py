@@ -40,9 +40,9 @@ def scaled_fields(obs):
     text = isd.as_text(obs).select("STATION", "TMP", "SLP", "MA1")
     # damaged variants of the same field, chosen by content
     broken = F.when(F.col("TMP").endswith("0,1"), F.concat(F.lit("x"), F.col("TMP"))).when(F.col("TMP").endswith("5,1"), F.lit("")).otherwise(F.col("TMP"))
-    f = tx.scaled_field(broken)
-    return text.select("STATION", "TMP", f["value"].alias("value"), f["qc"].alias("qc"), tx.qc_status(f["qc"]).alias("status")).groupBy("status", "qc").agg(
-        F.count(F.lit(1)).alias("n"), F.count("value").alias("with_value"), F.sum("value").alias("total"))
+    f = tx.add_scaled_fields(text.withColumn("broken", broken), {"x": "broken"})
+    return f.groupBy(tx.qc_status("x_qc").alias("status"), F.col("x_qc").alias("qc")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("x_value").alias("with_value"), F.sum("x_value").alias("total"))
 
 
 def generic_csv(obs):

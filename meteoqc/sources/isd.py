@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meteoqc.functions.physics import relative_humidity
-from meteoqc.functions.text import scaled_field, unquoted
+from meteoqc.functions.text import add_scaled_fields, pin, unquoted
 from meteoqc.functions.timefn import parse_timestamp
 from meteoqc.operators.quality import report_types, rolled_up_status, with_reject_reasons
 from meteoqc.schema import DEW, KEY, RH, SLP, STNP, TEMP, TS
@@ -27,14 +27,16 @@ def scan(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return df
 
 
-def _station_pressure(has_stp: bool):
+def _station_pressure():
+    """(value, qc) from the first pair of MA1, else from STP; both must be plausible."""
     ma1 = F.split(unquoted("MA1"), ",")
-    number = F.trim(F.get(ma1, F.lit(0))).try_cast("double") / 10.0
-    flag = F.trim(F.get(ma1, F.lit(1)))
-    first = F.when(number.between(300.0, 1080.0), F.struct(F.round(number, 2).alias("value"), flag.alias("qc")))
-    stp = scaled_field("STP")
-    second = F.when(stp["value"].between(300.0, 1080.0), stp)
-    return F.coalesce(first, second) if has_stp else first
+    number, flag = F.trim(F.get(ma1, F.lit(0))).try_cast("double") / 10.0, F.trim(F.get(ma1, F.lit(1)))
+    first = number.between(300.0, 1080.0) & flag.isNotNull()
+    second = F.col("p_value").between(300.0, 1080.0)
+    return [
+        F.when(first, F.round(number, 2)).when(second, F.col("p_value")).alias("stn_value"),
+        F.when(first, flag).when(second, F.col("p_qc")).alias("stn_qc"),
+    ]
 
 
 def normalise(df: DataFrame, *, wanted_types: Sequence[str] | None = None, default_station: str = "UNKNOWN_STATION",
@@ -43,8 +45,8 @@ def normalise(df: DataFrame, *, wanted_types: Sequence[str] | None = None, defau
     if not df.columns:
         return df
     df = df.withColumns({c: F.lit(None).cast("string") for c in TEXT_COLUMNS if c not in df.columns})
-    t, d, s, p = scaled_field("TMP"), scaled_field("DEW"), scaled_field("SLP"), _station_pressure(True)
-    df = df.withColumns({"_t": t, "_d": d, "_s": s, "_p": p})
+    df = pin(add_scaled_fields(df, {"t": "TMP", "d": "DEW", "s": "SLP", "p": "STP"}), _station_pressure())
+    df = pin(df, [relative_humidity("t_value", "d_value", clamp_rh).alias("_rh")])
 
     def text(c):
         return F.nullif(unquoted(c), F.lit(""))
@@ -52,10 +54,10 @@ def normalise(df: DataFrame, *, wanted_types: Sequence[str] | None = None, defau
     lat, lon = unquoted("LATITUDE").try_cast("double"), unquoted("LONGITUDE").try_cast("double")
     located = lat.isNotNull() & lon.isNotNull()
     elevation = F.when(unquoted("ELEVATION") != "-999.9", unquoted("ELEVATION").try_cast("double"))
-    rh = relative_humidity("_t.value", "_d.value", clamp_rh)
+    rh = F.col("_rh")
     flags = F.map_filter(
-        F.create_map(F.lit("TMP_QC"), F.col("_t.qc"), F.lit("DEW_QC"), F.col("_d.qc"), F.lit("SLP_QC"), F.col("_s.qc"),
-                     F.lit("STP_QC"), F.col("_p.qc"), F.lit("RECORD_QC"), unquoted("QUALITY_CONTROL")),
+        F.create_map(F.lit("TMP_QC"), F.col("t_qc"), F.lit("DEW_QC"), F.col("d_qc"), F.lit("SLP_QC"), F.col("s_qc"),
+                     F.lit("STP_QC"), F.col("stn_qc"), F.lit("RECORD_QC"), unquoted("QUALITY_CONTROL")),
         lambda _, v: v.isNotNull(),
     )
     out = df.select(
@@ -65,12 +67,12 @@ def normalise(df: DataFrame, *, wanted_types: Sequence[str] | None = None, defau
         F.when(located, lat).otherwise(0.0).alias("latitude"),
         F.when(located, lon).otherwise(0.0).alias("longitude"),
         elevation.alias("elevation_m"),
-        F.col("_t.value").alias(TEMP), F.col("_d.value").alias(DEW), F.col("_s.value").alias(SLP),
-        F.col("_p.value").alias(STNP), rh.alias(RH),
+        F.col("t_value").alias(TEMP), F.col("d_value").alias(DEW), F.col("s_value").alias(SLP),
+        F.col("stn_value").alias(STNP), rh.alias(RH),
         F.when(rh.isNotNull(), "derived_from_temperature_and_dew_point").alias("relative_humidity_source"),
         F.lit("NOAA_ISD").alias("source"), text("REPORT_TYPE").alias("report_type"),
         flags.alias("raw_quality_flags"),
-        rolled_up_status([(F.col(f"{v}.value"), F.col(f"{v}.qc")) for v in ("_t", "_d", "_s")]).alias("data_quality_status"),
+        rolled_up_status([(F.col(f"{v}_value"), F.col(f"{v}_qc")) for v in ("t", "d", "s")]).alias("data_quality_status"),
         F.lit(False).alias("is_synthetic"),
     )
     if wanted_types:
