@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 from meteoqc.sources.tables import OBS_SQL
 
 DIGITS = 6
+#: moves values off exact rounding ties, where two engines may legitimately disagree
+NUDGE = 1e-9
 
 
 def publish(df: DataFrame, digits: int = DIGITS) -> DataFrame:
@@ -17,7 +19,7 @@ def publish(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c, digits) + F.lit(0.0)
+            c = F.round(c + NUDGE, digits) + F.lit(0.0)
         elif isinstance(f.dataType, T.TimestampType):
             c = c.cast("timestamp_ntz")
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
@@ -29,6 +31,6 @@ def publish(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 def oracle(select: str, *ctes: str, doubles: list[str] | tuple[str, ...] = (), ints=(), digits: int = DIGITS) -> str:
     """Oracle text: shared CTEs, the query, and the same output rounding as ``publish``."""
     parts = ",\n".join([OBS_SQL, *ctes, f"result AS (\n{select}\n)"])
-    swaps = [f"round({c}, {digits}) + 0.0 AS {c}" for c in doubles] + [f"CAST({c} AS BIGINT) AS {c}" for c in ints]
+    swaps = [f"round({c} + 1e-9::DOUBLE, {digits}) + 0.0 AS {c}" for c in doubles] + [f"CAST({c} AS BIGINT) AS {c}" for c in ints]
     star = f"* REPLACE ({', '.join(swaps)})" if swaps else "*"
     return f"WITH {parts}\nSELECT {star} FROM result"
