@@ -197,10 +197,13 @@ def as_of(
     payload: Sequence[str],
     name: str = "match",
     forward: bool = False,
+    strict: bool = False,
     seconds: int = FOUR_DAYS,
 ) -> DataFrame:
     """Latest ``build`` row at or before (``forward``: first at or after) each probe, same ``key``.
 
+    ``strict`` leaves out build rows at the probe's own time.
+
     One union, one exchange on (key, chunk): the build side is not multiplied by the number of
     probes that look at it. Returns the probes with a struct ``name`` of ``payload``.
     """
@@ -211,6 +214,6 @@ def as_of(
     both = both.withColumns({CHUNK: chunk_of(ts, seconds), "_at": F.unix_micros(ts)})
     if forward:
         both = both.withColumns({CHUNK: -F.col(CHUNK), "_at": -F.col("_at")})
-    both = both.withColumn("_side", F.when(F.col("_probe").isNull(), 0).otherwise(1))
+    both = both.withColumn("_side", F.when(F.col("_probe").isNull(), 0).otherwise(-1 if strict else 1))
     found = scan(both, {name: ("last", F.col("_item"))}, key=[key], order=["_at", "_side"])
-    return found.filter(F.col("_side") == 1).select("_probe.*", name)
+    return found.filter(F.col("_side") != 0).select("_probe.*", name)

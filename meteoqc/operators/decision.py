@@ -166,7 +166,7 @@ def evidence_inputs(obs: DataFrame, edges: DataFrame, ref: str = "24h", net: Net
     feats = time_features(obs, windows=(ref,), cols=[TEMP, RH, SLP], lags=(), ref=ref).withColumn("score", zscore_score(ref))
     around = spatial_context(obs, edges, net).select(
         KEY, TS, "valid_neighbors", "stale_neighbors", "context_category", "coherence", "temp_similar", "temp_minus_mean", "temp_zscore",
-        *[f"{v}_{s}" for v in ("temp", "rh", "slp") for s in ("idw", "n", "std")], "valid_mean_km")
+        *[f"{v}_{s}" for v in ("temp", "rh", "slp") for s in ("idw", "n", "std", "km")])
     return feats.join(around, [KEY, TS], "left")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meteoqc.functions.numeric import steady_round
 from meteoqc.operators.chunks import CHUNK, FOUR_DAYS, chunk_window, drop_halo, scan, with_chunk, with_halo
 from meteoqc.schema import DEW, KEY, RH, SLP, STNP, TEMP, TS
 
@@ -37,11 +38,11 @@ def variable_profile(df: DataFrame, cols: Sequence[str] = PROFILED) -> DataFrame
     variance = F.greatest(F.col("_sq") / F.col("count_valid") - F.pow("_mean", F.lit(2.0)), F.lit(0.0))
     return agg.select(
         KEY, "variable", "count_valid",
-        F.round((F.col("total") - F.col("count_valid")) / F.col("total") * 100.0, 2).alias("missing_pct"),
-        F.round("min", 2).alias("min"), F.round("max", 2).alias("max"), F.round("_mean", 2).alias("mean"),
-        F.round(F.when(F.col("count_valid") > 0, F.sqrt(variance)), 2).alias("std"),
-        F.round(F.get("_q", F.lit(1)), 2).alias("median"), F.round(F.get("_q", F.lit(0)), 2).alias("q25"),
-        F.round(F.get("_q", F.lit(2)), 2).alias("q75"),
+        steady_round((F.col("total") - F.col("count_valid")) / F.col("total") * 100.0, 2).alias("missing_pct"),
+        steady_round("min", 2).alias("min"), steady_round("max", 2).alias("max"), steady_round("_mean", 2).alias("mean"),
+        steady_round(F.when(F.col("count_valid") > 0, F.sqrt(variance)), 2).alias("std"),
+        steady_round(F.get("_q", F.lit(1)), 2).alias("median"), steady_round(F.get("_q", F.lit(0)), 2).alias("q25"),
+        steady_round(F.get("_q", F.lit(2)), 2).alias("q75"),
     )
 
 

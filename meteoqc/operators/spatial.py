@@ -161,7 +161,7 @@ def _consensus(v: str, net: Network) -> list[Column]:
         F.coalesce(share(d < -trend, d), F.lit(0.0)).alias(f"{v}_falling"),
         F.coalesce(share(F.abs(d) <= trend, d), F.lit(0.0)).alias(f"{v}_stable"),
         F.count(d).alias(f"{v}_trend_n"),
-        (F.sum(w * x) / F.sum(w)).alias(f"{v}_idw"),
+        (F.sum(w * x) / F.sum(w)).alias(f"{v}_idw"), F.avg(F.when(x.isNotNull(), F.col("distance_km"))).alias(f"{v}_km"),
     ]
 
 

@@ -143,7 +143,7 @@ ev AS (SELECT p.event_id AS eid, p.station_id, p.obs_ts, p.temperature_c, p.rela
   coalesce(abs(temperature_c_rate_per_minute) > 0.5, FALSE) AS rate_abnormal,
   coalesce(dew_point_c > temperature_c + 0.2, FALSE) OR coalesce(abs({rh_sql('temperature_c', 'dew_point_c')} - relative_humidity_pct) > 15, FALSE) AS humidity_inconsistent,
   coalesce(context_category, 'INSUFFICIENT_CONTEXT') AS category, c.temp_minus_mean AS minus_mean, c.temp_zscore AS sz,
-  c.temp_idw, c.rh_idw, c.slp_idw, c.temp_n, c.rh_n, c.slp_n, c.temp_std, c.rh_std, c.slp_std, c.valid_mean_km, c.valid_neighbors
+  c.temp_idw, c.rh_idw, c.slp_idw, c.temp_n, c.rh_n, c.slp_n, c.temp_std, c.rh_std, c.slp_std, c.temp_km, c.rh_km, c.slp_km, p.station_pressure_hpa, p.dew_point_c, p.elevation_m, c.valid_neighbors
   FROM persisted p LEFT JOIN context c USING (station_id, obs_ts))"""
 STRONG = "(score >= 0.65)"
 ACT = "CASE decision " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in dc.ACTIONS.items()) + " END"

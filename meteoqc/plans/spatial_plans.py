@@ -69,7 +69,8 @@ def consensus_cte() -> str:
                 f"{share(f'({x}) > {v} + {tol}', x)} AS {v}_higher", f"{share(f'({x}) < {v} - {tol}', x)} AS {v}_lower",
                 f"{share(f'abs(({x}) - {v}) <= {tol}', x)} AS {v}_similar", f"{share(f'({d}) > {tr}', d)} AS {v}_rising",
                 f"{share(f'({d}) < -{tr}', d)} AS {v}_falling", f"{share(f'abs({d}) <= {tr}', d)} AS {v}_stable",
-                f"count({d}) AS {v}_trend_n", f"sum(({w}) * n_{v}) / sum({w}) AS {v}_idw"]
+                f"count({d}) AS {v}_trend_n", f"sum(({w}) * n_{v}) / sum({w}) AS {v}_idw",
+                f"avg(CASE WHEN ({x}) IS NOT NULL THEN distance_km END) AS {v}_km"]
         off = f"({v} - {v}_mean)"
         agree = (f"CASE WHEN d_{v} > {tr} THEN {v}_rising - {v}_falling WHEN d_{v} < -{tr} THEN {v}_falling - {v}_rising "
                  f"ELSE {v}_stable - ({v}_rising + {v}_falling) END")
