@@ -28,9 +28,15 @@ def publish(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return df.select(*out)
 
 
-def oracle(select: str, *ctes: str, doubles: list[str] | tuple[str, ...] = (), ints=(), digits: int = DIGITS) -> str:
+def oracle(select: str, *ctes: str, doubles: list[str] | tuple[str, ...] = (), ints=(), digits: int = DIGITS,
+           base: str = OBS_SQL) -> str:
     """Oracle text: shared CTEs, the query, and the same output rounding as ``publish``."""
-    parts = ",\n".join([OBS_SQL, *ctes, f"result AS (\n{select}\n)"])
+    parts = ",\n".join([base, *ctes, f"result AS (\n{select}\n)"])
     swaps = [f"round({c} + 1e-9::DOUBLE, {digits}) + 0.0 AS {c}" for c in doubles] + [f"CAST({c} AS BIGINT) AS {c}" for c in ints]
     star = f"* REPLACE ({', '.join(swaps)})" if swaps else "*"
     return f"WITH {parts}\nSELECT {star} FROM result"
+
+
+def replaced_observations(*ctes: str) -> str:
+    """Base CTEs in which ``observations`` is redefined by ``ctes`` from ``raw_observations``."""
+    return ",\n".join([OBS_SQL.replace("observations AS (", "raw_observations AS (").rstrip(), *ctes])
