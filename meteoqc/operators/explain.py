@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meteoqc.functions.numeric import steady_round
+
 # --- fixed values: steps per gate and keywords per category -------------------
 STEPS = {
     "bounds": ["Inspect the sensor on site, the reading exceeds physical limits", "Check transducer wiring for short circuit or surge", "Compare with a portable reference instrument"],
@@ -54,20 +56,20 @@ def summary(top: Column | None = None, gap_minutes: float = 15.0) -> Column:
         F.when(dq["is_duplicate"], "Duplicate time received."),
         F.when(dq["is_out_of_order"], "Packet arrived out of order."),
         F.when(F.size(dq["missing_fields"]) > 0, F.concat(F.lit("Missing fields: "), F.array_join(dq["missing_fields"], ", "), F.lit("."))),
-        F.when(dq["communication_gap_minutes"] > gap_minutes, F.format_string("Communication gap of %.1f minutes.", dq["communication_gap_minutes"])))
-    off = F.when(sp["temp_target_minus_mean"].isNotNull(), F.format_string(" Departs by %.2f C from the neighbour mean.", sp["temp_target_minus_mean"])).otherwise("")
-    fast = F.when(tm["is_rate_abnormal"] & tm["temp_rate_per_min"].isNotNull(), F.format_string(" Changed by %.2f C/min.", tm["temp_rate_per_min"])).otherwise("")
+        F.when(dq["communication_gap_minutes"] > gap_minutes, F.format_string("Communication gap of %.1f minutes.", steady_round(dq["communication_gap_minutes"], 1))))
+    off = F.when(sp["temp_target_minus_mean"].isNotNull(), F.format_string(" Departs by %.2f C from the neighbour mean.", steady_round(sp["temp_target_minus_mean"], 2))).otherwise("")
+    fast = F.when(tm["is_rate_abnormal"] & tm["temp_rate_per_min"].isNotNull(), F.format_string(" Changed by %.2f C/min.", steady_round(tm["temp_rate_per_min"], 2))).otherwise("")
     valid = sp["valid_neighbor_count"]
     return (
         F.when(g == "data_quality", quality)
         .when(g == "bounds", "Reading breaches physical limits of the surface atmosphere.")
-        .when(g == "flatline", F.format_string("Persistence check failed: unchanged for %d readings (%.1f minutes).", tm["consecutive_unchanged_count"], tm["flatline_duration_minutes"]))
+        .when(g == "flatline", F.format_string("Persistence check failed: unchanged for %d readings (%.1f minutes).", tm["consecutive_unchanged_count"], steady_round(tm["flatline_duration_minutes"], 1)))
         .when(g == "multivariate", "Multivariate check failed: temperature, humidity and dew point are inconsistent.")
         .when(g == "regional_mixed", F.concat(F.lit("Regional weather change with an excess at this station."), off, strongest))
         .when(g == "regional", F.concat(F.format_string("Change corroborated by %d stations of the regional network.", valid), fast, strongest))
         .when(g == "local", F.concat(F.lit("Probable sensor anomaly."), fast, off, F.format_string(" %d active neighbours remain stable and do not corroborate it.", valid), strongest))
         .when(g == "cluster", F.concat(F.lit("Local variation shared with the nearest stations of a cluster."), fast, strongest))
-        .when(g == "no_context", F.format_string("Uncertain: anomaly score %.2f without enough neighbours to judge it.", ml["normalized_anomaly_score"]))
+        .when(g == "no_context", F.format_string("Uncertain: anomaly score %.2f without enough neighbours to judge it.", steady_round(ml["normalized_anomaly_score"], 2)))
         .otherwise("Nominal observation."))
 
 

@@ -16,7 +16,7 @@ from meteoqc.plans.decision_plans import DECIDED, RULES, decided, decided_table,
 from meteoqc.plans.evaluation_plans import labelled  # noqa: F401
 from meteoqc.plans.feature_plans import deviation_cte, persistence_cte, rate_cte, roll_cte
 from meteoqc.plans.spatial_plans import BUCKET_SQL, NET, VARS, _slp
-from meteoqc.schema import KEY, RH, SLP, TEMP, TS
+from meteoqc.schema import KEY, MEASURES, RH, SLP, TEMP, TS
 from meteoqc.sources.tables import observations
 
 ID = [KEY, TS]
@@ -132,15 +132,15 @@ def _steps_sql():
     return f"CASE gate WHEN 'data_quality' THEN {q} " + " ".join(f"WHEN '{g}' THEN '{'; '.join(s)}'" for g, s in xp.STEPS.items()) + " END"
 
 
-FAST = "CASE WHEN rate_abnormal THEN printf(' Changed by %.2f C/min.', rate) ELSE '' END"
-OFF = "CASE WHEN minus_mean IS NOT NULL THEN printf(' Departs by %.2f C from the neighbour mean.', minus_mean) ELSE '' END"
+FAST = "CASE WHEN rate_abnormal THEN printf(' Changed by %.2f C/min.', round(rate + 1e-9::DOUBLE, 2)) ELSE '' END"
+OFF = "CASE WHEN minus_mean IS NOT NULL THEN printf(' Departs by %.2f C from the neighbour mean.', round(minus_mean + 1e-9::DOUBLE, 2)) ELSE '' END"
 SUMMARY = f"""CASE gate WHEN 'data_quality' THEN concat_ws(' ', 'Data quality defect detected.', CASE WHEN n_missing > 0 THEN 'Missing fields: ' || replace(missing_fields, ',', ', ') || '.' END,
-  CASE WHEN gap_minutes > 240 THEN printf('Communication gap of %.1f minutes.', gap_minutes) END)
-  WHEN 'bounds' THEN 'Reading breaches physical limits of the surface atmosphere.' WHEN 'flatline' THEN printf('Persistence check failed: unchanged for %d readings (%.1f minutes).', unchanged, flat_minutes)
+  CASE WHEN gap_minutes > 240 THEN printf('Communication gap of %.1f minutes.', round(gap_minutes + 1e-9::DOUBLE, 1)) END)
+  WHEN 'bounds' THEN 'Reading breaches physical limits of the surface atmosphere.' WHEN 'flatline' THEN printf('Persistence check failed: unchanged for %d readings (%.1f minutes).', unchanged, round(flat_minutes + 1e-9::DOUBLE, 1))
   WHEN 'multivariate' THEN 'Multivariate check failed: temperature, humidity and dew point are inconsistent.' WHEN 'regional_mixed' THEN 'Regional weather change with an excess at this station.' || {OFF}
   WHEN 'regional' THEN printf('Change corroborated by %d stations of the regional network.', valid_neighbors) || {FAST}
   WHEN 'local' THEN 'Probable sensor anomaly.' || {FAST} || {OFF} || printf(' %d active neighbours remain stable and do not corroborate it.', valid_neighbors)
-  WHEN 'cluster' THEN 'Local variation shared with the nearest stations of a cluster.' || {FAST} WHEN 'no_context' THEN printf('Uncertain: anomaly score %.2f without enough neighbours to judge it.', score)
+  WHEN 'cluster' THEN 'Local variation shared with the nearest stations of a cluster.' || {FAST} WHEN 'no_context' THEN printf('Uncertain: anomaly score %.2f without enough neighbours to judge it.', round(score + 1e-9::DOUBLE, 2))
   ELSE 'Nominal observation.' END"""
 INTERP = "CASE decision " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in xp.INTERPRETATION.items()) + " END"
 CAT = "CASE gate " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in xp.GATE_CATEGORY.items()) + " ELSE 'OTHER' END"
@@ -149,7 +149,16 @@ D_DOUBLES = [c for c in fs.SET_D if c not in ("spatial_neighbor_count",)]
 _cal = "sin(6.283185307179586::DOUBLE * (hour(obs_ts) + minute(obs_ts) / 60.0::DOUBLE) / 24.0) AS sin_hour, cos(6.283185307179586::DOUBLE * (hour(obs_ts) + minute(obs_ts) / 60.0::DOUBLE) / 24.0) AS cos_hour, " \
        "sin(6.283185307179586::DOUBLE * (dayofyear(obs_ts) - 1) / 365.25::DOUBLE) AS sin_day_of_year, cos(6.283185307179586::DOUBLE * (dayofyear(obs_ts) - 1) / 365.25::DOUBLE) AS cos_day_of_year"
 
+_wins = tuple(f"_{w}" for w in ("15m", "30m", "3h", "6h", "24h"))
+_known = [(n, c) for n, c, t in fs.catalogue_rows() if t and c != "spatial" and c != "raw" and not n.endswith(_wins)] + [(n, "raw") for n in (TEMP, RH, SLP, "station_pressure_hpa", "dew_point_c")]
+_always = {"hour", "minute", "day_of_year", "month", "day_of_week"}
+_count = ", ".join(f"count({n})" if c != "temporal" else "count(*)" for n, c in _known)
+_lag = ", ".join(f"lag({c}, {k}) OVER (PARTITION BY station_id ORDER BY obs_ts) AS {c}_lag_{k}" for c in MEASURES for k in (1, 2, 3))
+
 ORACLES = {
+    "feature_catalogue_coverage": oracle(
+        f"""SELECT category, count(*) AS features, CAST(sum(filled) AS BIGINT) AS filled FROM (SELECT unnest([{', '.join(f"'{c}'" for _, c in _known)}]) AS category, unnest([{_count}]) AS filled
+        FROM (SELECT *, {_lag} FROM persisted)) GROUP BY 1""", roll_cte(["1h"]), rate_cte(), deviation_cte(), persistence_cte()),
     "feature_matrix_set_d": oracle(
         f"""SELECT station_id, obs_ts, {', '.join(c for c in fs.SET_C if not c.startswith(('sin_', 'cos_')))}, {_cal}, coalesce(spatial_neighbor_count, 0) AS spatial_neighbor_count,
         {', '.join(f'{_slp[v]} - spatial_neighbor_{v}_mean AS spatial_{v}_delta_from_neighbor_mean' for v in VARS)} FROM persisted JOIN (SELECT event_id, fslp FROM b) USING (event_id) LEFT JOIN around USING (event_id)""",
