@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 def steady_round(x: Column | str, digits: int) -> Column:
     """Rounding that does not depend on the last bit of a value lying exactly between two steps."""
+    assert digits <= 6, "the nudge must stay below the last digit kept"
     x = F.col(x) if isinstance(x, str) else x
     return F.round(x + 1e-9, digits)
 

@@ -74,7 +74,7 @@ def calibrate(rows: DataFrame, target: str = "f1") -> DataFrame:
     """
     g = rows.groupBy(steady_round(F.col("score"), SCORE_DIGITS).alias("score")).agg(F.sum("y_true").alias("pos"), F.sum(1 - F.col("y_true")).alias("neg"))
     cuts = g.agg(F.array_sort(F.array_distinct(F.transform(
-        F.percentile("score", F.array(*[F.lit(i / 100.0) for i in range(1, 100)]), F.col("pos") + F.col("neg")), lambda c: steady_round(c, 9)))).alias("cuts"))
+        F.percentile("score", F.array(*[F.lit(i / 100.0) for i in range(1, 100)]), F.col("pos") + F.col("neg")), lambda c: F.round(c, 9)))).alias("cuts"))
     placed = g.join(F.broadcast(cuts), F.lit(True)).select("cuts", F.size(F.filter("cuts", lambda c: c <= F.col("score"))).alias("k"), "pos", "neg")  # one row of cuts
     per = placed.groupBy("k", "cuts").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     # at most 100 rows from here on: k = number of candidates at or below the score

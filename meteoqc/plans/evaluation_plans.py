@@ -305,7 +305,7 @@ def calibrated(target):
 
 
 CANDS = """
-cands AS (SELECT DISTINCT round(unnest(quantile_cont(round(score + 1e-9::DOUBLE, 6), [""" + ", ".join(f"{i / 100.0!r}" for i in range(1, 100)) + """])) + 1e-9::DOUBLE, 9) AS c FROM scored)"""
+cands AS (SELECT DISTINCT round(unnest(quantile_cont(round(score + 1e-9::DOUBLE, 6), [""" + ", ".join(f"{i / 100.0!r}" for i in range(1, 100)) + """])), 9) AS c FROM scored)"""
 SC = scored_ctes()
 MET = ["precision", "recall", "f1", "fpr", "fnr"]
 RUNS_CTE = f"""

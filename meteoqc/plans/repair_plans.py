@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from meteoqc.functions.numeric import hash_bucket
 from meteoqc.operators import health as hl
+from meteoqc.operators import lookups as lk
 from meteoqc.operators import repair as rp
 from meteoqc.operators import spatial as sp
 from meteoqc.operators.staging import staged
@@ -45,6 +46,12 @@ def corrections(obs):
     return r.select("recommendation_id", *ID, "variable", F.col("x").alias("observed"), "estimate", "departure", "method", "status", "method_quality", *ERR)
 
 
+def correction_page(obs):
+    r, _ = recommended(obs)
+    rows = lk.where(r, variable="temp", status="CORRECTION_CANDIDATE")
+    return lk.page(rows, [F.col(TS).desc(), F.col(KEY)], limit=30, offset=10).select("recommendation_id", *ID, "status", "estimate", "total_count", "has_more")
+
+
 def bundled(obs):
     r, d = recommended(obs)
     b = rp.bundles(r, d.select(*ID, "temperature_c", "relative_humidity_pct", "sea_level_pressure_hpa", "dew_point_c", "station_pressure_hpa", "elevation_m"))
@@ -74,6 +81,7 @@ QUERIES = {
     "imputed_readings_two_sided": _q(lambda o: imputed(o, True)),
     "imputed_series": _q(series),
     "correction_recommendations": _q(corrections),
+    "correction_page": _q(correction_page),
     "correction_bundles": _q(bundled),
     "resampled_grid": _q(lambda o: rp.resample(o, "temp", 3600)),
     "reconstruction_benchmark": _q(benchmark),
@@ -163,6 +171,9 @@ ORACLES = {
     "imputed_readings": oracle(IMP_OUT, *CONTEXT, MISSING_CTE, hist_cte("mseries"), impute_cte(False), error_sql("coalesce(gap_minutes, 0)"), doubles=["gap_minutes", "estimate", *ERR]),
     "imputed_readings_two_sided": oracle(IMP_OUT, *CONTEXT, MISSING_CTE, hist_cte("mseries"), impute_cte(True), error_sql("coalesce(gap_minutes, 0)"), doubles=["gap_minutes", "estimate", *ERR]),
     "correction_recommendations": oracle("SELECT * FROM corr", *CORRECTED, doubles=["estimate", "departure", *ERR]),
+    "correction_page": oracle(
+        """SELECT recommendation_id, station_id, obs_ts, status, estimate, total_count, total_count > 40 AS has_more FROM (SELECT *, count(*) OVER () AS total_count FROM corr WHERE variable = 'temp' AND status = 'CORRECTION_CANDIDATE')
+        ORDER BY obs_ts DESC, station_id LIMIT 30 OFFSET 10""", *CORRECTED, doubles=["estimate"]),
     "correction_bundles": oracle(
         """SELECT station_id, obs_ts, new_temp, new_rh, new_slp, proposals, candidates, violations, violations = '' AS is_consistent, CASE WHEN violations = '' THEN candidates ELSE 0 END AS candidates_kept,
         CASE WHEN candidates > 0 AND violations = '' THEN 'CORRECTION_CANDIDATE' ELSE 'REVIEW_RECOMMENDED' END AS bundle_status FROM checked""", *CORRECTED, BUNDLE, doubles=["new_temp", "new_rh", "new_slp"]),
