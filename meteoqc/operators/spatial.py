@@ -11,6 +11,7 @@ from meteoqc.functions.geo import bearing_deg, cube_cell, haversine_km
 from meteoqc.functions.physics import filled_slp
 from meteoqc.functions.timefn import round_to_minutes
 from meteoqc.operators.chunks import CHUNK, FOUR_DAYS, as_of, chunk_window, drop_halo, with_halo
+from meteoqc.operators.staging import staged
 from meteoqc.schema import KEY, RH, SLP, TEMP, TS, VARS
 
 
@@ -120,9 +121,10 @@ def neighbour_matches(obs: DataFrame, edges: DataFrame, net: Network = Network()
     """One row per (reading, neighbour) with the neighbour's reading nearest in time.
 
     ``causal``: latest at or before the reading; otherwise the nearest on either side, the earlier
-    one on a tie. Readings beyond the tolerance stay, marked ``is_stale``.
+    one on a tie. Readings beyond the tolerance stay, marked ``is_stale``. The narrow series is
+    written once, because probes, candidates and their chunk totals all read it.
     """
-    series = with_deltas(obs, seconds).select(KEY, *READING)
+    series = staged(with_deltas(obs, seconds).select(KEY, *READING))
     links = edges.select(KEY, "neighbor_id", "distance_km", "rank")
     probes = series.join(links, KEY)
     build = series.select(F.col(KEY).alias("neighbor_id"), *READING)
@@ -151,7 +153,8 @@ def _consensus(v: str, net: Network) -> list[Column]:
 
     return [
         F.count(x).alias(f"{v}_n"), F.avg(x).alias(f"{v}_mean"),
-        F.percentile(x, F.lit(0.5)).alias(f"{v}_median"),
+        # one column per neighbour rank: plain hash aggregation, where a percentile would buffer objects
+        *[F.max(F.when(F.col("rank") == i + 1, x)).alias(f"_{v}_{i}") for i in range(net.k)],
         F.when(F.count(x) > 0, F.coalesce(F.stddev_samp(x), F.lit(0.0))).alias(f"{v}_std"),
         F.min(x).alias(f"{v}_min"), F.max(x).alias(f"{v}_max"),
         F.coalesce(share(x > t + tol, x), F.lit(0.0)).alias(f"{v}_higher"),
@@ -165,20 +168,28 @@ def _consensus(v: str, net: Network) -> list[Column]:
     ]
 
 
+def _median(values: list[Column], n: Column) -> Column:
+    """Median of ``n`` non-null values among a fixed number of columns (nulls sort first)."""
+    s, first = F.sort_array(F.array(*values)), F.lit(len(values)) - n
+    low, high = first + F.floor((n - 1) / 2), first + F.floor(n / 2)
+    return F.when(n > 0, (F.get(s, low.cast("int")) + F.get(s, high.cast("int"))) / 2.0)
+
+
 def consensus(matches: DataFrame, net: Network = Network()) -> DataFrame:
     """Agreement of each reading with its neighbours, all three variables in one aggregate."""
-    near = F.struct("rank", F.col("n.temp").alias("temp"))
     aggs = [
         F.count(F.when(F.col("n").isNotNull(), 1)).alias("matched_neighbors"),
         F.count(F.when(F.col("is_valid"), 1)).alias("valid_neighbors"),
         F.count(F.when(F.col("is_stale"), 1)).alias("stale_neighbors"),
         F.avg(F.when(F.col("is_valid"), F.col("distance_km"))).alias("valid_mean_km"),
-        F.min(F.when(~F.col("is_stale") & F.col("n.temp").isNotNull(), near)).alias("_near"),
         *[F.first(v).alias(v) for v in VARS], *[F.first(f"d_{v}").alias(f"d_{v}") for v in VARS],
     ]
     for v in VARS:
         aggs += _consensus(v, net)
-    out = matches.groupBy(KEY, TS).agg(*aggs).withColumn("nearest_temp", F.col("_near.temp")).drop("_near")
+    out = matches.groupBy(KEY, TS).agg(*aggs)
+    ranked = {v: [F.col(f"_{v}_{i}") for i in range(net.k)] for v in VARS}
+    out = out.withColumns({"nearest_temp": F.coalesce(*ranked["temp"]), **{f"{v}_median": _median(ranked[v], F.col(f"{v}_n")) for v in VARS}})
+    out = out.drop(*[f"_{v}_{i}" for v in VARS for i in range(net.k)])
     cols = {}
     for v in VARS:
         t, tol, trend = F.col(v), TOLERANCE[v], TREND_TOLERANCE[v]
