@@ -78,16 +78,18 @@ def _neighbouring(df, rows, key, ts, seconds, supplied, *, back: bool) -> DataFr
         .withColumn("_r", F.row_number().over(Window.partitionBy(*key, CHUNK).orderBy(order)))
         .filter(F.col("_r") <= rows)
     )
+    # one slot per edge row in time order: needs no comparison of rows, so maps may be among them
+    slots = range(rows, 0, -1) if back else range(1, rows + 1)
+    row = F.struct(*cols)
     packed = edge.groupBy(*key, CHUNK).agg(
-        F.array_sort(F.collect_list(F.struct(ts, F.struct(*cols).alias("_row")))).alias("_edge")
-    )
+        F.array_compact(F.array(*[F.first(F.when(F.col("_r") == i, row), True) for i in slots])).alias("_edge"))
     w = Window.partitionBy(*key).orderBy(CHUNK)
     w = w.rowsBetween(-rows, -1) if back else w.rowsBetween(1, rows)
-    # chunks arrive in window order and each edge is sorted, so the concatenation is sorted too
+    # chunks arrive in window order and each edge is in time order, so the concatenation is sorted too
     packed = packed.select(CHUNK, F.flatten(F.collect_list("_edge").over(w)).alias("_near"))
     near = F.col("_near")
     keep = F.slice(near, F.greatest(F.size(near) - rows + 1, F.lit(1)), rows) if back else F.slice(near, 1, rows)
-    rows_in = packed.select(CHUNK, F.explode(keep).alias("_e")).select(F.col("_e._row.*"), CHUNK)
+    rows_in = packed.select(CHUNK, F.explode(keep).alias("_e")).select(F.col("_e.*"), CHUNK)
     rows_in = rows_in.withColumn(OWN, F.lit(False))
     # rows the time span already supplied must not arrive twice
     return rows_in.filter(supplied < F.col(CHUNK)) if back else rows_in

@@ -120,12 +120,15 @@ def mark_changes(df: DataFrame, cols: Sequence[str] = PERSISTENCE_VARS, rounded:
     return df.withColumns(out)
 
 
-def add_persistence(df: DataFrame, cols: Sequence[str] = PERSISTENCE_VARS, rounded: bool = True) -> DataFrame:
-    """Run lengths from the flags of ``mark_changes``; the input must hold own rows only."""
+def add_persistence(df: DataFrame, cols: Sequence[str] = PERSISTENCE_VARS, rounded: bool = True, order: str = TS) -> DataFrame:
+    """Run lengths from the flags of ``mark_changes``; the input must hold own rows only.
+
+    ``order``: pass the column the frame is already sorted by to save a sort.
+    """
     breaks = {f"_p{i}": F.col(f"_chg_{c}") for i, c in enumerate(cols)}
     if rounded:
         breaks |= {f"_q{i}": F.col(f"_chr_{c}") for i, c in enumerate(cols)}
-    df = run_positions(df, breaks)
+    df = run_positions(df, breaks, order=[order])
     out = {}
     for i, c in enumerate(cols):
         out[f"{c}_consecutive_unchanged_count"] = F.col(f"_p{i}_since") + 1
@@ -147,10 +150,10 @@ def time_features(df: DataFrame, *, windows: Sequence[str] = tuple(WINDOWS), col
     out = add_interactions(add_deviations(add_rates(add_rolling(out, cols, windows), cols), ref=ref), ref)
     if persistence:
         out = mark_changes(out)
-    out = drop_halo(out, US)
+    out = drop_halo(out)
     if persistence:
-        out = add_persistence(out)
-    return out.drop(CHUNK)
+        out = add_persistence(out, order=US)
+    return out.drop(CHUNK, US)
 
 
 def missing_runs(df: DataFrame, col: str = TEMP, seconds: int = FOUR_DAYS) -> DataFrame:
