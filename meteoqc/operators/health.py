@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meteoqc.operators.chunks import CHUNK, run_positions, scan, with_chunk
+from meteoqc.operators.chunks import run_positions, scan, with_chunk
 from meteoqc.schema import KEY, TS
 
 

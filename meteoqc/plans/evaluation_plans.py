@@ -5,20 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meteoqc.functions import scores as sco
-from meteoqc.functions.numeric import hash_bucket
 from meteoqc.operators import augment as au
-from meteoqc.operators import decision as dc
 from meteoqc.operators import episodes as ep
 from meteoqc.operators import evaluate as ev
 from meteoqc.operators import features as ft
-from meteoqc.operators import repair as rp
 from meteoqc.operators import spatial as sp
 from meteoqc.operators.staging import staged
 from meteoqc.plans.common import oracle, publish, replaced_observations
-from meteoqc.plans.decision_plans import BAD, DECIDED, FEATURES, RULES, Z24, decided_table, edges_of
+from meteoqc.plans.decision_plans import DECIDED, Z24, decided_table, edges_of
 from meteoqc.plans.feature_plans import P, deviation_cte, rate_cte, roll_cte
-from meteoqc.plans.repair_plans import MISSING_CTE, QUERIES as REPAIR, error_sql, hist_cte, impute_cte
-from meteoqc.plans.spatial_plans import CONTEXT, NET, STATIONS_CTE, edges_cte, pairs_cte
+from meteoqc.plans.repair_plans import MISSING_CTE, error_sql, hist_cte, impute_cte
+from meteoqc.plans.spatial_plans import CONTEXT, NET, STATIONS_CTE, pairs_cte
 from meteoqc.schema import KEY, RH, SLP, TEMP, TS
 from meteoqc.sources.tables import observations
 
@@ -266,10 +263,9 @@ BASE = replaced_observations(episode_ctes("raw_observations"), APPLIED)
 
 def scored_ctes(ref="24h", suffix=""):
     z = Z24.replace("24h", ref)
-    swap = lambda s: s
     return (roll_cte([ref], [TEMP, RH, SLP]), rate_cte("rolled", [TEMP, RH, SLP]), deviation_cte(ref),
-            swap(f"""scored{suffix} AS (SELECT *, CASE WHEN score >= {THRESHOLD} THEN 1 ELSE 0 END AS pred, EXISTS (SELECT 1 FROM labels l WHERE l.is_fault AND l.station_id = s.station_id AND l.obs_ts = s.obs_ts)::INT AS y
-  FROM (SELECT event_id, station_id, obs_ts, tanh({z} / 3.0) AS score FROM interacted) s)"""))
+            f"""scored{suffix} AS (SELECT *, CASE WHEN score >= {THRESHOLD} THEN 1 ELSE 0 END AS pred, EXISTS (SELECT 1 FROM labels l WHERE l.is_fault AND l.station_id = s.station_id AND l.obs_ts = s.obs_ts)::INT AS y
+  FROM (SELECT event_id, station_id, obs_ts, tanh({z} / 3.0) AS score FROM interacted) s)""")
 
 
 CONF = ("count(*) AS observations, count(CASE WHEN pred = 1 AND y = 1 THEN 1 END) AS tp, count(CASE WHEN pred = 1 AND y = 0 THEN 1 END) AS fp, "

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from meteoqc.operators import features as ft
-from meteoqc.operators.chunks import CHUNK, drop_halo, with_halo
+from meteoqc.operators.chunks import drop_halo
 from meteoqc.plans.common import oracle, publish
 from meteoqc.schema import KEY, MEASURES, RH, SLP, TEMP, TS
 from meteoqc.sources.tables import observations

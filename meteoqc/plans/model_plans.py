@@ -13,7 +13,6 @@ from meteoqc.operators import spatial as sp
 from meteoqc.operators.staging import staged
 from meteoqc.plans.common import oracle, publish
 from meteoqc.plans.decision_plans import DECIDED, RULES, decided, decided_table, edges_of
-from meteoqc.plans.evaluation_plans import labelled  # noqa: F401
 from meteoqc.plans.feature_plans import deviation_cte, persistence_cte, rate_cte, roll_cte
 from meteoqc.plans.spatial_plans import BUCKET_SQL, NET, VARS, _slp
 from meteoqc.schema import KEY, MEASURES, RH, SLP, TEMP, TS

@@ -8,7 +8,7 @@ from meteoqc.operators import lookups as lk
 from meteoqc.operators import profile as pf
 from meteoqc.operators.features import first_per_key
 from meteoqc.plans.common import oracle, publish
-from meteoqc.schema import DEW, KEY, RH, SLP, STNP, TEMP, TS
+from meteoqc.schema import DEW, KEY, RH, SLP, TEMP, TS
 from meteoqc.sources import tabular
 from meteoqc.sources.tables import observations
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meteoqc.operators import spatial as sp
-from meteoqc.operators.chunks import drop_halo, with_halo  # noqa: F401
 from meteoqc.plans.common import oracle, publish
 from meteoqc.schema import KEY, TEMP, TS, VARS
 from meteoqc.sources.tables import observations
