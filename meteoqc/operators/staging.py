@@ -9,16 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def stage_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is set (tests)."""
+    """The shared folder that ``spark.checkpoint.dir`` names.
+
+    Only a local master, whose executors are this very machine, gets a folder of its own when none
+    is named; on a cluster that would scatter the parts, so it is an error there.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="meteoqc-stage-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    if root:
+        return root.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    root = tempfile.mkdtemp(prefix="meteoqc-stage-")
+    spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
+def new_folder(spark: SparkSession, kind: str = "meteoqc") -> str:
+    """A path below the shared folder that nothing else uses."""
+    return f"{stage_root(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Parquet copy of ``df``: columnar, prunable, and independent of lost executors."""
-    path = f"{stage_root(df.sparkSession).rstrip('/')}/meteoqc-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
