@@ -1,5 +1,6 @@
 """Token files and counts against whole-text encoding."""
 
+import functools
 import struct
 import zlib
 
@@ -19,10 +20,15 @@ def frame(spark, rows=ROWS):
     return spark.createDataFrame(rows, "doc_id long, text string, start string")
 
 
-def library(text):
+@functools.cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode(text or "", add_special_tokens=False).ids + [0]
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+
+
+def library(text):
+    return tokenizer().encode(text or "", add_special_tokens=False).ids + [0]
 
 
 def expected(rows):
