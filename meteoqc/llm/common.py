@@ -7,10 +7,11 @@ from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from meteoqc.operators.staging import new_folder, stage_root, staged
 
-__all__ = ["new_folder", "stage_root", "staged", "table", "slices", "texts", "file_system"]
+__all__ = ["new_folder", "stage_root", "staged", "table", "keyed", "slices", "texts", "file_system"]
 
 #: bytes of text that a task works on at a time, however large the Arrow batches are
 SLICE_BYTES = 1 << 20
@@ -20,6 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text) with a key of its own for every row.
+
+    The key is ``doc_id`` where that is unique and set, which one count of ids tells. Else the rows
+    are numbered in (doc_id, text) order and written once, so that every reader sees the same numbers.
+    """
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    ids = own.groupBy("doc_id").count().agg(F.max("count").alias("most"), F.count_if(F.col("doc_id").isNull()).alias("unset")).first()
+    if (ids["most"] or 0) <= 1 and not ids["unset"]:
+        return own.select(F.col("doc_id").alias("row"), "doc_id", "text")
+    ordered = own.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    return staged(ordered.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``limit`` bytes of ``column`` (one row at least)."""
     for batch in batches:

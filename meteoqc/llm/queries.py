@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meteoqc.llm import token_counts, token_files
+from meteoqc.llm import multi_index, packing, quality, suffix_dedup, token_counts, token_files, toxicity, window_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files.op1_token_files,
     "op2_token_counts": token_counts.op2_token_counts,
+    "op3_quality": quality.op3_quality,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
+    "op6_multi_index": multi_index.op6_multi_index,
+    "op8_window_dedup": window_dedup.op8_window_dedup,
+    "op10_packing": packing.op10_packing,
 }
 ORACLES: dict[str, str] = {}
