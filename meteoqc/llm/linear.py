@@ -60,18 +60,26 @@ def fit(rows: Rows, target: np.ndarray, width: int, decay: float = 1e-4, rounds:
     return w
 
 
-def calibrated(score: np.ndarray, target: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """(slope, intercept) that turn log odds into calibrated ones: Newton steps with a little shrinkage."""
+def calibrated(score: np.ndarray, target: np.ndarray, rounds: int = 60) -> tuple[float, float]:
+    """(slope, intercept) that turn scores into calibrated log odds: halved Newton steps with a little shrinkage."""
     if not len(score):
         return 1.0, 0.0
-    x, theta = np.column_stack([score, np.ones(len(score))]), np.array([1.0, 0.0])
-    prior = np.array([1.0, 0.0])
+    scale = float(np.std(score)) or 1.0
+    x = np.column_stack([score / scale, np.ones(len(score))])
+    theta = np.zeros(2)
+
+    def loss(t):
+        z = x @ t
+        return np.logaddexp(0, z).sum() - target @ z + 0.05 * t @ t
+
     for _ in range(rounds):
         p = sigmoid(x @ theta)
-        grad = x.T @ (p - target) + 0.1 * (theta - prior)
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        theta -= np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-9:
+        grad = x.T @ (p - target) + 0.1 * theta
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2), grad)
+        size = 1.0
+        while size > 1e-6 and loss(theta - size * step) > loss(theta):
+            size /= 2
+        theta = theta - size * step
+        if np.abs(size * step).max() < 1e-9 or size <= 1e-6:
             break
-    return float(theta[0]), float(theta[1])
+    return float(theta[0] / scale), float(theta[1])

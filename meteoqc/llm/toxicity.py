@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -33,10 +34,12 @@ from pyspark.sql import functions as F
 from meteoqc.llm.common import slices, table
 from meteoqc.llm.linear import Rows, calibrated, fit, sigmoid
 
-LABELLED, VOTERS, FEATURES, FOLDS = 12_000, 160, 4096, 5
-BITS = 22
+LABELLED, VOTERS, FEATURES, FOLDS = 12_000, 200, 8192, 5
+BITS = 23
 WORD = re.compile(r"\w+")
-STEMS = (3, 4, 5, 6)
+STEMS = (3, 4, 5, 6, 7)
+#: a word or stem counts as a feature once it occurs, and as further ones at these numbers of times
+TIMES = (2, 3, 5)
 SCORES = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -66,29 +69,40 @@ def patterns(text: str) -> list[int]:
     return out
 
 
+def repeats(feature: int) -> list[int]:
+    """The features that say how often another one occurs."""
+    return [(feature * 31 + n * 7919) & ((1 << BITS) - 1) for n in TIMES]
+
+
 def features(text: str) -> np.ndarray:
-    out = set(patterns(text))
-    for word in set(WORD.findall(text.lower())):
-        out.update(word_features(word))
+    counts: Counter[int] = Counter()
+    for word, n in Counter(WORD.findall(text.lower())).items():
+        for f in word_features(word):
+            counts[f] += n
+    out = set(patterns(text)) | counts.keys()
+    out |= {r for f, n in counts.items() if n > 1 for r, least in zip(repeats(f), TIMES) if n >= least}
     return np.array(sorted(out), np.int64)
 
 
 @dataclass
 class LabelModel:
-    """Rates of each voter under label 0 and 1, its share of weight among correlated voters, log prior odds."""
+    """Rates of each voter under label 0 and 1, its share of weight among correlated voters, and the scale of the sum."""
 
     rates: np.ndarray
     share: np.ndarray
-    prior: float
+    scale: tuple[float, float]
+
+    def odds(self, votes: np.ndarray) -> np.ndarray:
+        """A voter that is absent abstains: most toxic texts hold few of the many lexicon words."""
+        return votes @ (np.log(self.rates[1] / self.rates[0]) * self.share)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        odds = np.where(votes, np.log(self.rates[1] / self.rates[0]), np.log((1 - self.rates[1]) / (1 - self.rates[0])))
-        return sigmoid(self.prior + odds @ self.share)
+        return sigmoid(self.scale[0] * self.odds(votes) + self.scale[1])
 
 
-def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> LabelModel:
-    """Expectation maximisation from first guesses ``start`` of the documents' labels."""
-    p = np.clip(start.astype(float), 0.02, 0.98)
+def fit_label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 8) -> LabelModel:
+    """Expectation maximisation; the training labels start it and hold the posterior's scale in every round."""
+    p = np.clip(label.astype(float), 0.02, 0.98)
     model = None
     for _ in range(rounds):
         weight = np.column_stack([1 - p, p])
@@ -102,8 +116,8 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 25) -> L
             shared += mass[label] / mass.sum() * np.abs(cov / np.outer(sd, sd))
         shared[np.abs(shared) < 0.2] = 0  # below that it is chance
         share = 1 / np.maximum(1.0, shared.sum(1))
-        prior = float(np.clip(np.log((mass[1] + 1) / (mass[0] + 1)), -6, 6))
-        model = LabelModel(rates, share, prior)
+        model = LabelModel(rates, share, (1.0, 0.0))
+        model.scale = calibrated(model.odds(votes), label)
         new = model.posterior(votes)
         if np.abs(new - p).max() < 1e-4:
             break
@@ -121,25 +135,27 @@ class Model:
     def __post_init__(self):
         used = np.flatnonzero(self.weights[:-1])
         self.weight_of = dict(zip(self.columns[used].tolist(), self.weights[:-1][used].tolist()))
-        self.memo: dict[str, tuple] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
 
-    def _word(self, word: str) -> tuple:
-        got = tuple((f, w) for f in word_features(word) if (w := self.weight_of.get(f)) is not None)
+    def _word(self, word: str) -> tuple[int, ...]:
+        got = tuple(f for f in word_features(word) if f in self.weight_of or any(r in self.weight_of for r in repeats(f)))
         if len(self.memo) > 400_000:
             self.memo.clear()
         self.memo[word] = got
         return got
 
     def score(self, text: str) -> float:
-        found = {f: w for f in patterns(text) if (w := self.weight_of.get(f)) is not None}
+        counts: dict[int, int] = {}
         get = self.memo.get
-        for word in set(WORD.findall(text.lower())):
+        for word, n in Counter(WORD.findall(text.lower())).items():
             got = get(word)
             if got is None:
                 got = self._word(word)
-            if got:
-                found.update(got)
-        return float(sigmoid(np.float64(self.weights[-1] + sum(found[f] for f in sorted(found)))))
+            for f in got:
+                counts[f] = counts.get(f, 0) + n
+        found = set(patterns(text)) | counts.keys()
+        found |= {r for f, n in counts.items() if n > 1 for r, least in zip(repeats(f), TIMES) if n >= least}
+        return float(sigmoid(np.float64(self.weights[-1] + sum(self.weight_of.get(f, 0.0) for f in sorted(found)))))
 
 
 def _counts(sets: list[np.ndarray], weight: np.ndarray) -> np.ndarray:
@@ -161,8 +177,7 @@ def train(sets: list[np.ndarray], label: np.ndarray) -> Model | None:
     shape = np.unique(np.array([_feature(x) for x in ("loud", "bangs", "questions", "marks")]))
     voters = np.unique(np.concatenate([strong, calm, shape]))
     votes = np.array([np.isin(voters, s, assume_unique=True) for s in sets], float)
-    start = votes[:, np.isin(voters, strong)].any(1) if len(strong) else label
-    soft = fit_label_model(votes, start).posterior(votes)
+    soft = fit_label_model(votes, label.astype(float)).posterior(votes)
     if np.corrcoef(soft, label)[0, 1] < 0.3 or np.isnan(np.corrcoef(soft, label)[0, 1]):
         soft = label.astype(float)  # the voters carry nothing: fall back on the labels they were mined from
     toxic = _counts(sets, soft)
