@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from meteoqc.operators.staging import new_folder, stage_root, staged
 
-__all__ = ["new_folder", "stage_root", "staged", "table", "keyed", "slices", "texts", "file_system"]
+__all__ = ["new_folder", "stage_root", "staged", "table", "keyed", "fresh", "slices", "texts", "file_system"]
 
 #: bytes of text that a task works on at a time, however large the Arrow batches are
 SLICE_BYTES = 1 << 20
@@ -21,18 +21,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text) with a key of its own for every row.
+def keyed(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """(row, doc_id, text) with a key of its own for every row; ``whole`` adds ``doc``, the row as it came.
 
     The key is ``doc_id`` where that is unique and set, which one count of ids tells. Else the rows
     are numbered in (doc_id, text) order and written once, so that every reader sees the same numbers.
     """
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    cols = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    own = docs.select(*cols, *([F.struct(*[f"`{c}`" for c in docs.columns]).alias("doc")] if whole else []))
     ids = own.groupBy("doc_id").count().agg(F.max("count").alias("most"), F.count_if(F.col("doc_id").isNull()).alias("unset")).first()
     if (ids["most"] or 0) <= 1 and not ids["unset"]:
-        return own.select(F.col("doc_id").alias("row"), "doc_id", "text")
+        return own.select(F.col("doc_id").alias("row"), "*")
     ordered = own.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    return staged(ordered.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
+    return staged(ordered.select(F.monotonically_increasing_id().alias("row"), "*"))
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that ``taken`` does not have, whatever its case."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meteoqc.llm import multi_index, packing, quality, suffix_dedup, token_counts, token_files, toxicity, window_dedup
+from meteoqc.llm import decontaminate, multi_index, ngram_join, packing, quality, suffix_dedup, token_counts, token_files, toxicity, window_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files.op1_token_files,
@@ -15,7 +15,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_multi_index": multi_index.op6_multi_index,
+    "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_window_dedup": window_dedup.op8_window_dedup,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_packing": packing.op10_packing,
 }
 ORACLES: dict[str, str] = {}

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meteoqc.llm import anchors
-from meteoqc.llm.common import keyed, slices, staged, table
+from meteoqc.llm.common import fresh, keyed, slices, staged, table
 
 LENGTH, GRAM = 400, 128
 BLOCKS = (64, 8, 1)
@@ -191,15 +191,40 @@ def cut_out(text: bytes, found: list[dict] | None, length: int) -> tuple[bytes,
     return b"".join(kept), runs
 
 
-def with_found(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, text, found): the repeated windows of every document, null where there are none."""
-    own = keyed(docs)
-    found = repeated_windows(own, length, gram).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("found"))
-    return own.join(found, "row", "left").select("doc_id", "text", "found")
+def with_found(own: DataFrame, length: int = LENGTH, gram: int = GRAM, name: str = "found") -> DataFrame:
+    """``own`` with the repeated windows of every row, null where there are none."""
+    found = repeated_windows(own, length, gram).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias(name))
+    return own.join(found, "row", "left")
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    return with_found(docs, length, gram).mapInArrow(_removing(length), RESULT)
+    """What is left of every document of ``docs`` (doc_id, text) without its repeated strings."""
+    return with_found(keyed(docs), length, gram).select("doc_id", "text", "found").mapInArrow(_removing(length), RESULT)
+
+
+def _cutting(length: int, name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def cut(batches):
+        for b in slices(batches, "text"):
+            docs, _ = _documents(b)
+            at, found = b.schema.get_field_index("text"), b.column(b.schema.get_field_index(name)).to_pylist()
+            text = b.column(at).to_pylist()
+            kept = [t if not f else cut_out(d, f, length)[0].decode("utf-8", "ignore") for t, d, f in zip(text, docs, found)]
+            columns = {c: b.column(i) for i, c in enumerate(b.schema.names) if c != name} | {"text": pa.array(kept, b.schema.field(at).type)}
+            if "n_chars" in columns:
+                count = [n if not f else len(k) for n, k, f in zip(columns["n_chars"].to_pylist(), kept, found)]
+                columns["n_chars"] = pa.array(count, columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return cut
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``docs`` with all columns; repeated strings are cut from ``text``, and ``n_chars`` follows.
+
+    A character of which a cut leaves only some bytes goes as well.
+    """
+    name = fresh("found", docs.columns)
+    return with_found(keyed(docs, whole=True), length, gram, name).select("doc.*", name).mapInArrow(_cutting(length, name), docs.schema)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,11 +109,11 @@ def fit_label_model(votes: np.ndarray, label: np.ndarray, rounds: int = 8) -> La
         mass = weight.sum(0)
         rates = np.clip((weight.T @ votes + 0.5) / (mass[:, None] + 1.0), 1e-5, 1 - 1e-5)
         shared = np.zeros((votes.shape[1],) * 2)
-        for label in (0, 1):  # what is common to voters once the label is known
-            rest = (votes - rates[label]) * np.sqrt(weight[:, label])[:, None]
-            cov = rest.T @ rest / max(mass[label], 1e-9)
+        for side in (0, 1):  # what is common to voters once the label is known
+            rest = (votes - rates[side]) * np.sqrt(weight[:, side])[:, None]
+            cov = rest.T @ rest / max(mass[side], 1e-9)
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-            shared += mass[label] / mass.sum() * np.abs(cov / np.outer(sd, sd))
+            shared += mass[side] / mass.sum() * np.abs(cov / np.outer(sd, sd))
         shared[np.abs(shared) < 0.2] = 0  # below that it is chance
         share = 1 / np.maximum(1.0, shared.sum(1))
         model = LabelModel(rates, share, (1.0, 0.0))
