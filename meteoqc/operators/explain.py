@@ -1,4 +1,8 @@
-"""Readable explanations of decisions: summary, steps, evidence tiers, keyword check."""
+"""Readable explanations of decisions: summary, actions, evidence tiers, keyword check.
+
+A summary is the headline of the gate that decided and the facts that speak for it; actions follow
+from the gate, or from the reason codes where the record itself is in doubt.
+"""
 
 from __future__ import annotations
 
@@ -7,38 +11,64 @@ from pyspark.sql import functions as F
 
 from meteoqc.functions.numeric import steady_round
 
-# --- fixed values: steps per gate and keywords per category -------------------
-STEPS = {
-    "bounds": ["Inspect the sensor on site, the reading exceeds physical limits", "Check transducer wiring for short circuit or surge", "Compare with a portable reference instrument"],
-    "flatline": ["Inspect the transducer for obstruction, icing or freeze", "Verify the converter channel on the data logger", "Power-cycle the sensor interface"],
-    "multivariate": ["Cross-check temperature and humidity sensor calibration", "Inspect the humidity sensor for contamination or condensation", "Verify the pressure transducer against a field barometer"],
-    "regional_mixed": ["Confirm the regional event at adjacent stations", "Check calibration of the target sensor for gain or offset error", "Cross-validate against a redundant channel"],
-    "local": ["Inspect transducer and wiring for intermittent contact", "Compare the reading with adjacent stations", "Run a zero-point and span calibration check"],
-    "regional": ["Monitor the regional weather event over the station network", "Cross-reference radar and satellite products", "No intervention unless an unphysical divergence appears"],
-    "cluster": ["Monitor the regional weather event over the station network", "Cross-reference radar and satellite products", "No intervention unless an unphysical divergence appears"],
-    "no_context": ["Keep observing over the next 3-5 readings", "Check the telemetry of neighbouring stations", "Review maintenance logs for recent servicing"],
-    "nominal": ["No intervention required"],
+HEADLINE = {
+    "data_quality": "The record itself is in doubt.",
+    "bounds": "No ground station can measure this value.",
+    "flatline": "The reading has stopped moving.",
+    "multivariate": "Temperature and moisture of this reading rule each other out.",
+    "regional_mixed": "The whole area is changing, but this station goes further than the others.",
+    "regional": "The change is shared across the area.",
+    "local": "Only this station shows the change.",
+    "cluster": "The closest stations share the change.",
+    "no_context": "Too few stations report nearby to tell a fault from weather.",
+    "nominal": "Nothing unusual.",
+}
+#: facts by gate, in the order in which a summary tells them
+FACTS = {
+    "data_quality": ["repeated", "late", "absent", "silence"],
+    "flatline": ["stuck"],
+    "regional_mixed": ["departs", "leading"],
+    "regional": ["witnesses", "pace", "leading"],
+    "local": ["witnesses", "pace", "departs", "leading"],
+    "cluster": ["pace", "leading"],
+    "no_context": ["score"],
+}
+ACTIONS = {
+    "bounds": ["Take the value out of forecasts until the sensor has been bypassed or replaced."],
+    "flatline": ["Read the channel at the logger.", "If it does not move there either, clean or thaw the sensor head."],
+    "multivariate": ["Put a reference hygrometer beside the station for a day."],
+    "regional_mixed": ["Judge this station again once the weather has passed."],
+    "local": ["Look through the service log of the station for the last days.", "Swap in a spare sensor and compare both for a day."],
+    "regional": ["Keep the reading; it is weather."],
+    "cluster": ["Keep the reading; it is weather."],
+    "no_context": ["Wait until more of the surroundings report, then judge again."],
+    "nominal": ["Nothing to do."],
 }
-QUALITY_STEPS = [
-    ("DATA_GAP", "Inspect the telemetry link and logger buffer for dropped packets"),
-    ("MISSING_REQUIRED_VARIABLES", "Validate packet format and payload decoding for missing fields"),
-    ("DUPLICATE_TIMESTAMP", "Check queue sequencing and message timestamps"),
-    ("OUT_OF_ORDER_TIMESTAMP", "Check queue sequencing and message timestamps"),
-]
-LAST_QUALITY_STEP = "Verify the ingestion path before sending anyone to the station"
-KEYWORDS = {
-    "FROZEN_SENSOR": ["unchanged", "persist", "flatline", "stuck", "zero variance", "freez"],
-    "LOCAL_SENSOR_FAULT": ["isolated", "single-station", "stable", "contradict", "not corroborate", "excess"],
-    "REGIONAL_EVENT": ["regional", "corroborat", "stations", "network", "meso-scale", "cluster"],
-    "DATA_GAP": ["gap", "missing", "telemetry", "communication", "packet", "defect"],
-    "PHYSICAL_LIMIT": ["physical", "planetary", "limit", "bound", "breach", "thermodynamic"],
-    "MULTIVARIATE_FAULT": ["multivariate", "thermodynamic", "humidity", "dew point", "inconsistent"],
-    "OTHER": ["anomaly", "deviat"],
+#: what to do about a doubtful record, by reason code
+RECORD_ACTIONS = {
+    "DATA_GAP": "Test the link of the station at the next scheduled call.",
+    "MISSING_REQUIRED_VARIABLES": "Hold a raw message against the field list of the decoder.",
+    "DUPLICATE_TIMESTAMP": "Find the sender that repeats its queue.",
+    "OUT_OF_ORDER_TIMESTAMP": "Find where messages wait before they are sent.",
+}
+AFTER_RECORD_ACTIONS = "Leave the sensors alone until a sound record arrives."
+#: a text of the category is expected to hold one of these
+TERMS = {
+    "FROZEN_SENSOR": ["stopped moving", "same value"],
+    "LOCAL_SENSOR_FAULT": ["only this station", "goes further"],
+    "SPIKE": ["per minute"],
+    "DRIFT": ["mean of the stations"],
+    "REGIONAL_EVENT": ["shared across", "share the change"],
+    "DATA_GAP": ["record itself", "nothing came", "absent:"],
+    "PHYSICAL_LIMIT": ["can measure"],
+    "MULTIVARIATE_FAULT": ["moisture", "hygrometer"],
+    "OTHER": ["nothing unusual", "too few"],
 }
 GATE_CATEGORY = {
     "data_quality": "DATA_GAP", "bounds": "PHYSICAL_LIMIT", "flatline": "FROZEN_SENSOR", "multivariate": "MULTIVARIATE_FAULT",
     "regional_mixed": "LOCAL_SENSOR_FAULT", "regional": "REGIONAL_EVENT", "local": "LOCAL_SENSOR_FAULT", "cluster": "REGIONAL_EVENT",
 }
+# --- fixed values: wording of decisions ---------------------------------------
 INTERPRETATION = {
     "NORMAL": "nominal observation", "POSSIBLE_GENUINE_EVENT": "possible regional event", "PROBABLE_SENSOR_ANOMALY": "probable sensor anomaly",
     "PROBABLE_DATA_QUALITY_ISSUE": "probable data quality issue", "UNCERTAIN": "uncertain",
@@ -46,44 +76,53 @@ INTERPRETATION = {
 # --- end of fixed values ------------------------------------------------------
 
 
+def _jumped() -> Column:
+    return F.col("temporal.is_rate_abnormal") & F.col("temporal.temp_rate_per_min").isNotNull()
+
+
+def _facts(top: Column | None, gap_minutes: float) -> dict[str, Column]:
+    """Each fact as a sentence, null where it does not hold."""
+    dq, tm, sp = F.col("data_quality"), F.col("temporal"), F.col("spatial")
+    off, pace, silence = sp["temp_target_minus_mean"], tm["temp_rate_per_min"], dq["communication_gap_minutes"]
+    return {
+        "repeated": F.when(dq["is_duplicate"], "Its time was received before."),
+        "late": F.when(dq["is_out_of_order"], "It is older than the newest reading."),
+        "absent": F.when(F.size(dq["missing_fields"]) > 0, F.concat(F.lit("Absent: "), F.array_join(dq["missing_fields"], ", "), F.lit("."))),
+        "silence": F.when(silence > gap_minutes, F.format_string("Nothing came for %.1f minutes.", steady_round(silence, 1))),
+        "stuck": F.format_string("Same value %d times over %.1f minutes.", tm["consecutive_unchanged_count"], steady_round(tm["flatline_duration_minutes"], 1)),
+        "witnesses": F.format_string("%d stations nearby report.", sp["valid_neighbor_count"]),
+        "pace": F.when(_jumped(), F.format_string("It moved %.2f C per minute.", steady_round(pace, 2))),
+        "departs": F.when(off.isNotNull(), F.format_string("It is %.2f C off the mean of the stations nearby.", steady_round(off, 2))),
+        "score": F.format_string("Its anomaly score is %.2f.", steady_round(F.col("ml_anomaly.normalized_anomaly_score"), 2)),
+        "leading": F.lit(None).cast("string") if top is None else F.when(F.size(top) > 0, F.concat(F.lit("Led by "), F.array_join(top, ", "), F.lit("."))),
+    }
+
+
 def summary(top: Column | None = None, gap_minutes: float = 15.0) -> Column:
-    """One sentence per gate. ``top``: names of the strongest contributors, appended where they matter."""
-    dq, tm, sp, ml = F.col("data_quality"), F.col("temporal"), F.col("spatial"), F.col("ml_anomaly")
-    g = F.col("gate")
-    strongest = F.when(F.size(top) > 0, F.concat(F.lit(" Strongest contributors: "), F.array_join(top, ", "), F.lit("."))).otherwise("") if top is not None else F.lit("")
-    quality = F.concat_ws(
-        " ", F.lit("Data quality defect detected."),
-        F.when(dq["is_duplicate"], "Duplicate time received."),
-        F.when(dq["is_out_of_order"], "Packet arrived out of order."),
-        F.when(F.size(dq["missing_fields"]) > 0, F.concat(F.lit("Missing fields: "), F.array_join(dq["missing_fields"], ", "), F.lit("."))),
-        F.when(dq["communication_gap_minutes"] > gap_minutes, F.format_string("Communication gap of %.1f minutes.", steady_round(dq["communication_gap_minutes"], 1))))
-    off = F.when(sp["temp_target_minus_mean"].isNotNull(), F.format_string(" Departs by %.2f C from the neighbour mean.", steady_round(sp["temp_target_minus_mean"], 2))).otherwise("")
-    fast = F.when(tm["is_rate_abnormal"] & tm["temp_rate_per_min"].isNotNull(), F.format_string(" Changed by %.2f C/min.", steady_round(tm["temp_rate_per_min"], 2))).otherwise("")
-    valid = sp["valid_neighbor_count"]
-    return (
-        F.when(g == "data_quality", quality)
-        .when(g == "bounds", "Reading breaches physical limits of the surface atmosphere.")
-        .when(g == "flatline", F.format_string("Persistence check failed: unchanged for %d readings (%.1f minutes).", tm["consecutive_unchanged_count"], steady_round(tm["flatline_duration_minutes"], 1)))
-        .when(g == "multivariate", "Multivariate check failed: temperature, humidity and dew point are inconsistent.")
-        .when(g == "regional_mixed", F.concat(F.lit("Regional weather change with an excess at this station."), off, strongest))
-        .when(g == "regional", F.concat(F.format_string("Change corroborated by %d stations of the regional network.", valid), fast, strongest))
-        .when(g == "local", F.concat(F.lit("Probable sensor anomaly."), fast, off, F.format_string(" %d active neighbours remain stable and do not corroborate it.", valid), strongest))
-        .when(g == "cluster", F.concat(F.lit("Local variation shared with the nearest stations of a cluster."), fast, strongest))
-        .when(g == "no_context", F.format_string("Uncertain: anomaly score %.2f without enough neighbours to judge it.", steady_round(ml["normalized_anomaly_score"], 2)))
-        .otherwise("Nominal observation."))
+    """Headline and facts. ``top``: names of the strongest contributors, told where they matter."""
+    facts, out = _facts(top, gap_minutes), F.lit(HEADLINE["nominal"])
+    for gate, headline in HEADLINE.items():
+        out = F.when(F.col("gate") == gate, F.concat_ws(" ", F.lit(headline), *[facts[f] for f in FACTS.get(gate, [])])).otherwise(out)
+    return out
 
 
 def steps() -> Column:
-    g = F.col("gate")
-    quality = F.array_append(
-        F.array_distinct(F.array_compact(F.array(*[F.when(F.array_contains("reason_codes", code), F.lit(text)) for code, text in QUALITY_STEPS]))),
-        F.lit(LAST_QUALITY_STEP))
-    out = F.when(g == "data_quality", quality)
-    for gate, lines in STEPS.items():
-        out = out.when(g == gate, F.array(*[F.lit(s) for s in lines]))
+    record = [F.when(F.array_contains("reason_codes", code), F.lit(text)) for code, text in RECORD_ACTIONS.items()]
+    out = F.when(F.col("gate") == "data_quality", F.array_append(F.array_compact(F.array(*record)), F.lit(AFTER_RECORD_ACTIONS)))
+    for gate, lines in ACTIONS.items():
+        out = out.when(F.col("gate") == gate, F.array(*map(F.lit, lines)))
     return out
 
 
+def category() -> Column:
+    """What kind of text a row should have; a local change is told apart by its pace and its distance."""
+    out = F.lit("OTHER")
+    for gate, name in GATE_CATEGORY.items():
+        out = F.when(F.col("gate") == gate, name).otherwise(out)
+    local = F.col("gate") == "local"
+    return F.when(local & _jumped(), "SPIKE").when(local & F.col("spatial.temp_target_minus_mean").isNotNull(), "DRIFT").otherwise(out)
+
+
 def evidence_tiers() -> Column:
     """Direct, model, contextual and operational evidence kept apart."""
     names = [x for kv in INTERPRETATION.items() for x in (F.lit(kv[0]), F.lit(kv[1]))]
@@ -105,15 +144,12 @@ def explain(decided: DataFrame, gap_minutes: float = 15.0, contributions: str |
 
 
 def keyword_check(explained: DataFrame) -> DataFrame:
-    """Per row: expected category, keywords found in summary and steps, passed."""
-    category = F.lit("OTHER")
-    for gate, c in GATE_CATEGORY.items():
-        category = F.when(F.col("gate") == gate, c).otherwise(category)
-    table = F.create_map(*[x for k, v in KEYWORDS.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in v]))])
-    corpus = F.lower(F.concat_ws(" ", "summary", F.array_join("investigation_steps", " ")))
-    out = explained.withColumns({"expected_category": category, "_corpus": corpus})
-    found = F.filter(F.element_at(table, F.col("expected_category")), lambda w: F.contains(F.col("_corpus"), w))
-    return out.withColumn("matched", found).withColumn("passed", F.size("matched") > 0).drop("_corpus")
+    """Per row: expected category, terms of it found in summary and actions, passed."""
+    terms = F.create_map(*[x for k, v in TERMS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    text = F.lower(F.concat_ws(" ", "summary", F.array_join("investigation_steps", " ")))
+    out = explained.withColumn("expected_category", category())
+    out = out.withColumn("matched", F.filter(F.element_at(terms, F.col("expected_category")), lambda w: F.contains(text, w)))
+    return out.withColumn("passed", F.size("matched") > 0)
 
 
 def pass_rates(checked: DataFrame) -> DataFrame:

@@ -127,23 +127,30 @@ QUERIES = {
 
 # --- oracle side ---------------------------------------------------------------------------
 def _steps_sql():
-    q = "concat_ws('; ', " + ", ".join(f"CASE WHEN contains(reasons, '{c}') THEN '{t}' END" for c, t in xp.QUALITY_STEPS[:2]) + f", '{xp.LAST_QUALITY_STEP}')"
-    return f"CASE gate WHEN 'data_quality' THEN {q} " + " ".join(f"WHEN '{g}' THEN '{'; '.join(s)}'" for g, s in xp.STEPS.items()) + " END"
-
-
-FAST = "CASE WHEN rate_abnormal THEN printf(' Changed by %.2f C/min.', round(rate + 1e-9::DOUBLE, 2)) ELSE '' END"
-OFF = "CASE WHEN minus_mean IS NOT NULL THEN printf(' Departs by %.2f C from the neighbour mean.', round(minus_mean + 1e-9::DOUBLE, 2)) ELSE '' END"
-SUMMARY = f"""CASE gate WHEN 'data_quality' THEN concat_ws(' ', 'Data quality defect detected.', CASE WHEN n_missing > 0 THEN 'Missing fields: ' || replace(missing_fields, ',', ', ') || '.' END,
-  CASE WHEN gap_minutes > 240 THEN printf('Communication gap of %.1f minutes.', round(gap_minutes + 1e-9::DOUBLE, 1)) END)
-  WHEN 'bounds' THEN 'Reading breaches physical limits of the surface atmosphere.' WHEN 'flatline' THEN printf('Persistence check failed: unchanged for %d readings (%.1f minutes).', unchanged, round(flat_minutes + 1e-9::DOUBLE, 1))
-  WHEN 'multivariate' THEN 'Multivariate check failed: temperature, humidity and dew point are inconsistent.' WHEN 'regional_mixed' THEN 'Regional weather change with an excess at this station.' || {OFF}
-  WHEN 'regional' THEN printf('Change corroborated by %d stations of the regional network.', valid_neighbors) || {FAST}
-  WHEN 'local' THEN 'Probable sensor anomaly.' || {FAST} || {OFF} || printf(' %d active neighbours remain stable and do not corroborate it.', valid_neighbors)
-  WHEN 'cluster' THEN 'Local variation shared with the nearest stations of a cluster.' || {FAST} WHEN 'no_context' THEN printf('Uncertain: anomaly score %.2f without enough neighbours to judge it.', round(score + 1e-9::DOUBLE, 2))
-  ELSE 'Nominal observation.' END"""
+    codes = ", ".join(f"CASE WHEN contains(reasons, '{c}') THEN '{t}' END" for c, t in xp.RECORD_ACTIONS.items() if not c.startswith(("DUPLICATE", "OUT_OF")))
+    lines = " ".join(f"WHEN '{g}' THEN '{'; '.join(s)}'" for g, s in xp.ACTIONS.items())
+    return f"CASE gate WHEN 'data_quality' THEN concat_ws('; ', {codes}, '{xp.AFTER_RECORD_ACTIONS}') {lines} END"
+
+
+def _fixed(number, digits):
+    return f"round({number} + 1e-9::DOUBLE, {digits})"
+
+
+FACT_SQL = {
+    "absent": "CASE WHEN n_missing > 0 THEN 'Absent: ' || replace(missing_fields, ',', ', ') || '.' END",
+    "silence": f"CASE WHEN gap_minutes > 240 THEN printf('Nothing came for %.1f minutes.', {_fixed('gap_minutes', 1)}) END",
+    "stuck": f"printf('Same value %d times over %.1f minutes.', unchanged, {_fixed('flat_minutes', 1)})",
+    "witnesses": "printf('%d stations nearby report.', valid_neighbors)",
+    "pace": f"CASE WHEN rate_abnormal THEN printf('It moved %.2f C per minute.', {_fixed('rate', 2)}) END",
+    "departs": f"CASE WHEN minus_mean IS NOT NULL THEN printf('It is %.2f C off the mean of the stations nearby.', {_fixed('minus_mean', 2)}) END",
+    "score": f"printf('Its anomaly score is %.2f.', {_fixed('score', 2)})",
+}
+SUMMARY = "CASE gate " + " ".join(
+    f"WHEN '{g}' THEN concat_ws(' ', " + ", ".join([f"'{h}'", *(FACT_SQL[f] for f in xp.FACTS.get(g, []) if f in FACT_SQL)]) + ")" for g, h in xp.HEADLINE.items()) + " END"
 INTERP = "CASE decision " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in xp.INTERPRETATION.items()) + " END"
-CAT = "CASE gate " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in xp.GATE_CATEGORY.items()) + " ELSE 'OTHER' END"
-HITS = "CASE cat " + " ".join(f"WHEN '{k}' THEN " + " + ".join(f"contains(corpus, '{w}')::INT" for w in v) for k, v in xp.KEYWORDS.items()) + " END"
+CAT = "CASE WHEN gate = 'local' AND rate_abnormal THEN 'SPIKE' WHEN gate = 'local' AND minus_mean IS NOT NULL THEN 'DRIFT' ELSE (CASE gate " + " ".join(
+    f"WHEN '{k}' THEN '{v}'" for k, v in xp.GATE_CATEGORY.items()) + " ELSE 'OTHER' END) END"
+HITS = "CASE cat " + " ".join(f"WHEN '{k}' THEN " + " + ".join(f"contains(corpus, '{w}')::INT" for w in v) for k, v in xp.TERMS.items()) + " END"
 D_DOUBLES = [c for c in fs.SET_D if c not in ("spatial_neighbor_count",)]
 _cal = "sin(6.283185307179586::DOUBLE * (hour(obs_ts) + minute(obs_ts) / 60.0::DOUBLE) / 24.0) AS sin_hour, cos(6.283185307179586::DOUBLE * (hour(obs_ts) + minute(obs_ts) / 60.0::DOUBLE) / 24.0) AS cos_hour, " \
        "sin(6.283185307179586::DOUBLE * (dayofyear(obs_ts) - 1) / 365.25::DOUBLE) AS sin_day_of_year, cos(6.283185307179586::DOUBLE * (dayofyear(obs_ts) - 1) / 365.25::DOUBLE) AS cos_day_of_year"
