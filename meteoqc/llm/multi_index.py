@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from meteoqc.llm.common import staged, table
 
-K, SAMPLE, ROUNDS, BLOCK = 32, 8192, 12, 8192
-BEST, SHARE, LEAST = 10, 0.15, 2000
+K, SAMPLE, ROUNDS, BLOCK = 96, 8192, 12, 8192
+BEST, SHARE, LEAST = 10, 0.45, 2000
 FOUND = "query_id long, vec_id long, score double"
 
 
