@@ -34,9 +34,9 @@ PAYLOAD = T.StructType(
 )
 
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
-    """One payload per file."""
-    return spark.read.option("wholetext", True).text(path).select(
+def scan(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One payload per file, or per line (JSON lines, which large archives can be split at)."""
+    return spark.read.option("wholetext", not lines).text(path).select(
         F.col("value").alias("payload"), F.input_file_name().alias("payload_file"))
 
 

@@ -17,10 +17,13 @@ OBSERVATION_KEY = ("source", KEY, TS)
 
 
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None where there is none; a table that cannot be read is an error."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def append_by_day(df: DataFrame, path: str, ts: str = TS) -> None:

@@ -96,19 +96,39 @@ def is_archive_layout(columns: list[str]) -> bool:
     return {"TMP", "DATE"} <= set(columns)
 
 
+def files_by_header(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Header line -> files that start with it. One pass over the text gives one row for each file."""
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("n"), "_metadata.file_path", "_metadata.file_block_start")
+    first = lines.filter("file_block_start = 0").groupBy("file_path").agg(F.min_by("value", "n").alias("header"))
+    out: dict[str, list[str]] = {}
+    for r in first.select(F.url_decode(F.replace("file_path", F.lit("+"), F.lit("%2B"))).alias("file"), "header").orderBy("file").toLocalIterator():
+        out.setdefault(r["header"], []).append(r["file"])
+    return out
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Sniffs the header and dispatches to the archive or the generic normaliser."""
-    raw = spark.read.option("header", True).csv(path)
-    return isd.normalise(raw) if is_archive_layout(raw.columns) else normalise(raw)
+    """Sniffs the headers and dispatches to the archive or the generic normaliser.
+
+    Files with different headers are read apart: a CSV scan takes columns by place, so one header
+    for all of them would swap columns of the others.
+    """
+    out = None
+    for files in files_by_header(spark, path).values():
+        raw = spark.read.option("header", True).csv(files)
+        rows = isd.normalise(raw) if is_archive_layout(raw.columns) else normalise(raw)
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return normalise(spark.read.option("header", True).csv(path)) if out is None else out
 
 
 def read_labelled(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Benchmark file -> (synthetic observations, scenario labels in their own frame)."""
-    raw = spark.read.option("header", True).csv(path)
-    rows = normalise(raw).withColumn("is_synthetic", F.lit(True))
-    scenario = [c for c in ("scenario_id", "scenario_name", "anomaly_type", "step_index", *LABEL_COLUMNS) if c in raw.columns]
-    named = rename(raw)
-    return rows, named.select(KEY, parse_timestamp(F.col(TS)).alias(TS), *scenario)
+    """Benchmark files -> (synthetic observations, scenario labels in their own frame)."""
+    rows = labels = None
+    for files in files_by_header(spark, path).values():
+        raw = spark.read.option("header", True).csv(files)
+        scenario = [c for c in ("scenario_id", "scenario_name", "anomaly_type", "step_index", *LABEL_COLUMNS) if c in raw.columns]
+        part = normalise(raw).withColumn("is_synthetic", F.lit(True)), rename(raw).select(KEY, parse_timestamp(F.col(TS)).alias(TS), *scenario)
+        rows, labels = part if rows is None else (rows.unionByName(part[0]), labels.unionByName(part[1], allowMissingColumns=True))
+    return rows, labels
 
 
 def read_stations(spark: SparkSession, path: str) -> DataFrame:
