@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meteoqc.plans.common import oracle, publish
+from meteoqc.plans.common import oracle, publish, replaced_observations
 from meteoqc.plans.decision_plans import DECIDED, RULES
 from meteoqc.plans.profile_plans import repeated
 from meteoqc.schema import KEY, TS
@@ -48,7 +48,20 @@ def changes(spark, sf_dir):
     return publish(spark.read.parquet(f.events_out).groupBy("event_type", KEY).agg(F.count(F.lit(1)).alias("n"), F.max(TS).alias("last_ts")))
 
 
+def decided_over_batches(spark, sf_dir):
+    """Three micro-batches in order of time, with six days of silence before the last; every row as in one batch."""
+    f = st.Folders(st.new_folder(spark, "batches"))
+    feed, events = f"{f.root}-feed", spark.read.parquet(f"{sf_dir}/events.parquet")
+    day = F.dayofmonth("ts")
+    step = st.decide_batches(f, RULES)
+    for part in (day < 5, (day >= 5) & (day < 10), day >= 16):
+        events.filter(part).write.mode("append").parquet(feed)
+        st.run_available(st.observation_stream(spark, feed, "*.parquet"), step, f"{f.root}-checkpoint")
+    return publish(spark.read.parquet(f.decisions).select(*ID, "epoch", "decision", "severity", F.array_join("reason_codes", ",").alias("reasons")))
+
+
 QUERIES = {
+    "stream_decisions_over_batches": decided_over_batches,
     "stream_half_hour_windows": windows,
     "stream_duplicate_suppression": duplicates,
     "stream_arrival_status": arrival,
@@ -56,7 +69,11 @@ QUERIES = {
     "stream_change_events": changes,
 }
 
+SILENT = replaced_observations("observations AS (SELECT * FROM raw_observations WHERE day(obs_ts) < 10 OR day(obs_ts) >= 16)")
 ORACLES = {
+    "stream_decisions_over_batches": oracle(
+        """SELECT station_id, obs_ts, CAST(CASE WHEN day(obs_ts) < 5 THEN 0 WHEN day(obs_ts) < 10 THEN 1 ELSE 2 END AS BIGINT) AS epoch, decision, severity, reasons FROM decided""",
+        *DECIDED, base=SILENT),
     "stream_half_hour_windows": oracle(
         """SELECT station_id, time_bucket(INTERVAL '30 minutes', obs_ts) AS window_start, count(*) AS readings, avg(temperature_c) AS mean_temp, min(temperature_c) AS min_temp, max(temperature_c) AS max_temp
         FROM observations GROUP BY 1, 2 HAVING time_bucket(INTERVAL '30 minutes', min(obs_ts)) + INTERVAL 30 MINUTE <= (SELECT max(obs_ts) FROM observations) - INTERVAL 2 HOUR""", doubles=["mean_temp"]),

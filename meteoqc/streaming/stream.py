@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -13,7 +12,7 @@ from meteoqc.operators.chunks import CHUNK, scan, with_chunk
 from meteoqc.operators.decision import Rules, anomaly_events, decisions
 from meteoqc.operators.source_health import source_states
 from meteoqc.operators.spatial import neighbour_edges, stations
-from meteoqc.operators.staging import stage_root
+from meteoqc.operators.staging import new_folder  # noqa: F401  (for the plans)
 from meteoqc.schema import KEY, TEMP, TS
 from meteoqc.sources.sinks import read_or_none, write_once_per_epoch
 from meteoqc.sources.tables import as_observations
@@ -34,10 +33,6 @@ def observation_stream(spark: SparkSession, folder: str, pattern: str = "events.
     return as_observations(event_stream(spark, folder, pattern, files_per_trigger))
 
 
-def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{stage_root(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def run_available(df: DataFrame, each_batch: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Processes everything there is, then stops; a restart continues from the checkpoint."""
     (df.writeStream.outputMode(mode).foreachBatch(each_batch).option("checkpointLocation", checkpoint)
@@ -66,6 +61,8 @@ class Folders:
     root: str
 
     def __getattr__(self, name: str) -> str:
+        if name.startswith("__"):
+            raise AttributeError(name)
         return f"{self.root}/{name}"
 
 
@@ -103,21 +100,53 @@ def track_arrival(folders: Folders, arrival: str = "ingestion_ts", tie: str = "e
     return each
 
 
-def decide_batches(folders: Folders, rules: Rules = Rules(), history_hours: int = 48) -> Callable[[DataFrame, int], None]:
-    """Runs the batch operators on the micro-batch together with recent stored readings.
+def last_epoch(df: DataFrame | None) -> DataFrame | None:
+    """Rows of the newest epoch of a table that is rewritten in every epoch."""
+    newest = None if df is None else df.agg(F.max("epoch")).first()[0]
+    return None if newest is None else df.filter(F.col("epoch") == newest).drop("epoch")
+
+
+def tails_of(rows: DataFrame, decided: DataFrame) -> DataFrame:
+    """What later readings of a station can depend on, however long it is silent: its last two readings and its unchanged run."""
+    last = decided.groupBy(KEY).agg(F.max(TS).alias("last_ts"), F.max_by("temporal.flatline_duration_minutes", TS).alias("held"))
+    second = rows.select(KEY, TS).join(last.select(KEY, "last_ts"), KEY).filter(F.col(TS) < F.col("last_ts")).groupBy(KEY).agg(F.max(TS).alias("second_ts"))
+    run = F.timestamp_micros((F.unix_micros("last_ts") - (F.coalesce("held", F.lit(0.0)) * 60_000_000 + 1_000_000).cast("long")))
+    start = last.join(second, KEY, "left").select(KEY, F.least("second_ts", run).alias("start_ts"))
+    return rows.join(start, KEY).filter(F.col(TS) >= F.col("start_ts")).drop("start_ts")
+
+
+def context_of(fresh: DataFrame, past: DataFrame, tails: DataFrame, window_hours: int) -> DataFrame:
+    """Stored readings that the decisions of ``fresh`` need.
+
+    All readings of the last ``window_hours`` before the batch (no feature looks back further by
+    time), and of every station its tail, which holds what features look back to by row: the
+    previous reading, the last one of each neighbour, the whole unchanged run. A station with late
+    readings from before its tail gives its whole history.
+    """
+    first = fresh.agg(F.min(F.unix_micros(TS))).first()[0]
+    if first is None:
+        return past.limit(0)
+    start = F.timestamp_micros(F.lit(first - window_hours * 3_600_000_000))
+    behind = fresh.groupBy(KEY).agg(F.min(TS).alias("first_ts")).join(tails.groupBy(KEY).agg(F.min(TS).alias("kept_ts")), KEY)
+    behind = behind.filter(F.col("first_ts") < F.col("kept_ts")).select(KEY)
+    older = tails.filter(F.col(TS) < start).join(behind, KEY, "left_anti")
+    whole = past.filter(F.col(TS) < start).join(behind, KEY, "left_semi")
+    return past.filter(F.col(TS) >= start).unionByName(older).unionByName(whole)
+
+
+def decide_batches(folders: Folders, rules: Rules = Rules(), window_hours: int = 48) -> Callable[[DataFrame, int], None]:
+    """Runs the batch operators on the micro-batch together with the stored readings it depends on.
 
-    Writes ``readings``, ``places``, ``decisions``, ``events_out`` (typed change rows) and ``batch_metrics``.
+    Writes ``readings``, ``places``, ``tails``, ``decisions``, ``events_out`` (typed change rows) and ``batch_metrics``.
     """
     def each(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         past = earlier(spark, folders.readings, epoch)
+        stored_tails = read_or_none(spark, folders.tails)
+        tails = last_epoch(None if stored_tails is None else stored_tails.filter(F.col("epoch") < epoch))
         write_once_per_epoch(batch, folders.readings, epoch)
         fresh = spark.read.parquet(f"{folders.readings}/epoch={epoch}")
-        together = fresh
-        if past is not None:
-            start = fresh.agg((F.min(F.unix_micros(TS)) - history_hours * 3_600_000_000).alias("t")).first()["t"]
-            if start is not None:
-                together = fresh.unionByName(past.filter(F.unix_micros(TS) >= start))
+        together = fresh if past is None or tails is None else fresh.unionByName(context_of(fresh, past, tails, window_hours))
         known = earlier(spark, folders.places, epoch)
         seen = stations(fresh)
         if known is not None:
@@ -127,9 +156,13 @@ def decide_batches(folders: Folders, rules: Rules = Rules(), history_hours: int
         write_once_per_epoch(new, folders.places, epoch)
         network = spark.read.parquet(folders.places).drop("epoch").dropDuplicates([KEY])
         decided = decisions(together, neighbour_edges(network), rules)
-        mine = decided.join(fresh.select("event_id"), "event_id", "left_semi")
-        write_once_per_epoch(mine, folders.decisions, epoch)
+        write_once_per_epoch(decided, folders.decided_context, epoch)
+        decided = spark.read.parquet(f"{folders.decided_context}/epoch={epoch}")
+        write_once_per_epoch(decided.join(fresh.select("event_id"), "event_id", "left_semi"), folders.decisions, epoch)
         done = spark.read.parquet(f"{folders.decisions}/epoch={epoch}")
+        if tails is not None:  # stations without readings in this context keep their tail
+            together = together.unionByName(tails.join(together.select(KEY).distinct(), KEY, "left_anti"))
+        write_once_per_epoch(tails_of(together, decided), folders.tails, epoch)
         write_once_per_epoch(change_events(done), folders.events_out, epoch)
         metrics = fresh.agg(F.lit(epoch).alias("batch"), F.count(F.lit(1)).alias("rows"), F.min(TS).alias("first_ts"), F.max(TS).alias("last_ts"),
                             F.approx_count_distinct(KEY).alias("stations"))

@@ -127,13 +127,13 @@ def test_arrival_over_batches(spark, obs, split_events, tmp_path):
 
 def test_decisions_over_batches_and_replay(spark, obs, split_events, tmp_path):
     f = st.Folders(str(tmp_path / "dec"))
-    step = st.decide_batches(f, RULES, history_hours=10_000)
+    step = st.decide_batches(f, RULES, window_hours=48)
     st.run_available(st.observation_stream(spark, split_events, "part*.parquet", 1), step, str(tmp_path / "cp"))
     got = spark.read.parquet(f.decisions)
     assert got.count() == obs.count()
     batch = decided(obs).select("event_id", F.col("decision").alias("d"))
     same = got.join(batch, "event_id").filter(F.col("decision") == F.col("d")).count()
-    assert same >= 0.97 * obs.count()  # neighbours seen later can change the network, nothing else
+    assert same >= 0.97 * obs.count()  # batches follow the event number: readings overtaken across files come late
     spark.read.parquet(f.readings).filter("epoch = 1").drop("epoch").write.parquet(str(tmp_path / "again"))
     step(spark.read.parquet(str(tmp_path / "again")), 1)  # the same batch again
     assert spark.read.parquet(f.decisions).count() == obs.count()
