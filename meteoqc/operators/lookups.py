@@ -78,7 +78,7 @@ def retained(df: DataFrame, days: int, now: Column, ts: str = TS, protected: Col
     """Rows no older than ``days`` (all if ``days <= 0``); ``protected`` rows always stay."""
     if days <= 0:
         return df
-    keep = F.unix_micros(ts) >= F.unix_micros(now) - days * 86_400_000_000
+    keep = F.col(ts) >= F.timestamp_micros(F.unix_micros(now) - days * 86_400_000_000)  # the bare column, so that it reaches the scan
     return df.filter(keep if protected is None else keep | protected)
 
 

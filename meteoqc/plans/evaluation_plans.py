@@ -109,13 +109,17 @@ def sweep(obs):
     return ev.sweep_thresholds(rows, [0.3, 0.4, 0.5, 0.6, 0.65, 0.7, 0.8])
 
 
+RADII = [25.0, 50.0, 100.0, 150.0, 300.0, 600.0, 1000.0, 1500.0]
+
+
 def radius_sweep(obs):
-    """Neighbour supply per search radius; pairs are found once at the largest radius."""
-    radii = [25.0, 50.0, 100.0, 150.0, 600.0]
-    pairs = sp.station_pairs(sp.stations(obs), max(radii))
-    x = pairs.select("*", F.explode(F.array(*[F.lit(r) for r in radii])).alias("radius_km")).filter(F.col("distance_km") <= F.col("radius_km"))
+    """Neighbour supply per search radius, a row for each radius; pairs are found once at the largest one."""
+    pairs = sp.station_pairs(sp.stations(obs), max(RADII))
+    radii = obs.sparkSession.createDataFrame([(r,) for r in RADII], "radius_km double")
+    x = pairs.select("*", F.explode(F.array(*[F.lit(r) for r in RADII])).alias("radius_km")).filter(F.col("distance_km") <= F.col("radius_km"))
     per = x.groupBy("radius_km", KEY).agg(F.count(F.lit(1)).alias("n"), F.min("distance_km").alias("d"))
-    return per.groupBy("radius_km").agg(F.count(F.lit(1)).alias("connected"), F.avg("n").alias("mean_neighbours"), F.min("d").alias("nearest_km"))
+    found = per.groupBy("radius_km").agg(F.count(F.lit(1)).alias("connected"), F.avg("n").alias("mean_neighbours"), F.min("d").alias("nearest_km"))
+    return radii.join(found, "radius_km", "left").fillna(0, ["connected", "mean_neighbours"])
 
 
 def tolerance_sweep(obs):
@@ -372,8 +376,9 @@ ORACLES = {
         f"SELECT * FROM {rates('SELECT t AS threshold, ' + CONF.replace('count(*) AS observations, ', '').replace('pred = 1', 'sr >= t').replace('pred = 0', 'sr < t') + f' FROM (SELECT y, round(score + 1e-9::DOUBLE, 6) AS sr FROM scored), (VALUES {SWEEP}) v(t) GROUP BY 1')}",
         *SC, base=BASE, doubles=MET),
     "radius_sweep": oracle(
-        """SELECT r AS radius_km, count(*) AS connected, avg(n) AS mean_neighbours, min(d) AS nearest_km FROM (SELECT r, station_id, count(*) AS n, min(distance_km) AS d FROM pairs,
-        (VALUES (25.0::DOUBLE), (50.0::DOUBLE), (100.0::DOUBLE), (150.0::DOUBLE), (600.0::DOUBLE)) v(r) WHERE distance_km <= r GROUP BY 1, 2) GROUP BY 1""", STATIONS_CTE, pairs_cte(), doubles=["mean_neighbours", "nearest_km"]),
+        f"""SELECT r AS radius_km, count(station_id) AS connected, coalesce(avg(n), 0.0) AS mean_neighbours, min(d) AS nearest_km FROM (VALUES {', '.join(f'({r}::DOUBLE)' for r in RADII)}) v(r)
+        LEFT JOIN (SELECT q AS radius, station_id, count(*) AS n, min(distance_km) AS d FROM pairs, (VALUES {', '.join(f'({r}::DOUBLE)' for r in RADII)}) w(q)
+        WHERE distance_km <= q GROUP BY 1, 2) ON radius = r GROUP BY 1""", STATIONS_CTE, pairs_cte(max(RADII)), doubles=["mean_neighbours", "nearest_km"]),
     "tolerance_sweep": oracle(
         """SELECT tol AS tolerance_minutes, count(*) AS pairs, count(CASE WHEN abs(time_delta_seconds) <= tol * 60 THEN 1 END) AS fresh, avg(CASE WHEN abs(time_delta_seconds) <= tol * 60 THEN abs(time_delta_seconds) END) AS mean_age_seconds
         FROM matches, (VALUES (10), (30), (60), (120)) v(tol) GROUP BY 1""", *CONTEXT[:5], doubles=["mean_age_seconds"], ints=["tolerance_minutes"]),

@@ -90,11 +90,11 @@ def keyword_rates(obs):
 
 
 def records(obs):
-    """Explanation records of the stored events: text, neighbours, and the strongest features."""
+    """Explanation records of all stored events: text, neighbours, and the strongest features."""
     d = decided_table(obs)
     rows = _rows(obs)
     m = forest(rows)
-    events = staged(dc.anomaly_events(d).filter(F.col("severity").isin("HIGH", "CRITICAL")))
+    events = staged(dc.anomaly_events(d))
     feats = rows.join(events.select(*ID), ID)
     top = m.with_contributions(feats).select(*ID, fo.ranked("contributions", 5).alias("top"))
     near = sp.compare_neighbours(obs, edges_of(obs)).select(*ID, "neighbor_median", "deviation", "alignment")

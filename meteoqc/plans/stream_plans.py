@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from meteoqc.operators.lookups import latest_per_key
 from meteoqc.plans.common import oracle, publish, replaced_observations
 from meteoqc.plans.decision_plans import DECIDED, RULES
 from meteoqc.plans.profile_plans import repeated
@@ -14,9 +15,10 @@ ID = [KEY, TS]
 
 
 def windows(spark, sf_dir):
+    """Every window, those still open at the end of the input too: each epoch writes the windows it touched, the last version counts."""
     out = st.new_folder(spark, "windows")
-    st.run_available(st.window_aggregates(st.observation_stream(spark, sf_dir)), st.to_table(out), f"{out}-checkpoint")
-    return publish(spark.read.parquet(out).drop("epoch"))
+    st.run_available(st.window_aggregates(st.observation_stream(spark, sf_dir)), st.to_table(out), f"{out}-checkpoint", "update")
+    return publish(latest_per_key(spark.read.parquet(out), [KEY, "window_start"], "epoch").drop("epoch"))
 
 
 def duplicates(spark, sf_dir):
@@ -76,7 +78,7 @@ ORACLES = {
         *DECIDED, base=SILENT),
     "stream_half_hour_windows": oracle(
         """SELECT station_id, time_bucket(INTERVAL '30 minutes', obs_ts) AS window_start, count(*) AS readings, avg(temperature_c) AS mean_temp, min(temperature_c) AS min_temp, max(temperature_c) AS max_temp
-        FROM observations GROUP BY 1, 2 HAVING time_bucket(INTERVAL '30 minutes', min(obs_ts)) + INTERVAL 30 MINUTE <= (SELECT max(obs_ts) FROM observations) - INTERVAL 2 HOUR""", doubles=["mean_temp"]),
+        FROM observations GROUP BY 1, 2""", doubles=["mean_temp"]),
     "stream_duplicate_suppression": oracle("SELECT station_id, obs_ts, source FROM observations"),
     "stream_arrival_status": oracle(
         """SELECT event_id, station_id, obs_ts, hw AS high_water_ts, CASE WHEN obs_ts < hw THEN 'OUT_OF_ORDER' ELSE 'PROCESSED' END AS status, FALSE AS is_late FROM
