@@ -35,18 +35,20 @@ REMOVING = ["MISSING_DATA", "COMMUNICATION_GAP"]
 HOUR_US = 3_600_000_000
 
 
-def choose_episodes(spark: SparkSession, obs: DataFrame, per_type: int = 2, seed: int = 42) -> DataFrame:
-    """Episodes anchored at the rows with the smallest hashes; their number is a parameter."""
-    n = per_type * len(EPISODES)
+def _digits(digest: Column, first: int) -> Column:
+    return F.conv(F.substr(digest, F.lit(first), F.lit(8)), 16, 10).cast("long")
+
+
+def choose_episodes(spark: SparkSession, obs: DataFrame, every: int = 300, seed: int = 42) -> DataFrame:
+    """Episodes anchored at one reading in ``every``, chosen by hash; their number grows with the table."""
     digest = F.md5(F.concat_ws("|", F.lit(seed).cast("string"), F.col("event_id").cast("string")))
-    anchors = obs.filter(F.col(TEMP).isNotNull()).select(KEY, TS, F.col(TEMP).alias("start_temp"), digest.alias("h")).orderBy("h").limit(n)
-    ranked = anchors.withColumn("k", F.row_number().over(Window.orderBy("h")) - 1)  # n rows
+    anchors = obs.filter(F.col(TEMP).isNotNull()).select(KEY, TS, F.col(TEMP).alias("start_temp"), digest.alias("h")).filter(_digits(F.col("h"), 1) % every == 0)
     kinds = spark.createDataFrame(
         [(i, *e) for i, e in enumerate(EPISODES)],
         "i int, anomaly_type string, hours int, d_temp double, d_rh double, d_slp double, is_fault boolean, affected string")
-    out = ranked.join(F.broadcast(kinds), F.col("k") % len(EPISODES) == F.col("i"))  # as many rows as types
+    out = anchors.join(F.broadcast(kinds), _digits(F.col("h"), 9) % len(EPISODES) == F.col("i"))  # as many rows as types
     return out.select(
-        F.format_string("ANOM-%06d", F.col("k") + 1).alias("anomaly_id"), KEY, F.col(TS).alias("start_ts"),
+        F.concat(F.lit("ANOM-"), F.substr("h", F.lit(1), F.lit(12))).alias("anomaly_id"), KEY, F.col(TS).alias("start_ts"),
         F.timestamp_micros(F.unix_micros(TS) + F.col("hours").cast("long") * HOUR_US).alias("end_ts"),
         "anomaly_type", "start_temp", "d_temp", "d_rh", "d_slp", "is_fault", "affected")
 

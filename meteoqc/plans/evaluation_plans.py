@@ -245,9 +245,9 @@ def episode_ctes(src):
     temp = f"""CASE WHEN (anomaly_type = 'FROZEN_SENSOR' OR (anomaly_type = 'INTERMITTENT_FREEZE' AND CAST(floor({hours}) AS BIGINT) % 2 = 0)) AND o.temperature_c IS NOT NULL THEN start_temp
       ELSE round(o.temperature_c + CASE anomaly_type WHEN 'DRIFT' THEN d_temp * {hours} WHEN 'RANDOM_NOISE' THEN ({bucket_sql(2001, "CAST(o.event_id AS VARCHAR)")} - 1000) / 1000.0::DOUBLE * d_temp ELSE d_temp END + 1e-9::DOUBLE, 2) END"""
     return f"""
-episodes AS (SELECT 'ANOM-' || lpad(CAST(k + 1 AS VARCHAR), 6, '0') AS anomaly_id, station_id, obs_ts AS start_ts, obs_ts + to_hours(hours) AS end_ts, anomaly_type, temperature_c AS start_temp,
-  d_temp, d_rh, d_slp, kf AS is_fault, affected FROM (SELECT *, row_number() OVER (ORDER BY h) - 1 AS k FROM (SELECT station_id, obs_ts, temperature_c, md5('42|' || event_id) AS h FROM {src}
-  WHERE temperature_c IS NOT NULL ORDER BY h LIMIT {2 * len(au.EPISODES)})) JOIN (VALUES {KINDS}) kinds(i, anomaly_type, hours, d_temp, d_rh, d_slp, kf, affected) ON k % {len(au.EPISODES)} = i),
+episodes AS (SELECT 'ANOM-' || substr(h, 1, 12) AS anomaly_id, station_id, obs_ts AS start_ts, obs_ts + to_hours(hours) AS end_ts, anomaly_type, temperature_c AS start_temp,
+  d_temp, d_rh, d_slp, kf AS is_fault, affected FROM (SELECT station_id, obs_ts, temperature_c, md5('42|' || event_id) AS h FROM {src} WHERE temperature_c IS NOT NULL)
+  JOIN (VALUES {KINDS}) kinds(i, anomaly_type, hours, d_temp, d_rh, d_slp, kf, affected) ON ('0x' || substr(h, 9, 8))::BIGINT % {len(au.EPISODES)} = i WHERE ('0x' || substr(h, 1, 8))::BIGINT % 300 = 0),
 hit AS (SELECT o.event_id, o.station_id, o.obs_ts, e.anomaly_id, e.anomaly_type, e.affected, e.start_ts, e.end_ts, e.is_fault, o.temperature_c AS original_value, {temp} AS new_temp,
   CASE WHEN o.relative_humidity_pct IS NOT NULL THEN greatest(0.0, least(100.0, o.relative_humidity_pct + d_rh)) END AS new_rh, round(o.sea_level_pressure_hpa + d_slp + 1e-9::DOUBLE, 2) AS new_slp
   FROM {src} o JOIN episodes e ON o.station_id = e.station_id AND o.obs_ts BETWEEN e.start_ts AND e.end_ts),
