@@ -155,11 +155,12 @@ REMOVED = ["TIMESTAMP_GAP", "PARTIAL_OUTAGE", "FULL_OUTAGE"]
 # --- end of fixed values ------------------------------------------------------
 
 
-def scenario_table(spark: SparkSession, stations: list[str] | None = None) -> DataFrame:
-    """Scenario i acts on station i of the list (one station each)."""
-    names = stations or [f"S{i:02d}" for i in range(24)]
-    rows = [(*s, names[i % len(names)]) for i, s in enumerate(SCENARIOS)]
-    return spark.createDataFrame(rows, f"scenario_id string, kind string, first_step int, last_step int, amount double, expected string, {KEY} string")
+def scenario_table(obs: DataFrame) -> DataFrame:
+    """A scenario for every station of ``obs``, in turn by the order of their names (one row each)."""
+    names = obs.select(KEY).distinct().withColumn("i", (F.row_number().over(Window.orderBy(KEY)) - 1) % len(SCENARIOS))
+    kinds = obs.sparkSession.createDataFrame(
+        [(i, *s) for i, s in enumerate(SCENARIOS)], "i int, scenario_id string, kind string, first_step int, last_step int, amount double, expected string")
+    return names.join(F.broadcast(kinds), "i").drop("i")  # as many rows as scenarios
 
 
 def with_steps(obs: DataFrame) -> DataFrame:

@@ -178,18 +178,18 @@ def outage(obs):
 
 
 def scenarios(obs):
-    s = au.apply_scenarios(au.with_steps(obs), au.scenario_table(obs.sparkSession))
+    s = au.apply_scenarios(au.with_steps(obs), au.scenario_table(obs))
     return s.select("event_id", KEY, "step", "scenario_id", "applied", *VALUES, "data_quality_status", "ts_text", "expected", "copy")
 
 
 def scenario_rows(obs):
-    w = au.scenario_window(au.with_steps(obs), au.scenario_table(obs.sparkSession))
+    w = au.scenario_window(au.with_steps(obs), au.scenario_table(obs))
     return w.groupBy("scenario_id", KEY).agg(F.count(F.lit(1)).alias("rows"), F.min("step").alias("first"), F.max("step").alias("last"))
 
 
 def scenario_checks(obs):
     """Checks per scenario on what its transform left behind, and the pass rate of each check."""
-    s = au.apply_scenarios(au.with_steps(obs), au.scenario_table(obs.sparkSession)).filter(F.col("applied") != "NONE")
+    s = au.apply_scenarios(au.with_steps(obs), au.scenario_table(obs)).filter(F.col("applied") != "NONE")
     bad = F.col("data_quality_status").isin("ERROR", "MISSING", "SUSPECT")
     missing = F.col(TEMP).isNull() | F.col(RH).isNull() | F.col(SLP).isNull()
     checks = {
@@ -316,9 +316,10 @@ runs AS (SELECT station_id, g, min(obs_ts) AS onset, max(obs_ts) AS last_ts, arg
 peaks AS (SELECT station_id, g, obs_ts AS peak_ts, temperature_c AS peak_value, score AS peak_score FROM grp WHERE is_anom QUALIFY row_number() OVER (PARTITION BY station_id, g ORDER BY score DESC NULLS LAST, obs_ts) = 1),
 eps AS (SELECT station_id, onset, last_ts, CASE WHEN open THEN NULL ELSE (SELECT q.obs_ts FROM grp q WHERE q.station_id = r.station_id AND q.seq = r.b + 1) END AS recovery, length, peak_ts, peak_value,
   round(peak_score + 1e-9::DOUBLE, 3) AS peak_score, a, b FROM runs r JOIN peaks USING (station_id, g))"""
-SCN = ", ".join(f"('{i}', '{k}', {a}, {b}, {v}::DOUBLE, '{e}', 'S{n:02d}')" for n, (i, k, a, b, v, e) in enumerate(au.SCENARIOS))
+SCN = ", ".join(f"({n}, '{i}', '{k}', {a}, {b}, {v}::DOUBLE, '{e}')" for n, (i, k, a, b, v, e) in enumerate(au.SCENARIOS))
 SCN_CTE = f"""
-scn AS (SELECT * FROM (VALUES {SCN}) v(scenario_id, kind, first_step, last_step, amount, expected, station_id)),
+scn AS (SELECT v.* EXCLUDE (i), station_id FROM (VALUES {SCN}) v(i, scenario_id, kind, first_step, last_step, amount, expected) JOIN
+  (SELECT station_id, (row_number() OVER (ORDER BY station_id) - 1) % {len(au.SCENARIOS)} AS i FROM (SELECT DISTINCT station_id FROM observations)) USING (i)),
 stepped AS (SELECT *, row_number() OVER ({P}) - 1 AS step FROM observations),
 sj AS (SELECT s.*, c.scenario_id, c.first_step, c.last_step, c.amount AS am, c.expected AS exp0, step BETWEEN first_step AND last_step AS inside, CASE WHEN step BETWEEN first_step AND last_step THEN kind ELSE 'NONE' END AS k FROM stepped s JOIN scn c USING (station_id)),
 transformed AS (SELECT event_id, station_id, step, scenario_id, k AS applied,
