@@ -51,6 +51,14 @@ def gram_hashes(symbols: np.ndarray, k: int) -> np.ndarray:
     return mixed((sums[k:] - sums[:-k]) * down[:n])
 
 
+def part_hashes(symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each part ``start:end``, its length included."""
+    up, down = powers(len(symbols) + 1)
+    sums = np.zeros(len(symbols) + 1, np.uint64)
+    np.cumsum(symbols * up[:len(symbols)], out=sums[1:])
+    return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
 def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every ``width`` neighbours, from running minima within blocks of that width."""
     n = len(x)

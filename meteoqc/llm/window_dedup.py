@@ -6,12 +6,13 @@ occurs once in the corpus cannot be repeated.
 
 1. Every task counts its anchor grams in a count-min sketch and sends the cells it touched. Sketches
    are merged cell by cell; counters stop at two, since only "twice or more" matters. The merged
-   sketch has a fixed size (``ROWS * CELLS`` bits), whatever the corpus.
+   sketch has a fixed size, whatever the corpus.
 2. A second pass keeps the spans whose gram the sketch estimates as repeated. A sketch never
    estimates too low, so no repeated window is lost; a full sketch only lets more spans through.
 3. Exact grouping: spans with equal windows throughout are grouped first; all but the earliest are
    covered whole. Only where different spans share a gram are single windows of the earliest ones
-   grouped, and all but the earliest of each group are covered.
+   grouped, and all but the earliest of each group are covered. Spans carry one hash each; windows
+   are hashed from the text again, in those few documents that hold such spans.
 
 Words are runs of bytes other than space and 09-0D. Null text has no words and keeps none. Documents
 count in ``doc_id`` order; rows that share a ``doc_id`` (or have none, which come first) count as
@@ -30,12 +31,16 @@ from pyspark.sql import functions as F
 
 from meteoqc.llm import anchors
 from meteoqc.llm.common import keyed, slices, staged, table
+from meteoqc.llm.sketch import SENT, Sketch
 
 WINDOW, GRAM = 20, 8
-ROWS, CELLS, PARTS = 2, 1 << 26, 32
+SKETCH = Sketch(rows=2, cells=1 << 26, parts=32)
 #: anchors that a task holds before it sends their cells
 FLUSH = 2_000_000
-SPANS = "row long, first int, seed long, hashes array<long>"
+#: opened spans that may be broadcast (up to about 170 MB; more of them are joined by a shuffle)
+BROADCAST_ROWS = 1_000_000
+SPANS = "row long, first int, n int, seed long, whole long"
+WINDOWS = "seed long, hash long, row long, a int"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -73,109 +78,70 @@ def _spans(batch: pa.RecordBatch, window: int, gram: int):
     return (words, symbols, *anchors.spans(symbols, words.borders, window, gram))
 
 
-def cells(seeds: np.ndarray, row: int) -> np.ndarray:
-    return (anchors.mixed(seeds + np.uint64((row + 1) * int(anchors.MIX) % (1 << 64))) & np.uint64(CELLS - 1)).astype(np.uint32)
-
-
-def _sketching(window: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def send(seeds):
-        for row in range(ROWS):
-            cell, n = np.unique(cells(seeds, row), return_counts=True)
-            edge = np.searchsorted(cell, np.arange(PARTS + 1, dtype=np.uint64) * np.uint64(CELLS // PARTS))
-            blobs = [(cell[a:b].astype("<u4").tobytes(), np.packbits(n[a:b] > 1).tobytes()) for a, b in zip(edge[:-1], edge[1:])]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(range(row * PARTS, row * PARTS + PARTS), pa.int32()), pa.array([b[0] for b in blobs], pa.binary()),
-                pa.array([b[1] for b in blobs], pa.binary())], names=["part", "cells", "twice"])
-
-    def sketch(batches):
+def _sketching(sketch: Sketch, window: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def send(batches):
         held, n = [], 0
         for b in slices(batches, "text"):
             held.append(_spans(b, window, gram)[-1])
             n += len(held[-1])
             if n > FLUSH:
-                yield from send(np.concatenate(held))
+                yield from sketch.touched(np.concatenate(held))
                 held, n = [], 0
         if n:
-            yield from send(np.concatenate(held))
-
-    return sketch
-
-
-def _merging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up the cells of each part as they stream by; counters stop at two."""
-    size, counts = CELLS // PARTS, {}
-    for b in batches:
-        for r in b.to_pylist():
-            cell = np.frombuffer(r["cells"], "<u4") & np.uint32(size - 1)
-            more = np.unpackbits(np.frombuffer(r["twice"], np.uint8), count=len(cell)).astype(bool)
-            count = counts.setdefault(r["part"], np.zeros(size, np.uint8))
-            count[cell] = np.minimum(count[cell] + 1 + more, 2)
-    for part, count in counts.items():
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(count > 1).tobytes()], pa.binary())], names=["part", "bits"])
-
-
-def repeated_cells(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> list[bytes]:
-    """The merged sketch as bit strings by part: cells that were counted twice or more."""
-    sent = docs.select("text").mapInArrow(_sketching(window, gram), "part int, cells binary, twice binary")
-    merged = sent.repartition(ROWS * PARTS, "part").mapInArrow(_merging, "part int, bits binary")
-    got = {r["part"]: bytes(r["bits"]) for r in merged.collect()}
-    return [got.get(i, b"") for i in range(ROWS * PARTS)]
-
-
-def estimated_repeated(bits: list[bytes], seeds: np.ndarray) -> np.ndarray:
-    out, size = np.ones(len(seeds), bool), CELLS // PARTS
-    for row in range(ROWS):
-        cell = cells(seeds, row)
-        part, inner = cell // size, cell % size
-        for i in np.unique(part):
-            blob, at = bits[row * PARTS + int(i)], np.flatnonzero(part == i)
-            if not blob:
-                out[at] = False
-                continue
-            c = inner[at]
-            out[at] &= (np.frombuffer(blob, np.uint8)[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
-    return out
+            yield from sketch.touched(np.concatenate(held))
 
+    return send
 
-def _keeping(sketch, window: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+
+def _keeping(sketch: Sketch, bits, window: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def keep(batches):
-        bits = sketch.value
         for b in slices(batches, "text"):
             words, symbols, doc, first, last, _, seed = _spans(b, window, gram)
-            at = np.flatnonzero(estimated_repeated(bits, seed))
+            at = np.flatnonzero(sketch.repeated(bits.value, seed))
             if not len(at):
                 continue
-            whole = anchors.gram_hashes(symbols, window).view(np.int64)
             doc, first, last, seed = doc[at], first[at], last[at], seed[at]
-            n = last - first + 1
-            ends = np.cumsum(n)
-            inner = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(first, n)
+            whole = anchors.part_hashes(symbols, first, last + window)
             rows = b.column(b.schema.get_field_index("row")).to_numpy(zero_copy_only=False)[doc]
             yield pa.RecordBatch.from_arrays([
-                pa.array(rows, pa.int64()), pa.array((first - words.borders[doc]).astype("<i4")), pa.array(seed.view(np.int64)),
-                pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype("<i4"), whole[inner])], names=["row", "first", "seed", "hashes"])
+                pa.array(rows, pa.int64()), pa.array((first - words.borders[doc]).astype("<i4")), pa.array((last - first + 1).astype("<i4")),
+                pa.array(seed.view(np.int64)), pa.array(whole.view(np.int64))], names=["row", "first", "n", "seed", "whole"])
 
     return keep
 
 
-def candidate_spans(docs: DataFrame, sketch: list[bytes], window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Spans that may be repeated: row, first window, gram, and a hash for every window."""
-    held = docs.sparkSession.sparkContext.broadcast(sketch)
-    return docs.select("row", "text").mapInArrow(_keeping(held, window, gram), SPANS)
+def candidate_spans(own: DataFrame, window: int = WINDOW, gram: int = GRAM, sketch: Sketch = SKETCH) -> DataFrame:
+    """Spans of ``own`` (row, text) that may be repeated: row, first window, windows, gram, hash of all their words."""
+    bits = sketch.bits(own.select("text").mapInArrow(_sketching(sketch, window, gram), SENT))
+    held = own.sparkSession.sparkContext.broadcast(bits)
+    return own.select("row", "text").mapInArrow(_keeping(sketch, held, window, gram), SPANS)
+
+
+def _opening(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A hash for every window of the opened spans of a document."""
+    def open_(batches):
+        for b in slices(batches, "text"):
+            words = Words(_documents(b))
+            hashes = anchors.gram_hashes(words.symbols(), window).view(np.int64)
+            out = [(s["seed"], hashes[start + k], row, k) for row, start, spans in
+                   zip(b.column(b.schema.get_field_index("row")).to_pylist(), words.borders.tolist(), b.column(b.schema.get_field_index("open")).to_pylist())
+                   for s in spans for k in range(s["first"], s["first"] + s["n"])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32()))],
+                                             names=["seed", "hash", "row", "a"])
+
+    return open_
 
 
-def covered_windows(spans: DataFrame) -> DataFrame:
+def covered_windows(own: DataFrame, spans: DataFrame, window: int = WINDOW) -> DataFrame:
     """(row, a, b): windows ``a`` to ``b`` that also start earlier. ``spans`` is read several times."""
-    by_place = spans.withColumns({"whole": F.xxhash64("hashes"), "place": F.struct("row", "first")})
-    classes = staged(by_place.groupBy("seed", "whole").agg(F.min("place").alias("earliest"), F.count("*").alias("n")))
-    shared = classes.groupBy("seed").agg(F.count("*").alias("classes")).where("classes > 1").select("seed")
-    later = by_place.join(classes.where("n > 1"), ["seed", "whole"]).where("place != earliest").select(
-        "row", F.col("first").alias("a"), (F.col("first") + F.size("hashes") - 1).alias("b"))
-    firsts = classes.join(shared, "seed").select(
-        "seed", "whole", F.col("earliest.row").alias("row"), F.col("earliest.first").alias("first"))
-    single = staged(by_place.join(firsts, ["seed", "whole", "row", "first"]).select(
-        "seed", "row", "first", F.posexplode("hashes").alias("i", "hash")).select("seed", "hash", "row", (F.col("first") + F.col("i")).alias("a")))
-    groups = single.groupBy("seed", "hash").agg(F.min(F.struct("row", "a")).alias("earliest"), F.count("*").alias("n")).where("n > 1")
+    classes = staged(spans.groupBy("seed", "whole").agg(F.min(F.struct("row", "first", "n")).alias("earliest"), F.count("*").alias("times")))
+    later = spans.join(classes.where("times > 1").select("seed", "whole", "earliest.row", "earliest.first").toDF("seed", "whole", "row0", "first0"), ["seed", "whole"])
+    later = later.where("row != row0 OR first != first0").select("row", F.col("first").alias("a"), (F.col("first") + F.col("n") - 1).alias("b"))
+    shared = classes.groupBy("seed").agg(F.count("*").alias("k")).where("k > 1").select("seed")
+    opened = staged(classes.join(shared, "seed").select("earliest.*", "seed").groupBy("row").agg(F.collect_list(F.struct("first", "n", "seed")).alias("open")))
+    few = opened.agg(F.sum(F.size("open"))).first()[0] or 0
+    single = staged(own.select("row", "text").join(F.broadcast(opened) if few <= BROADCAST_ROWS else opened, "row").mapInArrow(_opening(window), WINDOWS))
+    groups = single.groupBy("seed", "hash").agg(F.min(F.struct("row", "a")).alias("earliest"), F.count("*").alias("times")).where("times > 1")
     again = single.join(groups, ["seed", "hash"]).where(F.struct("row", "a") != F.col("earliest")).select("row", "a", F.col("a").alias("b"))
     return later.unionByName(again)
 
@@ -202,11 +168,11 @@ def _removing(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return remove
 
 
-def dedup_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def dedup_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, sketch: Sketch = SKETCH) -> DataFrame:
     """What is left of every document of ``docs`` (doc_id, text) without its repeated windows."""
     own = keyed(docs)
-    spans = staged(candidate_spans(own, repeated_cells(own, window, gram), window, gram))
-    found = covered_windows(spans).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("found"))
+    spans = staged(candidate_spans(own, window, gram, sketch))
+    found = covered_windows(own, spans, window).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("found"))
     return own.join(found, "row", "left").select("doc_id", "text", "found").mapInArrow(_removing(window), RESULT)
 
 

@@ -12,6 +12,7 @@ import pytest
 from meteoqc.llm import suffix_dedup as sd
 from meteoqc.llm import window_dedup as wd
 from meteoqc.llm.common import table
+from meteoqc.llm.sketch import Sketch
 
 FIRST = lambda r: (r[0] is not None, r[0] or 0)
 
@@ -87,17 +88,24 @@ def test_words_equal_brute_force(spark, seed, window, gram):
 
 
 @pytest.mark.parametrize("cells", [1 << 6, 1 << 12, 1 << 20])
-def test_sketch_never_estimates_too_low(monkeypatch, cells):
-    monkeypatch.setattr(wd, "CELLS", cells)
+def test_sketch_never_estimates_too_low(cells):
+    sketch = Sketch(rows=2, cells=cells, parts=8)
     batch = pa.RecordBatch.from_pydict({"text": mixture(5, "ab") + [None, ""]})
-    merged = [r for b in wd._merging(b for half in (batch.slice(0, 20), batch.slice(20)) for b in wd._sketching(20, 8)(iter([half]))) for r in b.to_pylist()]
-    bits = [dict((r["part"], r["bits"]) for r in merged).get(i, b"") for i in range(wd.ROWS * wd.PARTS)]
+    sent = (b for half in (batch.slice(0, 20), batch.slice(20)) for b in wd._sketching(sketch, 20, 8)(iter([half])))
+    merged = {r["part"]: r["bits"] for b in sketch.merge(sent) for r in b.to_pylist()}
+    bits = [merged.get(i, b"") for i in range(sketch.rows * sketch.parts)]
     seeds = np.sort(wd._spans(batch, 20, 8)[-1])
     repeated = seeds[1:][seeds[1:] == seeds[:-1]]
-    assert len(repeated) and wd.estimated_repeated(bits, repeated).all()
+    assert len(repeated) and sketch.repeated(bits, repeated).all()
     if cells == 1 << 20:
         once = np.array([x for x, n in Counter(seeds.tolist()).items() if n == 1], np.uint64)
-        assert not wd.estimated_repeated(bits, once).all()
+        assert not sketch.repeated(bits, once).any()
+
+
+def test_full_sketch_gives_the_same(spark):
+    rows = list(enumerate(mixture(6, "ab", gap="  "))) + ODD
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(wd.dedup_windows(df, 7, 3, Sketch(rows=1, cells=64, parts=4))) == brute_words(rows, 7)
 
 
 def test_empty_tables(spark):
