@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from meteoqc.functions.physics import humidity_consistency
 from meteoqc.functions.scores import zscore_score
-from meteoqc.operators.features import time_features
+from meteoqc.operators.features import first_per_key, time_features
+from meteoqc.operators.profile import high_water
 from meteoqc.operators.quality import outside
 from meteoqc.operators.spatial import Network, spatial_context
 from meteoqc.schema import DECISION_BOUNDS, KEY, RH, SLP, TEMP, TS
@@ -199,6 +200,22 @@ def reason_counts(decided: DataFrame) -> DataFrame:
     return decided.select(KEY, F.explode("reason_codes").alias("reason")).groupBy(KEY, "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def with_out_of_order(obs: DataFrame, high_water: DataFrame) -> DataFrame:
-    flagged = high_water.select(KEY, TS, F.coalesce(F.col(TS) < F.col("high_water_ts"), F.lit(False)).alias("is_out_of_order"))
-    return obs.join(flagged, [KEY, TS], "left")
+def arrival_flags(feed: DataFrame, arrival: str = "ingestion_ts", tie: str = "event_id") -> DataFrame:
+    """(tie, station, time, is_duplicate, is_out_of_order) of every row of a feed as it arrived."""
+    rows = feed.select(tie, KEY, TS, "source", arrival)
+    first = rows.groupBy(KEY, TS, "source").agg(F.min(F.struct(arrival, tie)).alias("_first"))
+    late = high_water(rows).select(tie, F.coalesce(F.col(TS) < F.col("high_water_ts"), F.lit(False)).alias("is_out_of_order"))
+    marked = rows.join(first, [KEY, TS, "source"]).withColumn("is_duplicate", F.struct(arrival, tie) != F.col("_first"))
+    return marked.join(late, tie).select(tie, KEY, TS, "is_duplicate", "is_out_of_order")
+
+
+def feed_decisions(feed: DataFrame, edges: DataFrame, rules: Rules = Rules(), ref: str = "24h", net: Network = Network(),
+                   arrival: str = "ingestion_ts", tie: str = "event_id") -> DataFrame:
+    """Decisions on every row of a feed that repeats readings and delivers some late.
+
+    Features come from each reading's first copy, so copies do not shift them; what a row owes to
+    its arrival is added as evidence.
+    """
+    once = first_per_key(feed, [KEY, TS, "source"], [arrival, tie])
+    inputs = evidence_inputs(once, edges, ref, net).drop(tie)
+    return decide(evidence(arrival_flags(feed, arrival, tie).join(inputs, [KEY, TS]), rules, ref=ref), rules)

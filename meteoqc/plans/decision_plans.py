@@ -14,6 +14,7 @@ from meteoqc.operators.staging import staged
 from meteoqc.plans.common import oracle, publish
 from meteoqc.plans.feature_plans import deviation_cte, persistence_cte, rate_cte, roll_cte
 from meteoqc.plans.ingest_plans import rh_sql
+from meteoqc.plans.profile_plans import repeated
 from meteoqc.plans.spatial_plans import CONTEXT
 from meteoqc.schema import KEY, RH, SLP, TEMP, TS
 from meteoqc.sources.tables import observations
@@ -112,7 +113,13 @@ STAT_DOUBLES = ["severity_weighted", "anomaly_rate", "defect_rate", "isolation_r
 STAT_BOOLS = ["is_repeated", "is_persistent", "is_stuck", "dt_significant", "z_significant"]
 HEALTHS = ["anomaly_health", "quality_health", "communication_health", "temporal_health", "spatial_health"]
 
+def feed_rows(obs):
+    d = dc.feed_decisions(repeated(obs), edges_of(obs), RULES)
+    return d.select("event_id", *ID, "decision", "severity", F.array_join("reason_codes", ",").alias("reasons"))
+
+
 QUERIES = {
+    "decision_cascade_of_repeated_feed": _q(feed_rows),
     "detector_scores": _q(scores),
     "evidence_package": _q(evidence),
     "decision_cascade": _q(decision_rows),
@@ -236,7 +243,18 @@ health AS (SELECT station_id, observations, overall_health, health_delta, status
   {', '.join(f'CASE WHEN enough THEN {c} ELSE 100.0::DOUBLE END AS {c}' for c in HEALTHS)} FROM h2)"""
 
 EV_D = ["gap_minutes", "score", "rate", "minus_mean"]
+FEED_CTE = """
+feed AS (SELECT event_id, station_id, obs_ts, source, ingestion_ts FROM observations UNION ALL
+  SELECT event_id + 10000000, station_id, obs_ts, source, ingestion_ts + INTERVAL 1 HOUR FROM observations WHERE event_id % 50 = 0),
+arrived AS (SELECT event_id AS row_id, station_id, obs_ts, row_number() OVER (PARTITION BY station_id, obs_ts, source ORDER BY ingestion_ts, event_id) > 1 AS dup,
+  coalesce(obs_ts < max(obs_ts) OVER (PARTITION BY station_id ORDER BY ingestion_ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS ooo FROM feed)"""
 ORACLES = {
+    "decision_cascade_of_repeated_feed": oracle(
+        """SELECT row_id AS event_id, station_id, obs_ts, CASE WHEN dup OR ooo THEN 'PROBABLE_DATA_QUALITY_ISSUE' ELSE decision END AS decision,
+        CASE WHEN NOT (dup OR ooo) THEN severity WHEN coalesce(gap_minutes, 0) >= 480 THEN 'CRITICAL' WHEN n_missing >= 2 OR contains(missing_fields, 'temperature_c') THEN 'HIGH' ELSE 'LOW' END AS severity,
+        CASE WHEN NOT (dup OR ooo) THEN reasons ELSE concat_ws(',', CASE WHEN dup THEN 'DUPLICATE_TIMESTAMP' END, CASE WHEN ooo THEN 'OUT_OF_ORDER_TIMESTAMP' END,
+        CASE WHEN n_missing > 0 THEN 'MISSING_REQUIRED_VARIABLES' END, CASE WHEN gap_minutes > 240 THEN 'DATA_GAP' END) END AS reasons
+        FROM arrived JOIN decided USING (station_id, obs_ts)""", *DECIDED, FEED_CTE),
     "detector_scores": oracle(
         f"""SELECT station_id, obs_ts, greatest(coalesce(least(1.0, greatest(0.0, greatest(-50.0 - temperature_c, temperature_c - 60.0)) / 10.0), 0.0),
         coalesce(least(1.0, greatest(0.0, greatest(-relative_humidity_pct, relative_humidity_pct - 100.0)) / 20.0), 0.0),
