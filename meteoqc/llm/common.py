@@ -55,6 +55,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             held += size
         if start < batch.num_rows:
             yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # a worker outlives its tasks
 
 
 def _sizes(col: pa.Array) -> list[int]:

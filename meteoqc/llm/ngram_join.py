@@ -4,15 +4,17 @@ Two documents are linked when their sets of ``GRAM``-word shingles have a Jaccar
 or more; the result names every document's connected component. Nothing is lost on the way:
 
 1. A merged sketch (``Sketch``, fixed size) tells which shingles can occur in two documents. A
-   document in which more shingles than a link allows are its own cannot be linked and drops out.
+   document in which more shingles than a link allows are its own cannot be linked and drops out. A
+   second sketch does the same among the documents and shingles that the first one left, and so
+   undoes most of what the first one wrongly took for shared.
 2. Documents with equal sets become one. Of the others, those that may be linked share one of a few
    shingles of either (the prefix of its set in an order that puts unshared shingles first). Sharing
    one, over any number of steps, makes documents a *family*; links never leave a family.
 3. Families go to signature trees (``signature_tree``), small ones packed together, one task for a
-   bounded number of documents. A family of more than ``BLOCK`` documents is cut into blocks: blocks
+   bounded number of documents. A family of more than ``BLOCK`` documents is cut into blocks by size: blocks
    are joined within themselves, then all documents are compared with pivots from the largest
    component so far, and at last the documents that are still outside the largest component meet
-   all blocks. A group of copies, however large, is thus connected in a few passes over it; only
+   all blocks of like sizes. A group of copies, however large, is thus connected in a few passes over it; only
    documents outside of it see the whole family.
 
 Sets are compared by 64-bit hashes of shingles. A text with fewer words than ``GRAM`` has one
@@ -37,9 +39,15 @@ from meteoqc.llm.sketch import SENT, Sketch
 from meteoqc.llm.window_dedup import Words
 
 GRAM, BLOCK, PACK, PIVOTS = 5, 1024, 600, 3
-SKETCH = Sketch(rows=1, cells=1 << 28, parts=64)
+SKETCHES = (Sketch(rows=1, cells=1 << 28, parts=64), Sketch(rows=1, cells=1 << 27, parts=64))
 #: shingles that a task holds before it sends their cells
-FLUSH = 1_500_000
+FLUSH = 500_000
+#: large families whose pivots (one set each) may be broadcast
+BROADCAST_PIVOTS = 5_000
+#: rows of (family, band) that may be broadcast
+BROADCAST_BANDS = 200_000
+#: ratio of sizes within a band, and bands between the sizes of a link: 1.1 ** 3 > 100 / PERCENT
+BAND, BANDS = 1.1, 3
 SETS = "row long, n long, k1 long, k2 long, tokens array<long>, keys array<long>"
 
 
@@ -67,37 +75,55 @@ def _sets(batch: pa.RecordBatch, gram: int) -> list[np.ndarray]:
     return shingle_sets([(x or "").encode() for x in batch.column(batch.schema.get_field_index("text")).to_pylist()], gram)
 
 
-def _sketching(sketch: Sketch, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def shared_tokens(sets: list[np.ndarray], levels: list[tuple[Sketch, list[bytes]]]) -> list[np.ndarray | None]:
+    """Tokens of each set that every level takes for shared; None for sets that cannot be linked."""
+    left: list[np.ndarray | None] = [s if len(s) else None for s in sets]
+    for sketch, bits in levels:
+        at = [i for i, s in enumerate(left) if s is not None]
+        if not at:
+            break
+        mask = sketch.repeated(bits, np.concatenate([left[i] for i in at]))
+        start = 0
+        for i in at:
+            kept = left[i][mask[start:start + len(left[i])]]
+            start += len(left[i])
+            left[i] = kept if allowed(len(sets[i])) > len(sets[i]) - len(kept) else None
+    return left
+
+
+def _levels(held: list) -> list[tuple[Sketch, list[bytes]]]:
+    return [(sketch, bits.value) for sketch, bits in held]
+
+
+def _sketching(sketch: Sketch, held: list, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def send(batches):
-        held, n = [], 0
+        kept: list[np.ndarray] = []
+        n = 0
         for b in slices(batches, "text"):
-            held += _sets(b, gram)
-            n = sum(map(len, held))
+            more = [s for s in shared_tokens(_sets(b, gram), _levels(held)) if s is not None]
+            kept, n = kept + more, n + sum(map(len, more))
             if n > FLUSH:
-                yield from sketch.touched(np.concatenate(held))
-                held = []
-        if held:
-            yield from sketch.touched(np.concatenate(held))
+                yield from sketch.touched(np.concatenate(kept))
+                kept, n = [], 0
+        if kept:
+            yield from sketch.touched(np.concatenate(kept))
 
     return send
 
 
-def _reading(sketch: Sketch, bits, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _reading(held: list, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Sizes of all sets; hashes, shared tokens and prefix keys of those that may be linked."""
     def read(batches):
         for b in slices(batches, "text"):
             sets = _sets(b, gram)
-            shared = sketch.repeated(bits.value, np.concatenate(sets)) if sets else np.zeros(0, bool)
-            edge = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
             rows: list[tuple] = []
-            for i, s in enumerate(sets):
-                kept = s[shared[edge[i]:edge[i + 1]]]
-                room = allowed(len(s)) - (len(s) - len(kept))
-                if not len(s) or room <= 0:
+            for s, kept in zip(sets, shared_tokens(sets, _levels(held))):
+                if kept is None:
                     rows.append((len(s), None, None, None, None))
                     continue
                 k1, k2 = (int(np.bitwise_xor.reduce(anchors.mixed(s ^ x)).view(np.int64)) for x in (anchors.BASE, anchors.MIX))
-                rows.append((len(s), k1, k2, kept.view(np.int64), kept[:room].view(np.int64)))
+                keys = kept[:allowed(len(s)) - (len(s) - len(kept))]
+                rows.append((len(s), k1, k2, kept.view(np.int64), keys.view(np.int64)))
             n, k1, k2, tokens, keys = zip(*rows)
             yield pa.RecordBatch.from_arrays([
                 b.column(b.schema.get_field_index("row")), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
@@ -167,55 +193,75 @@ def star(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("key"), F.explode(F.array("a", "b")).alias("node"))
 
 
+def size_band(n):
+    """Sets of a link lie at most ``BANDS`` bands of size apart."""
+    return F.floor(F.log(F.col(n)) / F.log(F.lit(BAND))).cast("int")
+
+
 def large_family_links(members: DataFrame, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
-    """(a, b): links that connect whatever is connected in ``members`` (family, row, n, tokens), families of any size."""
-    size = members.groupBy("family").agg(F.count("*").alias("size"))
-    own = staged(members.join(size, "family").withColumn("block", F.pmod(F.xxhash64("row"), F.ceil(F.col("size") * 2 / block))))
-    in_blocks = own.groupBy("family", "block").applyInArrow(links_within, "a long, b long")
-    found = staged(in_blocks)
+    """(a, b): links that connect whatever is connected in ``members`` (family, row, n, tokens), families of any size.
+
+    ``members`` is a written table; only the steps that compare sets read its tokens. Blocks hold
+    sets of about one size, so that a set meets the blocks of like sizes only.
+    """
+    banded = members.withColumn("band", size_band("n"))
+    bands = staged(banded.groupBy("family", "band").agg(F.ceil(F.count("*") * 2 / block).alias("blocks")))
+    own = banded.join(F.broadcast(bands) if bands.count() <= BROADCAST_BANDS else bands, ["family", "band"]).withColumn(
+        "block", F.pmod(F.xxhash64("row"), F.col("blocks")))
+    found = staged(own.groupBy("family", "band", "block").applyInArrow(links_within, "a long, b long"))
 
     def known(pairs: DataFrame) -> DataFrame:
+        """(family, row, component, main) by the links so far; ``main`` is the family's largest component."""
         named = components(star(pairs)).withColumnRenamed("node", "row")
-        return own.select("family", "row").join(named, "row", "left").select("family", "row", F.coalesce("component", "row").alias("component"))
-
-    def largest(state: DataFrame) -> DataFrame:
+        state = staged(own.select("family", "row").join(named, "row", "left").select("family", "row", F.coalesce("component", "row").alias("component")))
         counted = state.groupBy("family", "component").agg(F.count("*").alias("count"))
-        return counted.groupBy("family").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+        return state.join(counted.groupBy("family").agg(F.max_by("component", F.struct("count", "component")).alias("main")), "family")
 
-    state = staged(known(found))
+    state = known(found)
     for turn in range(pivots):
-        main = largest(state)
         choice = F.xxhash64(F.col("row"), F.lit(turn))
-        pivot = state.join(main, "family").where("component = main").groupBy("family", "main").agg(F.min_by("row", choice).alias("pivot"))
-        pivot = staged(pivot.join(own.select(F.col("row").alias("pivot"), F.col("tokens").alias("pivot_tokens"), F.col("n").alias("pivot_n")), "pivot"))
-        rest = state.join(own.select("row", "n", "tokens"), "row").join(pivot, "family").where("component != main")
+        pivot = state.where("component = main").groupBy("family").agg(F.min_by("row", choice).alias("pivot"))
+        pivot = staged(own.select(F.col("row").alias("pivot"), F.col("tokens").alias("pivot_tokens"), F.col("n").alias("pivot_n")).join(F.broadcast(pivot) if _few(pivot) else pivot, "pivot"))
         common = F.size(F.array_intersect("tokens", "pivot_tokens"))
-        near = staged(rest.where(100 * common >= PERCENT * (F.col("n") + F.col("pivot_n") - common)).select(
-            F.col("pivot").alias("a"), F.col("row").alias("b")))
+        near = own.join(F.broadcast(pivot) if _few(pivot) else pivot, "family").where(
+            100 * common >= PERCENT * (F.col("n") + F.col("pivot_n") - common)).select("row", "pivot")
+        near = staged(near.join(state.where("component != main").select("row"), "row").select(F.col("pivot").alias("a"), F.col("row").alias("b")))
         if near.isEmpty():
             break
         found = found.unionByName(near)
-        state = staged(known(found))
-    placed = staged(own.join(state.select("row", "component"), "row").join(largest(state), "family"))
-    outside = staged(placed.where("component != main"))
+        state = known(found)
+    outside = staged(state.where("component != main").select("row", "component"))
     if outside.isEmpty():
         return found
-    out_size = outside.groupBy("family").agg(F.ceil(F.count("*") * 2 / block).alias("out_blocks"))
-    in_blocks_n = F.ceil(F.col("size") * 2 / block)
-    left = placed.join(out_size, "family").withColumn("out_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("out_blocks") - 1)))
-    right = outside.join(out_size, "family").withColumn("out_block", F.pmod(F.xxhash64("row"), F.col("out_blocks"))).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("long"), in_blocks_n - 1)))
-    cols = ["family", "block", "out_block", "row", "n", "tokens", "component"]
-    key = ["family", "block", "out_block"]
-    crossing = left.select(*cols).groupBy(*key).cogroup(right.select(*cols).groupBy(*key)).applyInArrow(links_between, "a long, b long")
+    apart = own.join(outside, "row").select("family", "band", "row", "n", "tokens", "component")
+    near_band = F.explode(F.sequence(F.col("band") - BANDS, F.col("band") + BANDS))
+    seen = staged(apart.select("family", near_band.alias("band")).groupBy("family", "band").agg(F.ceil(F.count("*") / (4 * block)).alias("turns"))
+                  .join(bands, ["family", "band"]))
+    left = own.join(state.select("row", "component"), "row").join(F.broadcast(seen.drop("blocks")) if seen.count() <= BROADCAST_BANDS else seen.drop("blocks"), ["family", "band"])
+    left = left.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)))
+    right = apart.withColumn("band", near_band).join(F.broadcast(seen) if seen.count() <= BROADCAST_BANDS else seen, ["family", "band"])
+    right = right.withColumn("turn", F.pmod(F.xxhash64("row"), F.col("turns"))).withColumn(
+        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    key = ["family", "band", "block", "turn"]
+    cols = [*key, "row", "n", "tokens", "component"]
+    left, right = left.select(*cols), right.select(*[F.col(c).alias(c) for c in cols])
+    crossing = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(links_between, "a long, b long")
     return found.unionByName(staged(crossing))
 
 
-def similar_groups(own: DataFrame, gram: int = GRAM, sketch: Sketch = SKETCH, block: int = BLOCK) -> DataFrame:
+def _few(pivot: DataFrame) -> bool:
+    """One set for each large family; beyond some thousand they are joined by a shuffle."""
+    return pivot.count() <= BROADCAST_PIVOTS
+
+
+def similar_groups(own: DataFrame, gram: int = GRAM, sketches: tuple[Sketch, ...] = SKETCHES, block: int = BLOCK) -> DataFrame:
     """(row, n_shingles, component) of every row of ``own`` (row, text); a component is its smallest row."""
     text = own.select("row", "text")
-    bits = sketch.bits(text.select("text").mapInArrow(_sketching(sketch, gram), SENT))
-    sets = staged(text.mapInArrow(_reading(sketch, own.sparkSession.sparkContext.broadcast(bits), gram), SETS))
+    held: list = []
+    for sketch in sketches:
+        bits = sketch.bits(text.select("text").mapInArrow(_sketching(sketch, list(held), gram), SENT))
+        held.append((sketch, own.sparkSession.sparkContext.broadcast(bits)))
+    sets = staged(text.mapInArrow(_reading(held, gram), SETS))
     same = ["k1", "k2", "n"]
     classes = staged(sets.where("keys IS NOT NULL").groupBy(*same).agg(F.min("row").alias("first")))
     firsts = classes.select(F.col("first").alias("row"))
@@ -223,22 +269,22 @@ def similar_groups(own: DataFrame, gram: int = GRAM, sketch: Sketch = SKETCH, bl
     several = edges.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
     family = components(edges.join(several, "key")).select(F.col("node").alias("row"), F.col("component").alias("family"))
     size = family.groupBy("family").agg(F.count("*").alias("size"))
-    members = staged(family.join(size.where("size > 1"), "family").join(sets.select("row", "n", "tokens"), "row"))
+    members = staged(sets.select("row", "n", "tokens").join(family.join(size.where("size > 1"), "family"), "row"))
     small = members.where(F.col("size") <= block)
     packs = max(1, -(-small.count() // PACK))
     found = small.withColumn("pack", F.pmod(F.xxhash64("family"), F.lit(packs))).groupBy("pack").applyInArrow(links_within, "a long, b long")
     large = members.where(F.col("size") > block)
     if not large.isEmpty():
-        found = found.unionByName(large_family_links(large.select("family", "row", "n", "tokens"), block))
+        found = found.unionByName(large_family_links(large, block))
     named = components(star(staged(found))).select(F.col("node").alias("first"), "component")
     joined = sets.select("row", *same).join(classes, same, "left").join(named, "first", "left")
     return joined.select("row", F.col("n").alias("n_shingles"), F.coalesce("component", "first", "row").alias("component"))
 
 
-def groups(docs: DataFrame, gram: int = GRAM, sketch: Sketch = SKETCH, block: int = BLOCK) -> DataFrame:
+def groups(docs: DataFrame, gram: int = GRAM, sketches: tuple[Sketch, ...] = SKETCHES, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
     own = keyed(docs)
-    found = similar_groups(own, gram, sketch, block)
+    found = similar_groups(own, gram, sketches, block)
     ids = own.select("row", "doc_id")
     named = found.join(ids, "row").join(ids.select(F.col("row").alias("component"), F.col("doc_id").alias("component_id")), "component")
     return named.select("doc_id", "n_shingles", "component_id")

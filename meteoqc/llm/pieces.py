@@ -25,7 +25,7 @@ DOUBTFUL = tuple("\x1c\x1d\x1e\x1f᠎​﻿")
 UNEVEN = tuple(c for c in SPACES if c not in " \n") + ("  ", " \n", "\n ", "\n\n")
 CUT = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 WORD = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*%$&#|]*)")
-MEMO_PIECES, MEMO_WORDS, MEMO_CHARS = 600_000, 400_000, 48
+MEMO_PIECES, MEMO_WORDS, MEMO_CHARS = 250_000, 150_000, 48
 
 
 class PieceEncoder:

@@ -51,7 +51,7 @@ def _shape(word: str) -> int:
         for letter, pattern in _CLASSES:
             shape = pattern.sub(letter, shape)
         shape = re.sub(r"(\W)\1+", r"\1\1", shape)
-        if len(_SHAPES) > 300_000:
+        if len(_SHAPES) > 60_000:
             _SHAPES.clear()
         got = _SHAPES[word] = _column("shape " + shape[:12])
     return got

@@ -9,7 +9,7 @@ from meteoqc.llm import ngram_join as nj
 from meteoqc.llm.common import table
 from meteoqc.llm.sketch import Sketch
 
-SMALL = Sketch(rows=1, cells=1 << 16, parts=4)
+SMALL = (Sketch(rows=1, cells=1 << 16, parts=4),) * 2
 
 
 def shingles(text):
@@ -68,11 +68,11 @@ ODD = [(None, "one two"), (None, "ONE  two"), (7000, None), (7001, ""), (7001, "
 def test_groups_equal_brute_force(spark, seed, families, members, edits, block, cells):
     rows = list(enumerate(near_copies(seed, families, members, edits))) + (ODD if seed < 3 else [])
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert got(nj.groups(df, sketch=Sketch(rows=1, cells=cells, parts=4), block=block)) == brute(rows)
+    assert got(nj.groups(df, sketches=(Sketch(rows=1, cells=cells, parts=4),) * 2, block=block)) == brute(rows)
 
 
 def test_empty_table(spark):
-    assert got(nj.groups(spark.createDataFrame([], "doc_id long, text string"), sketch=SMALL)) == []
+    assert got(nj.groups(spark.createDataFrame([], "doc_id long, text string"), sketches=SMALL)) == []
 
 
 def test_query_equals_brute_force(spark, sf):
