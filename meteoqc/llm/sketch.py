@@ -61,7 +61,7 @@ class Sketch:
     def bits(self, sent: DataFrame) -> list[bytes]:
         """The merged sketch by part, from a table of ``SENT`` rows; ``rows * cells`` bits come to the driver."""
         merged = sent.repartition(self.rows * self.parts, "part").mapInArrow(self.merge, "part int, bits binary")
-        got = {r["part"]: bytes(r["bits"]) for r in merged.collect()}
+        got = {r["part"]: r["bits"] for r in merged.collect()}
         return [got.get(i, b"") for i in range(self.rows * self.parts)]
 
     def repeated(self, bits: list[bytes], keys: np.ndarray) -> np.ndarray:
