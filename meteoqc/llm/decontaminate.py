@@ -1,14 +1,14 @@
-"""Benchmark passages in training text: rare n-gram seeds, then Smith-Waterman alignment.
-
-1. Seeds are the word ``GRAM``-grams of the benchmark items (lower case, without marks). One pass
-   over the documents counts how many documents hold each; a seed that is far commoner than its
-   item's median seed (``COMMON`` times) is a stock phrase and starts no alignment. The measure is
-   relative, so an item that leaked into many documents keeps its seeds.
-2. A second pass joins the documents' n-grams to the seeds. Where enough seeds of one item fall
-   within a stretch of the item's length, that stretch and its surroundings are aligned with the
-   item, word by word (match 2, mismatch -1, gap -1). The score is the alignment's share of a perfect
-   one; copies that are paraphrased or edited lose a part of it. At ``THRESHOLD`` a document counts
-   as contaminated.
+"""Benchmark passages in training text: n-gram seeds, then Smith-Waterman alignment.
+
+1. Seeds are the word ``GRAM``-grams of the benchmark items (lower case, without marks). All of them
+   start alignments, however many documents hold them: an edited passage that leaked into many
+   documents may have no other grams left.
+2. One pass joins the documents' n-grams to the seeds. Where enough seeds of one item fall within a
+   stretch of the item's length, that stretch and its surroundings are aligned with the item, word by
+   word (match 2, mismatch -1, gap -1). The score is the alignment's share of a perfect one; copies
+   that are paraphrased or edited lose a part of it. At ``THRESHOLD`` a document counts as
+   contaminated. Stretches that have too few words of the item to reach the threshold in any order
+   (stock phrases, mostly) are not aligned, which loses nothing.
 
 Seeds and item texts are broadcast in blocks of at most ``BLOCK_GRAMS`` n-grams; a larger benchmark
 takes one pass for each block. Documents are only ever seen in their own task, so a passage that a
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from meteoqc.llm.common import slices, table
 
-GRAM, COMMON, SHORTEST, THRESHOLD = 3, 20, 6, 0.5
+GRAM, SHORTEST, THRESHOLD = 3, 6, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_GRAMS = 1_000_000
 WORD = re.compile(r"\w+")
@@ -90,34 +90,6 @@ def _numbers(text: str | None, number: dict[str, int]) -> np.ndarray:
     return np.fromiter((number.get(w, 0) for w in words), np.int64, len(words))
 
 
-def _counting(held) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Documents of each seed among the rows of a task."""
-    def count(batches):
-        block, seen = held.value, defaultdict(int)
-        for b in slices(batches, "text"):
-            for text in b.column(0).to_pylist():
-                for key in set(grams(_numbers(text, block.number)).tolist()):
-                    if key in block.seeds:
-                        seen[key] += 1
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.int64())], names=["seed", "n"])
-
-    return count
-
-
-def rare_seeds(docs: DataFrame, held, common: float = COMMON) -> dict[int, list[tuple[int, int]]]:
-    """Seeds of the block that may start an alignment, by key."""
-    block = held.value
-    counted = docs.select("text").mapInArrow(_counting(held), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    n = {r["seed"]: r["n"] for r in counted.collect()}  # no more than the block has seeds
-    places = defaultdict(list)
-    for key, at in block.seeds.items():
-        for item, _ in at:
-            places[item].append(n.get(key, 0))
-    limit = {item: common * max(1.0, float(np.median(c))) for item, c in places.items()}
-    return {key: kept for key, at in block.seeds.items() if (kept := [(i, p) for i, p in at if n.get(key, 0) <= limit[i]])}
-
-
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
     """Best local alignment: (score, matched words, first and last word in ``text``)."""
     places = np.arange(len(text) + 1)
@@ -142,6 +114,13 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
     return best, matched, int(j), last
 
 
+def most_matched(item: np.ndarray, text: np.ndarray) -> int:
+    """Words that the two have in common, in any order: no alignment matches more."""
+    words, times = np.unique(item, return_counts=True)
+    at = np.minimum(np.searchsorted(words, text), len(words) - 1)
+    return int(np.minimum(np.bincount(at[words[at] == text], minlength=len(words)), times).sum())
+
+
 def stretches(found: list[tuple[int, int]], size: int, least: int) -> list[tuple[int, int]]:
     """Stretches of text, ``size`` words and some more, that hold ``least`` seeds of an item; overlapping ones joined."""
     places = sorted({p for p, _ in found})
@@ -157,13 +136,13 @@ def stretches(found: list[tuple[int, int]], size: int, least: int) -> list[tuple
     return [(a, b) for a, b in out]
 
 
-def hits(text: str | None, block: Block, seeds: dict[int, list[tuple[int, int]]], threshold: float) -> list[tuple]:
+def hits(text: str | None, block: Block, threshold: float) -> list[tuple]:
     """(item_id, score, matched, first word, last word) of every item that the text holds."""
     numbers = _numbers(text, block.number)
     found = defaultdict(list)
     for at, key in enumerate(grams(numbers).tolist()):
-        if key >= 0 and key in seeds:
-            for item, place in seeds[key]:
+        if key >= 0 and key in block.seeds:
+            for item, place in block.seeds[key]:
                 found[item].append((at, place))
     out = []
     for item, places in found.items():
@@ -172,6 +151,8 @@ def hits(text: str | None, block: Block, seeds: dict[int, list[tuple[int, int]]]
         for a, b in stretches(places, len(words), 2 if len(words) >= 2 * SHORTEST else 1):
             for low in range(a, b, 8 * len(words)):  # a long run of copies is aligned piece by piece
                 part = numbers[low:min(b, low + 10 * len(words))]
+                if most_matched(words, part) < threshold * len(words):
+                    continue
                 score, matched, first, last = align(words, part)
                 if best is None or score > best[0]:
                     best = (score, matched, low + first, low + last)
@@ -182,9 +163,9 @@ def hits(text: str | None, block: Block, seeds: dict[int, list[tuple[int, int]]]
 
 def _aligning(held, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def find(batches):
-        block, seeds = held.value
+        block = held.value
         for b in slices(batches, "text"):
-            rows = [(d, *h) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for h in hits(t, block, seeds, threshold)]
+            rows = [(d, *h) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for h in hits(t, block, threshold)]
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in HITS.split(", ")])
@@ -194,26 +175,20 @@ def _aligning(held, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], It
 
 def _clean(held, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def keep(batches):
-        block, seeds = held.value
+        block = held.value
         for b in slices(batches, "text"):
             text = b.column(b.schema.get_field_index("text")).to_pylist()
-            yield b.filter(pa.array([not hits(t, block, seeds, threshold) for t in text], pa.bool_()))
+            yield b.filter(pa.array([not hits(t, block, threshold) for t in text], pa.bool_()))
 
     return keep
 
 
-def _prepared(docs: DataFrame, items: DataFrame) -> list:
-    send, out = docs.sparkSession.sparkContext.broadcast, []
-    for block in blocks_of(items):
-        out.append(send((block, rare_seeds(docs.select(F.col("text").cast("string")), send(block)))))
-    return out
-
-
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document and item that it holds; other documents have none."""
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = docs.sparkSession.createDataFrame([], HITS)
-    for held in _prepared(docs, items):
+    for block in blocks_of(items):
+        held = docs.sparkSession.sparkContext.broadcast(block)
         found = found.unionByName(own.mapInArrow(_aligning(held, threshold), HITS))
     return found
 
@@ -221,7 +196,8 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 def decontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
     out = docs
-    for held in _prepared(docs, items):
+    for block in blocks_of(items):
+        held = docs.sparkSession.sparkContext.broadcast(block)
         out = out.mapInArrow(_clean(held, threshold), docs.schema)
     return out
 
