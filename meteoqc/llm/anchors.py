@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 
 PLACE_BITS = 24
-#: arrays longer than this are cut by the caller, so that places fit their bits
+#: grams that are searched at a time, so that places fit their bits (a power of two)
 LONGEST = 1 << PLACE_BITS
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -70,6 +70,23 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n - width + 1], ahead[width - 1:n])
 
 
+def anchors_of(grams: np.ndarray, width: int) -> np.ndarray:
+    """Place of the smallest (leftmost of equals) of every ``width`` neighbouring grams.
+
+    Grams are searched in parts of at most ``LONGEST``, or twice ``width`` if that is more; parts
+    overlap by ``width - 1`` grams, so every window lies in one of them as a whole.
+    """
+    part = max(LONGEST, 1 << (2 * width - 1).bit_length())
+    low = np.uint64(part - 1)
+    n = len(grams) - width + 1
+    anchor = np.zeros(n, np.int64)
+    for at in range(0, n, part - width + 1):
+        own = grams[at:at + part]
+        packed = (own & ~low) | np.arange(len(own), dtype=np.uint64)
+        anchor[at:at + len(own) - width + 1] = at + (sliding_minimum(packed, width) & low).astype(np.int64)
+    return anchor
+
+
 def spans(symbols: np.ndarray, borders: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
     """Spans of all documents in ``symbols``; document ``i`` covers ``borders[i]:borders[i + 1]``.
 
@@ -80,9 +97,7 @@ def spans(symbols: np.ndarray, borders: np.ndarray, window: int, k: int) -> tupl
     none = np.zeros(0, np.int64)
     if len(grams) < width:
         return none, none, none, none, np.zeros(0, np.uint64)
-    low = np.uint64(LONGEST - 1)
-    packed = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
-    anchor = (sliding_minimum(packed, width) & low).astype(np.int64)
+    anchor = anchors_of(grams, width)
     doc = np.repeat(np.arange(len(borders) - 1), np.diff(borders))
     inside = doc[:len(anchor)] == doc[window - 1:window - 1 + len(anchor)]
     start = np.flatnonzero(inside)

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from meteoqc.llm import anchors
 from meteoqc.llm import suffix_dedup as sd
 from meteoqc.llm import window_dedup as wd
 from meteoqc.llm.common import table
@@ -108,6 +109,32 @@ def test_full_sketch_gives_the_same(spark):
     assert got(wd.dedup_windows(df, 7, 3, Sketch(rows=1, cells=64, parts=4))) == brute_words(rows, 7)
 
 
+def test_anchors_follow_content_beyond_longest(monkeypatch):
+    monkeypatch.setattr(anchors, "LONGEST", 256)
+    rnd = np.random.default_rng(4)
+    passage, text = rnd.integers(1, 1 << 60, 90).astype(np.uint64), rnd.integers(1, 1 << 60, 5000).astype(np.uint64)
+    for at in (10, 240, 256, 1000, 4096, 4900):
+        text[at:at + 90] = passage
+    _, first, last, anchor, _ = anchors.spans(text, np.array([0, 5000]), 40, 16)
+    assert sum(last - first + 1) == 5000 - 40 + 1 and (first[1:] == last[:-1] + 1).all()
+    assert ((last <= anchor) & (anchor <= first + 40 - 16)).all()
+    place = np.repeat(anchor, last - first + 1) - np.arange(5000 - 40 + 1)
+    assert all((place[at:at + 51] == place[1000:1051]).all() for at in (10, 4096, 4900))
+    grams = anchors.gram_hashes(text, 16) & ~np.uint64(255)
+    assert (np.arange(len(place)) + place == [k + np.argmin(grams[k:k + 25]) for k in range(len(place))]).all()
+
+
+def test_repeats_beyond_longest_are_removed(spark):
+    """A text of 17 MB shares one passage with another text, and one with itself, beyond its first 16 MB."""
+    letters = np.random.default_rng(5).integers(97, 123, 17_000_000).astype(np.uint8)
+    short = bytes(letters[:1000])
+    letters[16_900_000:16_900_500] = letters[2_000_000:2_000_500]
+    long = bytes(letters[1000:]) + short[200:900]
+    want = [(1, len(long), 500 + 500 + 700, 3), (2, 1000, 700, 1)]
+    df = spark.createDataFrame([(1, long.decode()), (2, short.decode())], "doc_id long, text string")
+    assert [r[:4] for r in got(sd.dedup_substrings(df))] == want
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string, a string")
     assert got(sd.dedup_substrings(df)) == [] and got(wd.dedup_windows(df)) == []
