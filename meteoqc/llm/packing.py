@@ -5,8 +5,10 @@ the other; in each, the queues are served in turn. A queue's share of a window i
 proportion of the window; what whole tokens cannot express is its deficit, which it carries into
 the next window. After ``j`` windows a queue has been served ``take * j // windows`` tokens, so the
 deficit of any window follows from the window's number alone and every task can place its
-documents without seeing the others: it needs the queue totals (at most ``MAX_QUEUES`` numbers) and
-the tokens of its queue in earlier tasks (prefix sums over one row for each task and queue).
+documents without seeing the others: it needs the queue totals (one number for each source, broadcast)
+and the tokens of its queue in earlier tasks (prefix sums over one row for each task and queue).
+Every source has a queue of its own, whatever their number. Only the names in the result are bounded:
+with more than ``MAX_QUEUES`` sources, those without a target are reported under shared names.
 
 Without targets the proportions are those of the corpus, so all queues run dry together. With
 targets, a queue that runs dry starts a new phase in which the others share its part; queues
@@ -20,6 +22,7 @@ are packed each; an empty table gives no rows.
 from __future__ import annotations
 
 import zlib
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,7 +36,10 @@ from meteoqc.llm.pieces import encoder
 
 SEQUENCE = 2048
 WINDOW_SEQUENCES = 16
+#: names of queues in the result; the queues themselves are as many as there are sources
 MAX_QUEUES = 256
+#: queue starts that a task keeps, of the windows it met last
+MEMO = 1 << 22
 #: rows of the prefix sums that may be broadcast (about 40 bytes each)
 BROADCAST_ROWS = 1_000_000
 CODED = "doc_id long, queue string, part int, before long, n long, ids binary"
@@ -63,60 +69,87 @@ def _coding(tokenizer: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]],
 
 
 def with_queues(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, queue); more than ``MAX_QUEUES`` sources share queues by hash."""
-    source = F.col("source").cast("string")
-    many = docs.select(source.alias("s")).distinct().count() > MAX_QUEUES
-    name = F.concat(F.lit("hash "), F.pmod(F.xxhash64(source), F.lit(MAX_QUEUES)).cast("string")) if many else F.concat(F.lit("source "), source)
+    """(doc_id, text, queue); every source is a queue."""
+    name = F.concat(F.lit("source "), F.col("source").cast("string"))
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(name, F.lit("none")).alias("queue"))
 
 
+def names_of(queues: list[str], targets: dict[str, float] | None) -> list[str]:
+    """What queues are called in the result; those without a target share names where there are many."""
+    if len(queues) <= MAX_QUEUES:
+        return queues
+    return [q if targets and q in targets else f"hash {zlib.crc32(q.encode()) % MAX_QUEUES}" for q in queues]
+
+
 def phases(totals: dict[str, int], targets: dict[str, float] | None, window: int) -> list[dict]:
     """Spans in which the proportions stay: windows, first window, first position, queue starts and takes."""
     queues = sorted(totals)
-    left, out = dict(totals), []
-    weight = {q: round(1e6 * (targets or {}).get(q, 0)) for q in queues}
-    while any(left.values()):
-        live = [q for q in queues if left[q] and weight[q]]
+    left, out = [totals[q] for q in queues], []
+    weight = [round(1e6 * (targets or {}).get(q, 0)) for q in queues]
+    aimed = [i for i, w in enumerate(weight) if w]
+    first = base = 0
+    while any(left):
+        live = [i for i in aimed if left[i]]
         if targets is None or not live:
-            take = dict(left)
+            take = list(left)
         else:
-            dry = min(live, key=lambda q: left[q] / weight[q])
-            take = {q: min(left[q], left[dry] * weight[q] // weight[dry]) if q in live else 0 for q in queues}
-        n = sum(take.values())
+            dry = min(live, key=lambda i: left[i] / weight[i])
+            take = [0] * len(queues)
+            for i in live:
+                take[i] = min(left[i], left[dry] * weight[i] // weight[dry])
+        n = sum(take)
         out.append({
-            "windows": max(1, n // window), "first": sum(p["windows"] for p in out), "base": sum(sum(p["take"]) for p in out),
-            "start": [totals[q] - left[q] for q in queues], "take": [take[q] for q in queues]})
-        left = {q: left[q] - take[q] for q in queues}
+            "windows": max(1, n // window), "first": first, "base": base,
+            "start": np.array([totals[q] - k for q, k in zip(queues, left)], "<i8"), "take": np.array(take, "<i8")})
+        first, base = first + out[-1]["windows"], base + n
+        left = [k - t for k, t in zip(left, take)]
     return out
 
 
-def served(take: np.ndarray, windows: int, j: int) -> np.ndarray:
+def served(take: np.ndarray | int, windows: int, j: int) -> np.ndarray | int:
     """Tokens of each queue in the first ``j`` windows; quotient and rest apart, so 64 bits suffice."""
     return take // windows * j + take % windows * j // windows
 
 
-def _placing(plan: list[dict], queues: list[str], sequence: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+class Starts:
+    """First positions of the queues in a window of a phase, for the windows met last."""
+
+    def __init__(self, plan: list[dict], queues: int):
+        self.plan, self.kept, self.most = plan, OrderedDict(), max(4, MEMO // max(1, queues))
+
+    def of(self, phase: int, j: int) -> np.ndarray:
+        """``start[q]``: where token 0 of queue ``q`` would lie, if it went on without a gap."""
+        if (found := self.kept.get((phase, j))) is None:
+            p = self.plan[phase]
+            low, high = served(p["take"], p["windows"], j), served(p["take"], p["windows"], j + 1)
+            found = p["base"] + int(low.sum()) + np.cumsum(high - low) - high
+            self.kept[phase, j] = found
+            if len(self.kept) > self.most:
+                self.kept.popitem(last=False)
+        return found
+
+
+def _placing(held, sequence: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def place(batches):
-        at = {q: i for i, q in enumerate(queues)}
-        takes = [np.array(p["take"], "<i8") for p in plan]
+        plan, queues, names = held.value
+        at, starts = {q: i for i, q in enumerate(queues)}, Starts(plan, len(queues))
         for b in batches:
             rows = []
             for r in b.to_pylist():
                 ids = np.frombuffer(r["ids"], f"<u{width}").astype("<u4")
                 q, a = at[r["queue"]], r["base"] + r["before"]
-                for p, take in zip(plan, takes):
-                    t, stop = max(0, a - p["start"][q]), min(p["take"][q], a + r["n"] - p["start"][q])
+                for k, p in enumerate(plan):
+                    start, take = int(p["start"][q]), int(p["take"][q])
+                    t, stop = max(0, a - start), min(take, a + r["n"] - start)
                     while t < stop:
-                        j = -(-p["windows"] * (t + 1) // p["take"][q]) - 1
-                        low, high = served(take, p["windows"], j), served(take, p["windows"], j + 1)
-                        end = min(stop, int(high[q]))
-                        pos = p["base"] + int(low.sum() + (high - low)[:q].sum()) + t - int(low[q])
-                        first = t + p["start"][q] - a
-                        t_next = end
-                        while t < t_next:
-                            n = min(t_next - t, sequence - pos % sequence)
+                        j = -(-p["windows"] * (t + 1) // take) - 1
+                        end = min(stop, served(take, p["windows"], j + 1))
+                        pos = int(starts.of(k, j)[q]) + t
+                        first = t + start - a
+                        while t < end:
+                            n = min(end - t, sequence - pos % sequence)
                             rows.append((r["doc_id"], first, n, zlib.crc32(ids[first:first + n].tobytes()), r["n"], pos // sequence,
-                                         pos % sequence, p["first"] + j, r["queue"]))
+                                         pos % sequence, p["first"] + j, names[q]))
                             t, pos, first = t + n, pos + n, first + n
             if rows:
                 kinds = [pa.int64()] * 8 + [pa.string()]
@@ -141,7 +174,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, sequence: int = SEQUENCE,
     named = {("none" if s is None else f"source {s}"): w for s, w in targets.items()} if targets else None
     plan = phases(totals, named, sequence * window_sequences)
     width = encoder(tokenizer, spaced=False).dtype.itemsize
-    return coded.join(bases, ["queue", "part"]).mapInArrow(_placing(plan, sorted(totals), sequence, width), PIECES)
+    queues = sorted(totals)
+    held = docs.sparkSession.sparkContext.broadcast((plan, queues, names_of(queues, named)))
+    return coded.join(bases, ["queue", "part"]).mapInArrow(_placing(held, sequence, width), PIECES)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

@@ -88,6 +88,26 @@ def test_many_sources_share_queues(spark, monkeypatch):
     assert len({p.queue for p in got}) <= 8
 
 
+@pytest.mark.parametrize("targets", [None, {"s0": 0.6, "s1": 0.3, "s2": 0.1}])
+def test_every_source_keeps_its_share_beyond_max_queues(spark, targets):
+    n = pk.MAX_QUEUES + 44
+    rows = [(i, "word " * (60 if i % n < 3 else 4 + i % 3), f"s{i % n}") for i in range(4 * n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = pk.pack(df, P.path("word_bpe_49k.json"), 1, sequence=32, window_sequences=4, targets=targets).collect()
+    check(got, [r[:2] for r in rows], 32)
+    share, total = defaultdict(lambda: defaultdict(int)), defaultdict(int)
+    for p in got:
+        share[p.window][f"s{p.doc_id % n}"] += p.length
+        total[f"s{p.doc_id % n}"] += p.length
+    size = {w: sum(x.values()) for w, x in share.items()}
+    if targets is None:
+        assert len(share) > 40 and all(abs(x[s] - total[s] / len(share)) < 1 for x in share.values() for s in total)
+    else:
+        before_dry = [w for w in sorted(share) if set(share[w]) <= set(targets)][:2]
+        assert before_dry and all(abs(share[w][s] / size[w] - v) < 0.03 for w in before_dry for s, v in targets.items())
+        assert {p.queue for p in got if f"s{p.doc_id % n}" in targets} == {f"source {s}" for s in targets}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert pk.pack(df, P.path("word_bpe_49k.json"), 1).count() == 0
