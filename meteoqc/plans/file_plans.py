@@ -73,6 +73,15 @@ def absent_rows(obs):
     return obs.sparkSession.read.parquet(path).select("event_id", *ID)
 
 
+def absent_rows_of_all(obs):
+    """The whole table in two overlapping deliveries; rows with a new key only."""
+    path = new_folder(obs.sparkSession, "events")
+    rows = obs.select("event_id", *ID)
+    sinks.insert_absent(rows.filter("event_id % 3 <> 0"), path, ["event_id"])
+    sinks.insert_absent(rows.filter("event_id % 2 = 0 OR event_id % 3 = 0"), path, ["event_id"])
+    return obs.sparkSession.read.parquet(path).select("event_id", *ID)
+
+
 def pruned(obs):
     """What a retention run of 14 days takes and leaves; missing readings are protected."""
     path = new_folder(obs.sparkSession, "old")
@@ -108,6 +117,7 @@ QUERIES = {
     "audit_trail": _q(audit_trail),
     "archived_payloads": _q(kept_payloads),
     "absent_rows_inserted": _q(absent_rows),
+    "absent_rows_of_all_inserted": _q(absent_rows_of_all),
     "retention_run": _q(pruned),
     "labelled_tables": _q(labelled_tables),
     "text_format_copies": _q(text_formats),
@@ -126,6 +136,7 @@ ORACLES = {
     "archived_payloads": oracle(
         "SELECT strftime(ingestion_ts, '%Y-%m-%d') AS day, count(*) AS payloads, max(station_id || '|' || CAST(event_id AS VARCHAR)) AS last FROM observations GROUP BY 1"),
     "absent_rows_inserted": oracle("SELECT event_id, station_id, obs_ts FROM observations WHERE event_id % 2 = 0"),
+    "absent_rows_of_all_inserted": oracle("SELECT event_id, station_id, obs_ts FROM observations"),
     "retention_run": oracle(
         """SELECT count(CASE WHEN NOT keep THEN 1 END) AS pruned, count(CASE WHEN keep THEN 1 END) AS kept FROM
         (SELECT obs_ts >= TIMESTAMP '2024-01-17 00:00:00' OR temperature_c IS NULL AS keep FROM observations)"""),

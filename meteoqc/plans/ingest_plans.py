@@ -128,11 +128,15 @@ def identifiers(obs):
 MESSAGES = ["HTTP 429 too many", "HTTP 401 denied", "Read Timeout", "HTTP 503 upstream", "malformed body", "Quality Gate failed", "reset by peer"]
 
 
-def errors(obs):
+def categorised(obs):
+    """Category and redacted address of every row."""
     msg = F.element_at(F.array(*[F.lit(m) for m in MESSAGES]), (F.col("event_id") % 7 + 1).cast("int"))
     url = F.concat(F.lit("https://x.test/v1?apikey=k"), F.col("event_id").cast("string"), F.lit("&lat=1"))
-    bad = obs.filter(F.col("event_type") == "error")
-    return bad.select("event_id", tx.error_category(msg).alias("category"), tx.redact_keys(url).alias("url"))
+    return obs.select("event_id", tx.error_category(msg).alias("category"), tx.redact_keys(url).alias("url"))
+
+
+def errors(obs):
+    return categorised(obs.filter(F.col("event_type") == "error"))
 
 
 def sources(spark, sf_dir):
@@ -172,6 +176,7 @@ QUERIES = {
     "timestamp_parsing_and_rounding": _q(times),
     "deterministic_identifiers": _q(identifiers),
     "error_categories_and_redaction": _q(errors),
+    "error_categories_of_all_rows": _q(categorised),
     "source_catalogue": sources,
     "run_history": _q(runs),
     "json_flag_access": _q(flags_json),
@@ -262,6 +267,9 @@ ORACLES = {
     "error_categories_and_redaction": oracle(
         """SELECT event_id, ['HTTP_429','HTTP_401','TIMEOUT','HTTP_5XX','PARSE_ERROR','SCHEMA_VIOLATION','NETWORK_ERROR'][event_id % 7 + 1] AS category,
         'https://x.test/v1?apikey=[REDACTED]&lat=1' AS url FROM observations WHERE event_type = 'error'"""),
+    "error_categories_of_all_rows": oracle(
+        """SELECT event_id, ['HTTP_429','HTTP_401','TIMEOUT','HTTP_5XX','PARSE_ERROR','SCHEMA_VIOLATION','NETWORK_ERROR'][event_id % 7 + 1] AS category,
+        'https://x.test/v1?apikey=[REDACTED]&lat=1' AS url FROM observations"""),
     "source_catalogue": oracle(
         "SELECT c.source, c.provider, c.kind, c.is_live, count(o.event_id) AS rows FROM (VALUES "
         + ", ".join(f"('{s[0]}', '{s[1]}', '{s[2]}', {str(s[3]).upper()})" for s in sc.SOURCES)

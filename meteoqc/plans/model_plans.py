@@ -67,11 +67,12 @@ def calibrated(obs):
 
 
 def attributions(obs):
+    """The strongest features of every reading; ``flagged`` marks scores of 0.5 and more."""
     rows = _rows(obs)
     m = forest(rows)
-    flagged = m.transform(rows).filter(F.col("score") >= 0.5)
-    out = m.with_contributions(flagged).withColumn("top", fo.ranked("contributions", 5))
-    return out.select(*ID, "score", F.explode("top").alias("t")).select(*ID, "score", "t.*")
+    scored = m.transform(rows).withColumn("flagged", F.col("score") >= 0.5)
+    out = m.with_contributions(scored).withColumn("top", fo.ranked("contributions", 5))
+    return out.select(*ID, "score", "flagged", F.explode("top").alias("t")).select(*ID, "score", "flagged", "t.*")
 
 
 def fallback(obs):
