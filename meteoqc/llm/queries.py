@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meteoqc.llm import decontaminate, multi_index, ngram_join, packing, quality, suffix_dedup, token_counts, token_files, toxicity, window_dedup
+from meteoqc.llm import decontaminate, multi_index, ngram_join, packing, periodic_runs, quality, suffix_dedup, token_counts, token_files, toxicity, window_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files.op1_token_files,
@@ -19,5 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_window_dedup": window_dedup.op8_window_dedup,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_packing": packing.op10_packing,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
 }
 ORACLES: dict[str, str] = {}
