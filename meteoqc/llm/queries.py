@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meteoqc.llm import decontaminate, multi_index, ngram_join, packing, periodic_runs, quality, suffix_dedup, token_counts, token_files, toxicity, window_dedup
+from meteoqc.llm import (
+    decontaminate,
+    hard_negatives,
+    multi_index,
+    ngram_join,
+    packing,
+    periodic_runs,
+    personal_data,
+    quality,
+    suffix_dedup,
+    token_counts,
+    token_files,
+    toxicity,
+    window_dedup,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files.op1_token_files,
@@ -20,5 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_packing": packing.op10_packing,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_personal_data": personal_data.op13_personal_data,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_hard_negatives": hard_negatives.ORACLE}
