@@ -138,23 +138,24 @@ def _ranking(length: int, size: int, parent: int | None) -> Callable[[Iterator[p
 def repeated_windows(own: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(row, a, b): windows of ``own`` (row, text) starting at bytes ``a`` to ``b`` that also start elsewhere."""
     spans = staged(own.select("row", "text").mapInArrow(_spanning(length, gram), SPANS))
-    seeds = spans.groupBy("seed").agg(F.count("*").alias("n_seed")).where("n_seed > 1").select("seed")
-    spans = staged(spans.join(seeds, "seed"))
+    # counted and written apart, so that the joins below read nothing but their two sides and hot keys can be split
+    seeds = staged(spans.groupBy("seed").agg(F.count("*").alias("n_seed"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("n_seed > 1"))
+    spans = staged(spans.join(seeds.select("seed"), "seed", "left_semi"))
     classes = staged(spans.groupBy("seed", "whole").agg(F.count("*").alias("times"), F.min(F.struct("row", "first", "n", "off")).alias("one")))
-    found = spans.join(classes.where("times > 1").select("seed", "whole"), ["seed", "whole"]).select(
-        "row", F.col("first").alias("a"), (F.col("first") + F.col("n") - 1).alias("b"))
-    several = classes.groupBy("seed").agg(F.count("*").alias("k")).where("k > 1").select("seed")
-    opened = classes.join(several, "seed").select("one.*", "seed").groupBy("row").agg(F.collect_list(F.struct("first", "n", "off", "seed")).alias("open"))
+    again = classes.where("times > 1").select("seed", "whole")
+    found = spans.join(again, ["seed", "whole"], "left_semi").select("row", F.col("first").alias("a"), (F.col("first") + F.col("n") - 1).alias("b"))
+    several = seeds.where("low != high").select("seed")
+    opened = classes.join(several, "seed", "left_semi").select("one.*", "seed").groupBy("row").agg(F.collect_list(F.struct("first", "n", "off", "seed")).alias("open"))
     cut = own.select("row", "text").join(opened, "row").mapInArrow(_slicing(length), SLICES)
     parts = staged(cut.select(F.monotonically_increasing_id().alias("id"), "*"))
     source, last = parts, None
     for size in (s for s in BLOCKS if s == 1 or 4 * s <= length):
         ranked = staged(source.mapInArrow(_ranking(length, size, last), RANKED))
         groups = staged(ranked.groupBy("rank", "whole").agg(F.count("*").alias("times"), F.min(F.struct("id", "block")).alias("one")))
-        found = found.unionByName(ranked.join(groups.where("times > 1").select("rank", "whole"), ["rank", "whole"]).select("row", "a", "b"))
+        found = found.unionByName(ranked.join(groups.where("times > 1").select("rank", "whole"), ["rank", "whole"], "left_semi").select("row", "a", "b"))
         if size > 1:
-            split = groups.groupBy("rank").agg(F.count("*").alias("k")).where("k > 1").select("rank")
-            left = groups.join(split, "rank").select("one.*").groupBy("id").agg(F.collect_list("block").alias("blocks"))
+            split = staged(groups.groupBy("rank").agg(F.count("*").alias("k")).where("k > 1").select("rank"))
+            left = groups.join(split, "rank", "left_semi").select("one.*").groupBy("id").agg(F.collect_list("block").alias("blocks"))
             source, last = parts.join(left, "id"), size
     return found
 
