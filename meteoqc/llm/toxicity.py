@@ -178,8 +178,7 @@ def train(sets: list[np.ndarray], label: np.ndarray) -> Model | None:
     voters = np.unique(np.concatenate([strong, calm, shape]))
     votes = np.array([np.isin(voters, s, assume_unique=True) for s in sets], float)
     soft = fit_label_model(votes, label.astype(float)).posterior(votes)
-    if np.corrcoef(soft, label)[0, 1] < 0.3 or np.isnan(np.corrcoef(soft, label)[0, 1]):
-        soft = label.astype(float)  # the voters carry nothing: fall back on the labels they were mined from
+    soft = np.clip(np.where(np.isnan(soft), base, soft), 1e-6, 1 - 1e-6)  # without votes: the share of toxic documents
     toxic = _counts(sets, soft)
     fine = total - toxic
     rate = np.log((toxic + soft.mean()) / (fine + 1 - soft.mean())) - np.log(soft.mean() / (1 - soft.mean()))
