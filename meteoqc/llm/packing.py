@@ -7,8 +7,7 @@ the next window. After ``j`` windows a queue has been served ``take * j // windo
 deficit of any window follows from the window's number alone and every task can place its
 documents without seeing the others: it needs the queue totals (one number for each source, broadcast)
 and the tokens of its queue in earlier tasks (prefix sums over one row for each task and queue).
-Every source has a queue of its own, whatever their number. Only the names in the result are bounded:
-with more than ``MAX_QUEUES`` sources, those without a target are reported under shared names.
+Every source has a queue of its own, whatever their number, and is named in the result.
 
 Without targets the proportions are those of the corpus, so all queues run dry together. With
 targets, a queue that runs dry starts a new phase in which the others share its part; queues
@@ -36,8 +35,6 @@ from meteoqc.llm.pieces import encoder
 
 SEQUENCE = 2048
 WINDOW_SEQUENCES = 16
-#: names of queues in the result; the queues themselves are as many as there are sources
-MAX_QUEUES = 256
 #: queue starts that a task keeps, of the windows it met last
 MEMO = 1 << 22
 #: rows of the prefix sums that may be broadcast (about 40 bytes each)
@@ -74,13 +71,6 @@ def with_queues(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(name, F.lit("none")).alias("queue"))
 
 
-def names_of(queues: list[str], targets: dict[str, float] | None) -> list[str]:
-    """What queues are called in the result; those without a target share names where there are many."""
-    if len(queues) <= MAX_QUEUES:
-        return queues
-    return [q if targets and q in targets else f"hash {zlib.crc32(q.encode()) % MAX_QUEUES}" for q in queues]
-
-
 def phases(totals: dict[str, int], targets: dict[str, float] | None, window: int) -> list[dict]:
     """Spans in which the proportions stay: windows, first window, first position, queue starts and takes."""
     queues = sorted(totals)
@@ -131,7 +121,7 @@ class Starts:
 
 def _placing(held, sequence: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def place(batches):
-        plan, queues, names = held.value
+        plan, queues = held.value
         at, starts = {q: i for i, q in enumerate(queues)}, Starts(plan, len(queues))
         for b in batches:
             rows = []
@@ -149,7 +139,7 @@ def _placing(held, sequence: int, width: int) -> Callable[[Iterator[pa.RecordBat
                         while t < end:
                             n = min(end - t, sequence - pos % sequence)
                             rows.append((r["doc_id"], first, n, zlib.crc32(ids[first:first + n].tobytes()), r["n"], pos // sequence,
-                                         pos % sequence, p["first"] + j, names[q]))
+                                         pos % sequence, p["first"] + j, queues[q]))
                             t, pos, first = t + n, pos + n, first + n
             if rows:
                 kinds = [pa.int64()] * 8 + [pa.string()]
@@ -175,7 +165,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, sequence: int = SEQUENCE,
     plan = phases(totals, named, sequence * window_sequences)
     width = encoder(tokenizer, spaced=False).dtype.itemsize
     queues = sorted(totals)
-    held = docs.sparkSession.sparkContext.broadcast((plan, queues, names_of(queues, named)))
+    held = docs.sparkSession.sparkContext.broadcast((plan, queues))
     return coded.join(bases, ["queue", "part"]).mapInArrow(_placing(held, sequence, width), PIECES)
 
 

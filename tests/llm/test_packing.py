@@ -79,18 +79,17 @@ def test_targets_hold_in_every_window(spark):
         assert abs(share[w]["source a"] / n - 0.6) < 0.03 and abs(share[w]["source c"] / n - 0.1) < 0.03
 
 
-def test_many_sources_share_queues(spark, monkeypatch):
-    rows = [(i, "some words here", f"s{i}") for i in range(40)]
+def test_every_source_is_named(spark):
+    rows = [(i, "some words here", f"s{i}") for i in range(300)] + [(300, "more", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    monkeypatch.setattr(pk, "MAX_QUEUES", 8)
     got = pk.pack(df, P.path("word_bpe_49k.json"), 1, sequence=8, window_sequences=2).collect()
     check(got, [r[:2] for r in rows], 8)
-    assert len({p.queue for p in got}) <= 8
+    assert {(p.doc_id, p.queue) for p in got} == {(i, "none" if s is None else f"source {s}") for i, _, s in rows}
 
 
 @pytest.mark.parametrize("targets", [None, {"s0": 0.6, "s1": 0.3, "s2": 0.1}])
-def test_every_source_keeps_its_share_beyond_max_queues(spark, targets):
-    n = pk.MAX_QUEUES + 44
+def test_every_source_keeps_its_share(spark, targets):
+    n = 300
     rows = [(i, "word " * (60 if i % n < 3 else 4 + i % 3), f"s{i % n}") for i in range(4 * n)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
     got = pk.pack(df, P.path("word_bpe_49k.json"), 1, sequence=32, window_sequences=4, targets=targets).collect()
