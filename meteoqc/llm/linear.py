@@ -21,6 +21,13 @@ class Rows:
         return cls(np.concatenate([[0], np.cumsum(n)]), np.array([c for r in rows for c in r], np.int64),
                    np.array([v for r in rows for v in r.values()], np.float64))
 
+    @classmethod
+    def joined(cls, parts: list[Rows]) -> Rows:
+        """All rows of ``parts``, one after the other."""
+        base = np.concatenate([[0], np.cumsum([len(p.columns) for p in parts])])
+        edges = [p.edges[1:] + b for p, b in zip(parts, base)]
+        return cls(np.concatenate([[0], *edges]).astype(np.int64), np.concatenate([p.columns for p in parts]), np.concatenate([p.values for p in parts]))
+
     def __len__(self) -> int:
         return len(self.edges) - 1
 

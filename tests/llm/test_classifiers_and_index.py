@@ -25,6 +25,29 @@ def test_quality_on_rows_that_training_did_not_see(spark):
     assert right > 0.97 and lost < 0.005
 
 
+def test_every_unlabelled_document_may_teach(spark):
+    """The surest of all rows, by a full sort of their odds; labelled and taught ones are left out."""
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels").where("quality IS NOT NULL")
+    views = ql.views_of(docs)
+    rnd = np.random.default_rng(3)
+    weights, had = [rnd.normal(0, 2, ql.WIDTH + 1) for _ in range(2)], [set(range(0, 1000, 7)), set()]
+    given = ql.whole_pool(views, labels, taught=25, sure=0.6)(weights, had)
+    every = views.toArrow()
+    ids, marked = every["doc_id"].to_pylist(), {r.doc_id for r in labels.collect()}
+    odds = [v.times(w) + w[-1] for v, w in zip(ql.read_rows(every), weights)]
+    for own, (found, rows, label) in enumerate(given):
+        free = sorted((o, i) for i, o in zip(ids, odds[own]) if i not in marked and i not in had[1 - own])
+        low, high = [i for o, i in free if o <= -np.log(1.5)][:25], [i for o, i in sorted(((-o, i) for o, i in free)) if -o >= np.log(1.5)][:25]
+        assert dict(zip(found, label)) == {i: 0.0 for i in low} | {i: 1.0 for i in high} and len(rows[0]) == len(rows[1]) == len(found)
+
+
+def test_long_words_count_in_pieces():
+    rnd = random.Random(1)
+    word = "".join(rnd.choice("aB3-") for _ in range(1000))
+    assert [len(p) for p in ql.pieces(["ab", word])] == [2, *[64] * 15, 40] and "".join(ql.pieces([word])) == word
+    assert len(ql.text_view(word)) > 10
+
+
 def test_toxicity_on_the_held_out_fold(spark):
     got = tx.op4_toxicity(spark, SF).join(table(spark, SF, "labels"), "doc_id").where("held_out").collect()
     assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in got)
