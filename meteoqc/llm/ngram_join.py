@@ -259,11 +259,8 @@ def similar_groups(own: DataFrame, gram: int = GRAM, sketches: tuple[Sketch, ...
     text = own.select("row", "text")
     held: list = []
     for sketch in sketches:
-        bits = sketch.bits(text.select("text").mapInArrow(_sketching(sketch, list(held), gram), SENT))
-        held.append((sketch, own.sparkSession.sparkContext.broadcast(bits)))
+        held.append((sketch, sketch.bits(text.select("text").mapInArrow(_sketching(sketch, list(held), gram), SENT))))
     sets = staged(text.mapInArrow(_reading(held, gram), SETS))
-    while held:  # written: nothing reads the sketches again
-        held.pop()[1].destroy()
     same = ["k1", "k2", "n"]
     classes = staged(sets.where("keys IS NOT NULL").groupBy(*same).agg(F.min("row").alias("first")))
     firsts = classes.select(F.col("first").alias("row"))

@@ -16,10 +16,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from meteoqc.llm.anchors import MIX, mixed
+from meteoqc.llm.common import file_system, new_folder
 
 SENT = "part int, n int, cells binary, twice binary"
 
 
+#: merged sketches that a worker has read, the last two
+_READ: dict[str, list[bytes]] = {}
+
+
+@dataclass(frozen=True)
+class Merged:
+    """A merged sketch in the shared folder; tasks read it there, nothing of it passes the driver."""
+
+    path: str
+    parts: int
+
+    @property
+    def value(self) -> list[bytes]:
+        """Bits by part, empty where no key fell."""
+        if self.path not in _READ:
+            import pyarrow.parquet as pq
+
+            while len(_READ) > 1:
+                _READ.pop(next(iter(_READ)))
+            system, path = file_system(self.path)
+            got = pq.read_table(path, filesystem=system)
+            held = dict(zip(got["part"].to_pylist(), got["bits"].to_pylist()))
+            _READ[self.path] = [held.get(i, b"") for i in range(self.parts)]
+        return _READ[self.path]
+
+
 @dataclass(frozen=True)
 class Sketch:
     """``rows`` counters for a key, ``cells`` (a power of two) in each, handled in ``parts`` of equal size."""
@@ -58,11 +85,11 @@ class Sketch:
         for part, count in counts.items():
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(count > 1).tobytes()], pa.binary())], names=["part", "bits"])
 
-    def bits(self, sent: DataFrame) -> list[bytes]:
-        """The merged sketch by part, from a table of ``SENT`` rows; ``rows * cells`` bits come to the driver."""
-        merged = sent.repartition(self.rows * self.parts, "part").mapInArrow(self.merge, "part int, bits binary")
-        got = {r["part"]: r["bits"] for r in merged.collect()}
-        return [got.get(i, b"") for i in range(self.rows * self.parts)]
+    def bits(self, sent: DataFrame) -> Merged:
+        """The merged sketch, from a table of ``SENT`` rows; ``rows * cells`` bits are written."""
+        path = new_folder(sent.sparkSession, "sketch")
+        sent.repartition(self.rows * self.parts, "part").mapInArrow(self.merge, "part int, bits binary").write.parquet(path)
+        return Merged(path, self.rows * self.parts)
 
     def repeated(self, bits: list[bytes], keys: np.ndarray) -> np.ndarray:
         """Whether each key is estimated to occur twice or more."""

@@ -112,8 +112,7 @@ def _keeping(sketch: Sketch, bits, window: int, gram: int) -> Callable[[Iterator
 
 def candidate_spans(own: DataFrame, window: int = WINDOW, gram: int = GRAM, sketch: Sketch = SKETCH) -> DataFrame:
     """Spans of ``own`` (row, text) that may be repeated: row, first window, windows, gram, hash of all their words."""
-    bits = sketch.bits(own.select("text").mapInArrow(_sketching(sketch, window, gram), SENT))
-    held = own.sparkSession.sparkContext.broadcast(bits)
+    held = sketch.bits(own.select("text").mapInArrow(_sketching(sketch, window, gram), SENT))
     return own.select("row", "text").mapInArrow(_keeping(sketch, held, window, gram), SPANS)
 
 
