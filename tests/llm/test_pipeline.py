@@ -4,7 +4,6 @@ import corpus_pipeline as cp
 from test_ngram_join import brute
 from test_substrings import brute_bytes
 
-from meteoqc.llm import suffix_dedup as sd
 from meteoqc.llm.common import staged, table
 
 
@@ -16,7 +15,7 @@ def test_stages_against_brute_force(spark, sf):
     groups = brute([(r.doc_id, r.text) for r in good.collect()])
     assert sorted(r.doc_id for r in one.collect()) == sorted({g[2][1] for g in groups}) and one.columns == docs.columns
     cut = staged(cp.repeated_substrings(spark, one, sf))
-    want = {i: n - r for i, n, r, *_ in brute_bytes([(r.doc_id, r.text) for r in one.collect()], sd.LENGTH)}
+    want = {i: n - r for i, n, r, *_ in brute_bytes([(r.doc_id, r.text) for r in one.collect()], cp.REPEATED_BYTES)}
     got = {r.doc_id: len((r.text or "").encode()) for r in cut.collect()}
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) <= 6 for i in want) and cut.columns == docs.columns
     clean = staged(cp.benchmark_decontamination(spark, cut, sf))
