@@ -24,9 +24,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return ngram_join.first_of_groups(docs)
 
 
+#: bytes of a repeated string; a passage of over 50 words has about 300 at least
+REPEATED_BYTES = 250
+
+
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the strings of 400 bytes and more that occur again."""
-    return suffix_dedup.without_repeats(docs)
+    """All documents, without the strings of ``REPEATED_BYTES`` bytes and more that occur again."""
+    return suffix_dedup.without_repeats(docs, REPEATED_BYTES)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
