@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meteoqc.functions.numeric import steady_round
@@ -90,6 +90,25 @@ def calibrate(rows: DataFrame, target: str = "f1") -> DataFrame:
     return best.select(F.when(single, 0.5).otherwise(F.col("b.threshold")).alias("threshold"), F.when(~single, F.col("b.metric")).alias("metric"))
 
 
+def calibrate_by(rows: DataFrame, by: Sequence[str], target: str = "f1") -> DataFrame:
+    """``calibrate`` for every group of ``by``: one row each with ``threshold`` and ``metric``."""
+    by = list(by)
+    g = rows.groupBy(*by, steady_round(F.col("score"), SCORE_DIGITS).alias("score")).agg(F.sum("y_true").alias("pos"), F.sum(1 - F.col("y_true")).alias("neg"))
+    cuts = g.groupBy(*by).agg(
+        F.array_sort(F.array_distinct(F.transform(F.percentile("score", F.array(*[F.lit(i / 100.0) for i in range(1, 100)]), F.col("pos") + F.col("neg")),
+                                                  lambda c: F.round(c, 9)))).alias("cuts"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    # each score counts for the candidates at or below it: at most 100 sums per group
+    per = g.join(F.broadcast(cuts), by).groupBy(*by, F.size(F.filter("cuts", lambda c: c <= F.col("score"))).alias("k")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    cand = cuts.select(*by, "P", "N", F.posexplode("cuts").alias("i", "threshold"))
+    m = cand.join(per, by).filter(F.col("k") > F.col("i")).groupBy(*by, "P", "N", "threshold").agg(F.sum("pos").alias("tp"), F.sum("neg").alias("fp"))
+    p, r = _ratio(F.col("tp"), F.col("tp") + F.col("fp")), _ratio(F.col("tp"), F.col("P"))
+    metric = {"f1": _ratio(2.0 * p * r, p + r), "precision": p, "balanced": (p + r) / 2.0}[target]
+    best = m.withColumn("metric", F.round(metric, 9)).groupBy(*by, "P", "N").agg(
+        F.max_by(F.struct("threshold", "metric"), F.struct("metric", (-F.col("threshold")).alias("low"))).alias("b"))
+    single = (F.col("P") == 0) | (F.col("N") == 0)
+    return best.select(*by, F.when(single, 0.5).otherwise(F.col("b.threshold")).alias("threshold"), F.when(~single, F.col("b.metric")).alias("metric"))
+
+
 def event_hits(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per labelled event: detected or not, steps and minutes to the first detection."""
     pred = rows.select(KEY, TS, "pred")
@@ -167,15 +186,41 @@ def label_accounting(labels: DataFrame) -> DataFrame:
     return total.join(F.broadcast(overlap), F.lit(True))  # one row
 
 
-def chronological_split(rows: DataFrame, tie: str = "event_id", train: float = 0.6, val: float = 0.2, seconds: int = FOUR_DAYS) -> DataFrame:
-    """Exact split by position in time order: rows are numbered per chunk, chunks by running totals."""
-    n = rows.agg(F.count(F.lit(1)).alias("_n"))
-    numbered = scan(with_chunk(rows, TS, seconds).withColumn("_one", F.lit(1)), {"_pos": ("sum", F.col("_one"))}, key=(), order=[TS, tie])
-    out = numbered.join(F.broadcast(n), F.lit(True))  # one row
-    t_end = F.greatest(F.lit(1), F.floor(F.col("_n") * train + 1e-9))
-    v_end = F.least(F.greatest(t_end + 1, F.floor(F.col("_n") * (train + val) + 1e-9)), F.when(F.col("_n") > 2, F.col("_n") - 1).otherwise(F.col("_n")))
-    part = F.when(F.col("_pos") <= t_end, "train").when(F.col("_pos") <= v_end, "validation").otherwise("test")
-    return out.withColumn("split", part).drop("_pos", "_n", "_one", CHUNK)
+def rows_at(rows: DataFrame, places: DataFrame, tie: str, seconds: int) -> DataFrame:
+    """(name, at, tie) of the rows at the 1-based ``places`` (name, place) in (time, ``tie``) order.
+
+    Rows are counted per stretch of time, then per instant of the few stretches that hold a place;
+    only rows of those instants are ever put in order, and no row of the table is shuffled as a whole.
+    """
+    def narrowed(counts: DataFrame, wanted: DataFrame, by: str, key: list[str]) -> DataFrame:
+        before = F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = counts.withColumn("before", before)
+        join = placed.join(F.broadcast(wanted), key) if key else placed.join(F.broadcast(wanted), F.lit(True))  # one row for each place
+        inside = (F.col("place") > F.col("before")) & (F.col("place") <= F.col("before") + F.col("n"))
+        return join.filter(inside).select("name", by, (F.col("place") - F.col("before")).alias("place"))
+
+    times = with_chunk(rows.select(TS, F.col(tie).alias("tie")), TS, seconds)
+    stretches = narrowed(times.groupBy(CHUNK).agg(F.count(F.lit(1)).alias("n")), places, CHUNK, [])
+    instants = times.join(F.broadcast(stretches.select("name", CHUNK)), CHUNK).groupBy("name", TS).agg(F.count(F.lit(1)).alias("n"))
+    at = narrowed(instants, stretches.select("name", "place"), TS, ["name"])
+    last = times.join(F.broadcast(at), TS).withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("tie")))
+    return last.filter(F.col("k") == F.col("place")).select("name", F.col(TS).alias("at"), "tie")
+
+
+def chronological_split(rows: DataFrame, tie: str = "event_id", train: float = 0.6, val: float = 0.2, seconds: int = 3600) -> DataFrame:
+    """Exact split by position in time order, from the two rows at the borders.
+
+    Rows with the time and ``tie`` of a border row belong to the part before it.
+    """
+    n = F.col("_n")
+    t_end = F.greatest(F.lit(1), F.floor(n * train + 1e-9))
+    v_end = F.least(F.greatest(t_end + 1, F.floor(n * (train + val) + 1e-9)), F.when(n > 2, n - 1).otherwise(n))
+    ends = rows.agg(F.count(F.lit(1)).alias("_n")).select(F.explode(F.array(
+        F.struct(F.lit("t").alias("name"), t_end.alias("place")), F.struct(F.lit("v").alias("name"), v_end.alias("place")))).alias("e")).select("e.*")
+    cuts = rows_at(rows, ends, tie, seconds).groupBy().pivot("name", ["t", "v"]).agg(F.first(F.struct("at", "tie")))
+    place = F.struct(F.col(TS).alias("at"), F.col(tie).alias("tie"))
+    part = F.when(place <= F.col("_cut.t"), "train").when(place <= F.col("_cut.v"), "validation").otherwise("test")
+    return rows.join(F.broadcast(cuts.select(F.struct("t", "v").alias("_cut"))), F.lit(True)).withColumn("split", part).drop("_cut")  # one row
 
 
 def split_by_dates(rows: DataFrame, train_end: str, val_end: str) -> DataFrame:

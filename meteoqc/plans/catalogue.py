@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["feature_plans", "spatial_plans", "ingest_plans", "profile_plans", "decision_plans", "repair_plans", "evaluation_plans", "model_plans", "source_plans", "file_plans", "stream_plans"]
+AREAS = ["feature_plans", "spatial_plans", "ingest_plans", "profile_plans", "decision_plans", "repair_plans", "evaluation_plans", "experiment_plans", "model_plans", "source_plans", "file_plans", "stream_plans", "keyed_stream_plans", "store_plans"]
 
 
 def _modules():
