@@ -117,3 +117,17 @@ def reachability(polls: DataFrame, rules: SourceRules = SourceRules(), *, key: S
         F.count(F.when(~F.col("ok") & (F.col("category") == "PARSE_ERROR"), 1)).alias("malformed"), F.max("failures").alias("longest_failure_run"))
     return out.select(*key, "polls", F.col("p.failures").alias("consecutive_failures"), F.col("p.latency_ms").alias("last_latency_ms"), "last_success", "malformed",
                       "longest_failure_run", (F.col("p.failures") >= rules.outage_failures).alias("is_unreachable"))
+
+
+def outage_sessions(states: DataFrame, gap: str = "90 minutes", watermark: str = "2 hours", *, ts: str = "poll_ts") -> DataFrame:
+    """Outages as sessions: cycles without a HEALTHY state that follow each other within ``gap``.
+
+    The same call serves a table and a stream. A stream emits a session once the watermark has passed
+    its end, and holds one row for each source that is out at the time.
+    """
+    bad = states.withWatermark(ts, watermark).filter(F.col("state") != "HEALTHY")
+    out = bad.groupBy("source", F.session_window(ts, gap).alias("w")).agg(
+        F.min(ts).alias("started_at"), F.max(ts).alias("last_ts"), F.count(F.lit(1)).alias("cycles"), F.min_by("state", ts).alias("initial_state"),
+        F.max_by("state", ts).alias("last_state"), F.sort_array(F.collect_set("trigger")).alias("triggers"))  # closed list of triggers
+    categories = F.array_join(F.filter("triggers", lambda t: t != "NONE"), ",")
+    return out.select("source", "started_at", "last_ts", F.col("w.end").alias("closed_at"), "cycles", "initial_state", "last_state", categories.alias("categories"))

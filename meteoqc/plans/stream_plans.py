@@ -4,30 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meteoqc.operators.lookups import latest_per_key
-from meteoqc.plans.common import oracle, publish, replaced_observations
+from meteoqc.plans.common import oracle, publish
 from meteoqc.plans.decision_plans import DECIDED, RULES
-from meteoqc.plans.profile_plans import repeated
 from meteoqc.schema import KEY, TS
 from meteoqc.streaming import stream as st
 
 ID = [KEY, TS]
 
 
-def windows(spark, sf_dir):
-    """Every window, those still open at the end of the input too: each epoch writes the windows it touched, the last version counts."""
-    out = st.new_folder(spark, "windows")
-    st.run_available(st.window_aggregates(st.observation_stream(spark, sf_dir)), st.to_table(out), f"{out}-checkpoint", "update")
-    return publish(latest_per_key(spark.read.parquet(out), [KEY, "window_start"], "epoch").drop("epoch"))
-
-
-def duplicates(spark, sf_dir):
-    out = st.new_folder(spark, "unique")
-    stream = st.without_duplicates(repeated(st.observation_stream(spark, sf_dir))).select(*ID, "source")
-    st.run_available(stream, st.to_table(out), f"{out}-checkpoint")
-    return publish(spark.read.parquet(out).drop("epoch"))
-
-
 def arrival(spark, sf_dir):
     f = st.Folders(st.new_folder(spark, "arrival"))
     st.run_available(st.observation_stream(spark, sf_dir), st.track_arrival(f), f"{f.root}-checkpoint")
@@ -50,36 +34,33 @@ def changes(spark, sf_dir):
     return publish(spark.read.parquet(f.events_out).groupBy("event_type", KEY).agg(F.count(F.lit(1)).alias("n"), F.max(TS).alias("last_ts")))
 
 
-def decided_over_batches(spark, sf_dir):
-    """Three micro-batches in order of time, with six days of silence before the last; every row as in one batch."""
+def decide_in_parts(spark, sf_dir, parts):
+    """A query started from its checkpoint for each part of the events."""
     f = st.Folders(st.new_folder(spark, "batches"))
     feed, events = f"{f.root}-feed", spark.read.parquet(f"{sf_dir}/events.parquet")
-    day = F.dayofmonth("ts")
     step = st.decide_batches(f, RULES)
-    for part in (day < 5, (day >= 5) & (day < 10), day >= 16):
+    for part in parts:
         events.filter(part).write.mode("append").parquet(feed)
         st.run_available(st.observation_stream(spark, feed, "*.parquet"), step, f"{f.root}-checkpoint")
     return publish(spark.read.parquet(f.decisions).select(*ID, "epoch", "decision", "severity", F.array_join("reason_codes", ",").alias("reasons")))
 
 
+def decided_over_batches(spark, sf_dir):
+    """All readings in three micro-batches in order of time; every row as in one batch."""
+    day = F.dayofmonth("ts")
+    return decide_in_parts(spark, sf_dir, (day < 5, (day >= 5) & (day < 16), day >= 16))
+
+
 QUERIES = {
     "stream_decisions_over_batches": decided_over_batches,
-    "stream_half_hour_windows": windows,
-    "stream_duplicate_suppression": duplicates,
     "stream_arrival_status": arrival,
     "stream_decisions": decided,
     "stream_change_events": changes,
 }
 
-SILENT = replaced_observations("observations AS (SELECT * FROM raw_observations WHERE day(obs_ts) < 10 OR day(obs_ts) >= 16)")
+EPOCH = "CAST(CASE WHEN day(obs_ts) < 5 THEN 0 WHEN day(obs_ts) < 16 THEN 1 ELSE 2 END AS BIGINT) AS epoch"
 ORACLES = {
-    "stream_decisions_over_batches": oracle(
-        """SELECT station_id, obs_ts, CAST(CASE WHEN day(obs_ts) < 5 THEN 0 WHEN day(obs_ts) < 10 THEN 1 ELSE 2 END AS BIGINT) AS epoch, decision, severity, reasons FROM decided""",
-        *DECIDED, base=SILENT),
-    "stream_half_hour_windows": oracle(
-        """SELECT station_id, time_bucket(INTERVAL '30 minutes', obs_ts) AS window_start, count(*) AS readings, avg(temperature_c) AS mean_temp, min(temperature_c) AS min_temp, max(temperature_c) AS max_temp
-        FROM observations GROUP BY 1, 2""", doubles=["mean_temp"]),
-    "stream_duplicate_suppression": oracle("SELECT station_id, obs_ts, source FROM observations"),
+    "stream_decisions_over_batches": oracle(f"SELECT station_id, obs_ts, {EPOCH}, decision, severity, reasons FROM decided", *DECIDED),
     "stream_arrival_status": oracle(
         """SELECT event_id, station_id, obs_ts, hw AS high_water_ts, CASE WHEN obs_ts < hw THEN 'OUT_OF_ORDER' ELSE 'PROCESSED' END AS status, FALSE AS is_late FROM
         (SELECT *, max(obs_ts) OVER (PARTITION BY station_id ORDER BY ingestion_ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hw FROM observations)"""),

@@ -1,4 +1,4 @@
-"""Structured Streaming forms: windows, duplicates, arrival order, decisions per micro-batch."""
+"""Structured Streaming forms: arrival order, decisions and change rows per micro-batch."""
 
 from __future__ import annotations
 
@@ -10,14 +10,12 @@ from pyspark.sql import functions as F
 
 from meteoqc.operators.chunks import CHUNK, scan, with_chunk
 from meteoqc.operators.decision import Rules, anomaly_events, decisions
-from meteoqc.operators.source_health import source_states
 from meteoqc.operators.spatial import neighbour_edges, stations
 from meteoqc.operators.staging import new_folder  # noqa: F401  (for the plans)
 from meteoqc.schema import KEY, TEMP, TS
 from meteoqc.sources.sinks import read_or_none, write_once_per_epoch
 from meteoqc.sources.tables import as_observations
 
-WATERMARK = "2 hours"
 LATE_SECONDS = 7200
 
 
@@ -43,17 +41,6 @@ def to_table(path: str) -> Callable[[DataFrame, int], None]:
     return lambda batch, epoch: write_once_per_epoch(batch, path, epoch)
 
 
-def window_aggregates(stream: DataFrame, minutes: int = 30) -> DataFrame:
-    """Tumbling aggregate per station; a window is emitted once the watermark has passed it."""
-    return stream.withWatermark(TS, WATERMARK).groupBy(KEY, F.window(TS, f"{minutes} minutes").alias("w")).agg(
-        F.count(F.lit(1)).alias("readings"), F.avg(TEMP).alias("mean_temp"), F.min(TEMP).alias("min_temp"), F.max(TEMP).alias("max_temp"),
-    ).select(KEY, F.col("w.start").alias("window_start"), "readings", "mean_temp", "min_temp", "max_temp")
-
-
-def without_duplicates(stream: DataFrame) -> DataFrame:
-    return stream.withWatermark(TS, WATERMARK).dropDuplicatesWithinWatermark([KEY, TS, "source"])
-
-
 @dataclass(frozen=True)
 class Folders:
     """Tables of one streaming job, all keyed by epoch."""
@@ -177,15 +164,3 @@ def change_events(decided: DataFrame) -> DataFrame:
     anomalies = anomaly_events(decided).select(
         F.lit("ANOMALY_DETECTED").alias("event_type"), KEY, TS, F.to_json(F.struct("event_id", "severity", "reason_codes")).alias("payload"))
     return seen.unionByName(anomalies)
-
-
-def track_sources(folders: Folders) -> Callable[[DataFrame, int], None]:
-    """Source states after each micro-batch of the poll log; the log itself is the state."""
-    def each(batch: DataFrame, epoch: int) -> None:
-        past = earlier(batch.sparkSession, folders.polls, epoch)
-        write_once_per_epoch(batch, folders.polls, epoch)
-        fresh = batch.sparkSession.read.parquet(f"{folders.polls}/epoch={epoch}")
-        states = source_states(fresh if past is None else fresh.unionByName(past))
-        write_once_per_epoch(states.join(fresh.select("source", "poll_ts"), ["source", "poll_ts"], "left_semi"), folders.states, epoch)
-
-    return each
