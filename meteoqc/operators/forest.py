@@ -167,25 +167,58 @@ def leaf_table(a: _Arrays) -> tuple[np.ndarray, ...]:
     return tuple(np.array(v) for v in (feats, lows, highs, shares, values))
 
 
-def attributions(leaves: tuple[np.ndarray, ...], trees: int, x: np.ndarray, width: int) -> np.ndarray:
-    """Shapley values of the mean path length with branch shares as background.
+@dataclass
+class LeafEffects:
+    """What every leaf adds to each feature's attribution, for each pattern of the leaf's conditions.
+
+    A leaf has at most one interval per feature, so a row meets one of ``2^k`` patterns of its ``k``
+    conditions. ``effects`` holds a row of features for each of them, leaf after leaf from ``first``.
+    """
+
+    features: np.ndarray
+    lows: np.ndarray
+    highs: np.ndarray
+    bits: np.ndarray
+    first: np.ndarray
+    effects: np.ndarray
+
+
+def leaf_effects(leaves: tuple[np.ndarray, ...], width: int) -> LeafEffects:
+    """Shapley values of the path length at each leaf, with branch shares as background.
 
-    The sum over feature subsets is the integral over t of the product of (o*t + z*(1-t)); its
-    degree is below the tree depth, so a short Gauss-Legendre rule is exact.
+    The sum over feature subsets is the integral over t of the product of (o*t + z*(1-t)); its degree
+    is below the number of conditions, so a short Gauss-Legendre rule is exact.
     """
-    feats, lows, highs, z, values = leaves
-    nodes, weights = np.polynomial.legendre.leggauss(feats.shape[1] // 2 + 1)
-    ts, ws = (nodes + 1) / 2, weights / 2
-    out = np.zeros((len(x), width))
-    for i, row in enumerate(x):
-        v = row[feats]
-        o = ((v > lows) & (v <= highs)).astype(float)
-        acc = np.zeros_like(z)
-        for t, w in zip(ts, ws):
+    feats, lows, highs, shares, values = leaves
+    real = np.isfinite(lows) | np.isfinite(highs)  # conditions come first, padding has none
+    k = real.sum(1)
+    first = np.concatenate([[0], np.cumsum(1 << k)])
+    effects = np.zeros((first[-1], width))
+    for n in np.unique(k[k > 0]):
+        at = np.flatnonzero(k == n)
+        o = ((np.arange(1 << n)[:, None] >> np.arange(n)) & 1).astype(float)[None]
+        z = shares[at, None, :n]
+        nodes, weights = np.polynomial.legendre.leggauss(int(n) // 2 + 1)
+        acc = np.zeros((len(at), 1 << n, n))
+        for t, w in zip((nodes + 1) / 2, weights / 2):
             g = o * t + z * (1 - t)
-            acc += w * g.prod(1, keepdims=True) / g
-        phi = values[:, None] * (o - z) * acc
-        out[i] = np.bincount(feats.ravel(), phi.ravel(), minlength=width)
+            acc += w * g.prod(2, keepdims=True) / g
+        phi = values[at, None, None] * (o - z) * acc
+        rows = first[at][:, None, None] + np.arange(1 << n)[None, :, None]
+        effects[rows, feats[at, None, :n]] = phi
+    return LeafEffects(feats, lows, highs, np.where(real, 1 << np.arange(feats.shape[1]), 0), first[:-1], effects)
+
+
+def attributions(leaves: LeafEffects, trees: int, x: np.ndarray, slice_rows: int = 32) -> np.ndarray:
+    """Shapley values of the mean path length: each row's pattern at every leaf looks up that leaf's effects."""
+    out = np.zeros((len(x), leaves.effects.shape[1]))
+    for start in range(0, len(x), slice_rows):  # slices bound the memory of rows times leaves
+        part = x[start:start + slice_rows]
+        place = np.repeat(leaves.first[None], len(part), axis=0)
+        for j in range(leaves.features.shape[1]):
+            v = part[:, leaves.features[:, j]]
+            place += ((v > leaves.lows[:, j]) & (v <= leaves.highs[:, j])) * leaves.bits[:, j]
+        out[start:start + slice_rows] = leaves.effects[place].sum(1)
     return out / trees
 
 
@@ -222,14 +255,14 @@ class ForestModel(Model):
     def with_contributions(self, df: DataFrame, name: str = "contributions") -> DataFrame:
         """Array of (feature, value, contribution); positive = pushes towards anomaly."""
         arrays = to_arrays(self.nodes)
-        leaves = df.sparkSession.sparkContext.broadcast(leaf_table(arrays))  # size set by the parameters
+        leaves = df.sparkSession.sparkContext.broadcast(leaf_effects(leaf_table(arrays), len(self.features)))  # size set by the parameters
         trees, width = len(arrays.roots), len(self.features)
 
         @F.pandas_udf("array<double>")
         def phi(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for xs in batches:
                 x = np.vstack(xs.to_numpy()) if len(xs) else np.zeros((0, width))
-                yield pd.Series(list(-attributions(leaves.value, trees, x, width)))
+                yield pd.Series(list(-attributions(leaves.value, trees, x)))
 
         x = feature_array(self.features)
         out = df.withColumns({"_x": x, "_phi": phi(x)})

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +13,7 @@ from meteoqc.functions.text import hash16
 from meteoqc.operators.chunks import (CHUNK, FOUR_DAYS, OWN, as_of, chunk_window, drop_halo, run_positions, with_chunk,
                                       with_halo)
 from meteoqc.operators.features import missing_runs
+from meteoqc.operators.staging import staged
 from meteoqc.schema import KEY, RH, SLP, TEMP, TS
 
 # --- fixed values: estimate bounds and error floors ---------------------------
@@ -164,73 +163,67 @@ def missing_readings(obs: DataFrame, context: DataFrame, var: str = "temp", *, r
     return probes.join(spatial_estimates(context), [KEY, TS, "variable"], "left")
 
 
-SERIES_OUT = f"{KEY} string, {TS} timestamp, missing_steps long, estimate double, method string"
+FOUND = "array<struct<obs_ts:timestamp,missing_steps:bigint,estimate:double,method:string>>"
+STATE = f"struct<past:array<double>,steps:bigint,found:{FOUND}>"
 
 
-def impute_series(obs: DataFrame, context: DataFrame, var: str = "temp", *, rules: RepairRules = RepairRules(),
-                  cadence_minutes: float = 5.0, seconds: int = FOUR_DAYS) -> DataFrame:
+def _next_state(s: Column, r: Column, rules: RepairRules, cadence_minutes: float) -> Column:
+    """State after one reading: the last values or estimates, the missing steps so far, the estimates made."""
+    missing, past = r["x"].isNull(), s["past"]
+    steps = F.when(missing, s["steps"] + 1).otherwise(0)
+    n = F.size(past)
+    method = (
+        F.when((steps * cadence_minutes > rules.max_gap_minutes) | (steps > rules.max_steps), "NO_ESTIMATE")
+        .when(r["idw"].isNotNull() & (n >= rules.min_history), "COMBINED_TEMPORAL_SPATIAL").when(r["idw"].isNotNull(), "SPATIAL_IDW_CONSENSUS")
+        .when(n >= rules.min_history, "CAUSAL_TEMPORAL_INTERPOLATION").when(n > 0, "ROLLING_BASELINE").otherwise("NO_ESTIMATE"))
+    slope = (F.get(past, n - 1) - F.get(past, n - 3)) / 2.0
+    value = (
+        F.when(method == "COMBINED_TEMPORAL_SPATIAL", 0.6 * r["idw"] + 0.4 * array_median(past)).when(method == "SPATIAL_IDW_CONSENSUS", r["idw"])
+        .when(method == "CAUSAL_TEMPORAL_INTERPOLATION", F.get(past, n - 1) + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), slope * 0.5)) * steps)
+        .when(method == "ROLLING_BASELINE", array_mean(past)))
+    made = F.struct(r[TS].alias(TS), steps.alias("missing_steps"), _bounded(value, 3).alias("estimate"), method.alias("method"))
+    found = F.when(missing, F.concat(s["found"], F.array(made))).otherwise(s["found"])
+    # a reading joins the values; so does an estimate, if there is one
+    joins = F.when(missing, F.get(found, F.size(found) - 1)["estimate"]).otherwise(r["x"])
+    return F.struct(F.when(joins.isNotNull(), tail(F.concat(past, F.array(joins)), rules.history)).otherwise(past).alias("past"), steps.alias("steps"), found.alias("found"))
+
+
+def impute_series(obs: DataFrame, context: DataFrame, variables: tuple[str, ...] = ("temp", "rh", "slp"), *, rules: RepairRules = RepairRules(),
+                  cadence_minutes: float = 5.0, segment: int = 256, seconds: int = FOUR_DAYS) -> DataFrame:
     """Series imputation in which every estimate becomes history for the next missing reading.
 
-    Two gaps are independent once ``history`` valid readings lie between them, so a series is cut
-    there and the pieces run in parallel. Within a piece the rows are read in order with a state
-    of ``history`` numbers, so a piece of any length fits in memory.
+    Two gaps are independent once ``history`` valid readings lie between them, so a series is cut there
+    and the pieces run in parallel. A piece is folded inside the JVM over an array of its readings, at
+    most ``segment`` of them at a time; a longer piece goes on from the state in which its last segment
+    ended, so there are as many rounds as the longest piece has segments.
     """
-    x = F.col(CANONICAL[var])
-    base = run_positions(with_chunk(obs.select(KEY, TS, x.alias("x")), seconds=seconds), {"_v": F.col("x").isNull()})
+    series = long_series(obs, variables)
+    base = run_positions(with_chunk(series.select("series", TS, "x"), seconds=seconds), {"_v": F.col("x").isNull()}, key=("series",))
     # _v_since: valid readings since the last missing one; null start = none missing before
     base = base.drop(CHUNK, "seq").withColumnRenamed("_v_since", "valid_since")
-    halo = with_halo(base, rows=1, seconds=seconds)
-    w = chunk_window()
+    halo = with_halo(base, rows=1, key=("series",), seconds=seconds)
+    w = chunk_window(("series",))
     before = F.lag("valid_since").over(w)
     opens = F.col("x").isNull() & (before.isNull() | (before >= rules.history) | F.lag("_v_start").over(w).isNull())
     marked = halo.withColumn("_opens", opens).filter(OWN).drop(OWN)
-    pieces = run_positions(marked, {"_p": F.col("_opens")}).filter(F.col("_p_start").isNotNull() & (F.col("valid_since") <= rules.history))
-    series = obs.select(KEY, TS, x.alias("x"), F.col(KEY).alias("series"))
-    openings = with_history(pieces.filter("_opens").select(KEY, TS, F.col(KEY).alias("series")), series, rules.history).select(KEY, TS, "history")
-    est = spatial_estimates(context).filter(F.col("variable") == var).select(KEY, TS, "idw")
-    rows = pieces.select(KEY, TS, "x", F.col("_p_start").alias("piece")).join(openings, [KEY, TS], "left").join(est, [KEY, TS], "left")
-    low, high = ESTIMATE_BOUNDS[var]
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, past, steps = None, [], 0
-        for b in batches:
-            out = []
-            for sid, ts, value, piece, history, idw in zip(b[KEY], b[TS], b["x"], b["piece"], b["history"], b["idw"]):
-                if (sid, piece) != current:
-                    current, past, steps = (sid, piece), [], 0
-                if history is not None and not past:
-                    past = list(history)
-                if not pd.isna(value):
-                    steps = 0
-                    past = (past + [value])[-rules.history:]
-                    continue
-                steps += 1
-                estimate, method = estimate_one(past, None if pd.isna(idw) else idw, steps, steps * cadence_minutes, rules)
-                if estimate is not None:
-                    estimate = max(low, min(high, round(estimate + 1e-9, 3)))
-                    past = (past + [estimate])[-rules.history:]
-                out.append((sid, ts, steps, estimate, method))
-            if out:
-                yield pd.DataFrame(out, columns=[KEY, TS, "missing_steps", "estimate", "method"])
-
-    ordered = rows.repartition(KEY, "piece").sortWithinPartitions(KEY, "piece", TS)
-    return ordered.mapInPandas(fold, SERIES_OUT)
-
-
-def estimate_one(past: list[float], idw: float | None, steps: int, gap: float, rules: RepairRules):
-    """(estimate, method) of one missing reading from its history and neighbour estimate."""
-    if gap > rules.max_gap_minutes or steps > rules.max_steps:
-        return None, "NO_ESTIMATE"
-    if idw is not None and len(past) >= rules.min_history:
-        return 0.6 * idw + 0.4 * float(pd.Series(past[-rules.history:]).median()), "COMBINED_TEMPORAL_SPATIAL"
-    if idw is not None:
-        return idw, "SPATIAL_IDW_CONSENSUS"
-    if len(past) >= rules.min_history:
-        step = max(-1.0, min(1.0, 0.5 * (past[-1] - past[-3]) / 2.0))
-        return past[-1] + step * steps, "CAUSAL_TEMPORAL_INTERPOLATION"
-    if past:
-        return sum(past) / len(past), "ROLLING_BASELINE"
-    return None, "NO_ESTIMATE"
+    pieces = run_positions(marked, {"_p": F.col("_opens")}, key=("series",)).filter(F.col("_p_start").isNotNull() & (F.col("valid_since") <= rules.history))
+    openings = with_history(pieces.filter("_opens").select("series", TS), series, rules.history).select("series", F.col(TS).alias("piece"), "history")
+    est = spatial_estimates(context).select(F.concat_ws("/", KEY, "variable").alias("series"), TS, "idw")
+    rows = pieces.select("series", TS, "x", F.col("_p_start").alias("piece"), F.floor(F.col("_p_since") / segment).alias("part")).join(est, ["series", TS], "left")
+    parts = staged(rows.groupBy("series", "piece", "part").agg(F.array_sort(F.collect_list(F.struct(TS, "x", "idw"))).alias("readings")).join(
+        openings, ["series", "piece"]).withColumn("round", F.row_number().over(Window.partitionBy("series", "piece").orderBy("part"))))
+    rounds = parts.agg(F.max("round")).first()[0] or 1  # of the longest piece
+    ends, out = None, None
+    for k in range(1, rounds + 1):
+        own = parts.filter(F.col("round") == k).select("series", F.substring_index("series", "/", -1).alias("variable"), "piece", "readings", "history")
+        own = own.withColumn("steps", F.lit(0).cast("long")) if ends is None else own.drop("history").join(ends, ["series", "piece"])
+        start = F.struct(F.col("history").alias("past"), F.col("steps").alias("steps"), F.array().cast(FOUND).alias("found")).cast(STATE)
+        folded = staged(own.withColumn("s", F.aggregate("readings", start, lambda s, r: _next_state(s, r, rules, cadence_minutes).cast(STATE))).select(
+            "series", "variable", "piece", "s"))
+        ends = folded.select("series", "piece", F.col("s.past").alias("history"), F.col("s.steps").alias("steps"))
+        found = folded.select(F.expr("left(series, length(series) - length(variable) - 1)").alias(KEY), "variable", F.explode("s.found").alias("f")).select(KEY, "variable", "f.*")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def correction_inputs(decided: DataFrame, variables: tuple[str, ...] = ("temp", "rh", "slp"), rules: RepairRules = RepairRules()) -> DataFrame:

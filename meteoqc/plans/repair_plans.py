@@ -33,7 +33,7 @@ def imputed(obs, retrospective):
 
 def series(obs):
     ctx = sp.spatial_context(obs, edges_of(obs))
-    return rp.impute_series(obs, ctx, "temp", rules=rp.RepairRules(), cadence_minutes=5.0)
+    return rp.impute_series(obs, ctx, rules=rp.RepairRules(), cadence_minutes=5.0)
 
 
 def recommended(obs):
@@ -66,12 +66,12 @@ def baseline(obs):
 
 
 def benchmark(obs):
-    """Hides every tenth known temperature (by hash), imputes it and compares with the truth."""
-    pick = hash_bucket(10, F.col("event_id"))
-    truth = obs.filter(F.col(TEMP).between(-50, 60)).withColumns({"truth": F.col(TEMP), "hidden": pick == 0})
+    """Hides every tenth plausible temperature (by hash), imputes it and compares with the truth; all readings stay in the series."""
+    pick = F.coalesce(F.col(TEMP).between(-50, 60), F.lit(False)) & (hash_bucket(10, F.col("event_id")) == 0)
+    truth = obs.withColumns({"truth": F.col(TEMP), "hidden": pick})
     masked = staged(truth.withColumn(TEMP, F.when(~F.col("hidden"), F.col(TEMP))))
     rows = rp.impute(rp.missing_readings(masked, sp.spatial_context(masked, edges_of(masked)), "temp", rules=RULES), RULES)
-    joined = masked.join(rows.select(*ID, "estimate"), ID, "left")
+    joined = masked.filter("truth IS NOT NULL").join(rows.select(*ID, "estimate"), ID, "left")
     return rp.reconstruction_metrics(joined.select("truth", F.col(TEMP).alias("observed"), "estimate", F.col("hidden").alias("is_anomalous")))
 
 
@@ -164,7 +164,24 @@ state AS (SELECT w.*, coalesce(new_temp, o.temperature_c) AS temperature_c, coal
   o.dew_point_c, o.station_pressure_hpa, o.elevation_m FROM wide w JOIN observations o USING (station_id, obs_ts)),
 checked AS (SELECT *, {VIOLATIONS} AS violations FROM state)"""
 
+BOUND = "greatest(CASE variable WHEN 'temp' THEN -50.0 WHEN 'rh' THEN 0.0 ELSE 870.0 END::DOUBLE, least(CASE variable WHEN 'temp' THEN 60.0 WHEN 'rh' THEN 100.0 ELSE 1085.0 END::DOUBLE, {0}))"
+STEP_SQL = """round(CASE method WHEN 'COMBINED_TEMPORAL_SPATIAL' THEN 0.6::DOUBLE * idw + 0.4::DOUBLE * list_median(past) WHEN 'SPATIAL_IDW_CONSENSUS' THEN idw
+    WHEN 'CAUSAL_TEMPORAL_INTERPOLATION' THEN past[-1] + greatest(-1.0, least(1.0, (past[-1] - past[-3]) / 2.0 * 0.5)) * steps ELSE list_avg(past) END + 1e-9::DOUBLE, 3)"""
+FOLD_CTE = f"""
+ls AS (SELECT station_id, obs_ts, unnest(['temp', 'rh', 'slp']) AS variable, unnest([temperature_c, relative_humidity_pct, sea_level_pressure_hpa]) AS x FROM observations),
+li AS (SELECT station_id, obs_ts, unnest(['temp', 'rh', 'slp']) AS variable, unnest([temp_idw, rh_idw, slp_idw]) AS idw FROM context),
+lr AS (SELECT *, row_number() OVER (PARTITION BY station_id, variable ORDER BY obs_ts) AS seq FROM ls LEFT JOIN li USING (station_id, obs_ts, variable)),
+fold(station_id, variable, seq, obs_ts, x, past, steps, method, estimate) AS (
+  SELECT DISTINCT station_id, variable, 0::BIGINT, NULL::TIMESTAMP, 0.0::DOUBLE, []::DOUBLE[], 0::BIGINT, NULL::VARCHAR, NULL::DOUBLE FROM lr
+  UNION ALL
+  SELECT station_id, variable, seq, obs_ts, x, CASE WHEN coalesce(x, estimate) IS NULL THEN past ELSE list_append(past, coalesce(x, estimate))[-12:] END, steps, method, estimate FROM
+  (SELECT *, CASE WHEN x IS NULL AND method <> 'NO_ESTIMATE' THEN {BOUND.format(STEP_SQL)} END AS estimate FROM
+  (SELECT *, CASE WHEN x IS NULL THEN CASE WHEN steps * 5.0 > 60 OR steps > 12 THEN 'NO_ESTIMATE' WHEN idw IS NOT NULL AND len(past) >= 3 THEN 'COMBINED_TEMPORAL_SPATIAL' WHEN idw IS NOT NULL THEN 'SPATIAL_IDW_CONSENSUS'
+    WHEN len(past) >= 3 THEN 'CAUSAL_TEMPORAL_INTERPOLATION' WHEN len(past) > 0 THEN 'ROLLING_BASELINE' ELSE 'NO_ESTIMATE' END END AS method FROM
+  (SELECT l.station_id, l.variable, l.seq, l.obs_ts, l.x, l.idw, f.past, CASE WHEN l.x IS NULL THEN f.steps + 1 ELSE 0 END AS steps FROM fold f JOIN lr l ON l.station_id = f.station_id AND l.variable = f.variable AND l.seq = f.seq + 1))))"""
+
 ORACLES = {
+    "imputed_series": oracle("SELECT station_id, variable, obs_ts, steps AS missing_steps, estimate, method FROM fold WHERE seq > 0 AND x IS NULL", *CONTEXT, FOLD_CTE, doubles=["estimate"]).replace("WITH ", "WITH RECURSIVE ", 1),
     "temporal_baselines": oracle(
         f"SELECT station_id, obs_ts, len(history) AS n, {med('history[-6:]')} AS median6, {med('history')} AS median12, CASE WHEN len(history) > 1 THEN list_stddev_samp(history) END AS std12 FROM h",
         "bs AS (SELECT station_id, station_id AS series, obs_ts, temperature_c AS x FROM observations)", hist_cte("bs"), doubles=["median6", "median12", "std12"]),

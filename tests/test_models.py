@@ -16,6 +16,19 @@ from meteoqc.operators import repair as rp
 from meteoqc.schema import KEY, TEMP, TS
 
 
+def estimate_one(past, idw, steps, gap, rules):
+    """(estimate, method) of one missing reading from its history and neighbour estimate."""
+    if gap > rules.max_gap_minutes or steps > rules.max_steps:
+        return None, "NO_ESTIMATE"
+    if idw is not None and len(past) >= rules.min_history:
+        return 0.6 * idw + 0.4 * float(np.median(past[-rules.history:])), "COMBINED_TEMPORAL_SPATIAL"
+    if idw is not None:
+        return idw, "SPATIAL_IDW_CONSENSUS"
+    if len(past) >= rules.min_history:
+        return past[-1] + max(-1.0, min(1.0, 0.5 * (past[-1] - past[-3]) / 2.0)) * steps, "CAUSAL_TEMPORAL_INTERPOLATION"
+    return (float(np.mean(past)), "ROLLING_BASELINE") if past else (None, "NO_ESTIMATE")
+
+
 def sequential(values, idw, rules, cadence):
     past, steps, out = [], 0, []
     for i, v in enumerate(values):
@@ -23,7 +36,7 @@ def sequential(values, idw, rules, cadence):
             past, steps = past + [v], 0
             continue
         steps += 1
-        e, m = rp.estimate_one(past, idw.get(i), steps, steps * cadence, rules)
+        e, m = estimate_one(past, idw.get(i), steps, steps * cadence, rules)
         if e is not None:
             e = max(-50.0, min(60.0, round(e + 1e-9, 3)))
             past = past + [e]
@@ -45,7 +58,7 @@ def test_series_imputation_equals_sequential(spark, share):
     obs = spark.createDataFrame(rows, f"{KEY} string, {TS} timestamp, {TEMP} double")
     c = spark.createDataFrame(ctx, f"{KEY} string, {TS} timestamp, temp_idw double")
     c = c.withColumns({f"{v}_{x}": F.lit(None).cast("double") for v in ("temp", "rh", "slp") for x in ("idw", "n", "std", "km") if f"{v}_{x}" != "temp_idw"})
-    got = {(r.station_id, r.obs_ts): (r.missing_steps, r.estimate, r.method) for r in rp.impute_series(obs, c, "temp", rules=rules, seconds=3600).collect()}
+    got = {(r.station_id, r.obs_ts): (r.missing_steps, r.estimate, r.method) for r in rp.impute_series(obs, c, ("temp",), rules=rules, seconds=3600, segment=16).collect()}
     assert got.keys() == expected.keys()
     for k, (steps, e, m) in expected.items():
         assert got[k][0] == steps and got[k][2] == m and (got[k][1] is None) == (e is None), k
@@ -90,9 +103,9 @@ def test_save_and_load(spark, cloud, model, tmp_path):
 
 def test_attributions_are_shapley_values(model):
     arrays = fo.to_arrays(model.nodes)
-    leaves = fo.leaf_table(arrays)
+    leaves = fo.leaf_effects(fo.leaf_table(arrays), 3)
     x = np.array([[9.0, 8.5, 9.2], [0.1, -0.2, 0.3], [0.0, 9.0, 0.0]])
-    phi = fo.attributions(leaves, len(arrays.roots), x, 3)
+    phi = fo.attributions(leaves, len(arrays.roots), x, slice_rows=2)
 
     def expectation(row, known):  # mean path length with only the known features fixed
         def walk(n):
