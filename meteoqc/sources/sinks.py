@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from meteoqc.functions.text import observation_id
@@ -16,10 +17,10 @@ DAY = "day"
 OBSERVATION_KEY = ("source", KEY, TS)
 
 
-def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+def read_or_none(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame | None:
     """The table at ``path``, or None where there is none; a table that cannot be read is an error."""
     try:
-        return spark.read.parquet(path)
+        return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return None
