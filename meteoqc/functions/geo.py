@@ -37,3 +37,8 @@ def cube_cell(lat: Column, lon: Column, size_km: float) -> Column:
     xyz = [F.cos(p) * F.cos(q), F.cos(p) * F.sin(q), F.sin(p)]
     cells = [F.floor(v * EARTH_RADIUS_KM / size_km).alias(n) for v, n in zip(xyz, ("cx", "cy", "cz"))]
     return F.struct(*cells)
+
+
+def coarser(cell: Column, steps: Column) -> Column:
+    """The cell of a grid whose sides are ``2^steps`` times as long that holds a ``cube_cell``."""
+    return F.struct(*[F.call_function("shiftright", cell[a], steps).alias(a) for a in ("cx", "cy", "cz")])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meteoqc.functions.numeric import clamp, hash_bucket, steady_round
-from meteoqc.operators.chunks import CHUNK, run_positions, with_chunk
+from meteoqc.operators.chunks import CHUNK, chunk_of, run_positions, with_chunk
 from meteoqc.schema import KEY, RH, SLP, TEMP, TS
 
 # --- fixed values: type, hours, dT, dRH, dSLP, is_fault, affected -------------
@@ -53,11 +53,16 @@ def choose_episodes(spark: SparkSession, obs: DataFrame, every: int = 300, seed:
         "anomaly_type", "start_temp", "d_temp", "d_rh", "d_slp", "is_fault", "affected")
 
 
-def affected_rows(obs: DataFrame, episodes: DataFrame) -> DataFrame:
-    """(reading, episode) pairs; a reading inside two episodes appears twice."""
-    cond = (F.col("o.station_id") == F.col("e.station_id")) & F.col(f"o.{TS}").between(F.col("e.start_ts"), F.col("e.end_ts"))
+def affected_rows(obs: DataFrame, episodes: DataFrame, seconds: int = 86_400) -> DataFrame:
+    """(reading, episode) pairs; a reading inside two episodes appears twice.
+
+    Episodes are spread over the stretches of time they touch, so a reading meets only those of its
+    own stretch and not all of its station.
+    """
+    spread = episodes.withColumn("_c", F.explode(F.sequence(chunk_of("start_ts", seconds), chunk_of("end_ts", seconds))))
     own = [F.col(f"o.{c}") for c in obs.columns if c == KEY or c not in episodes.columns]
-    return obs.alias("o").join(episodes.alias("e"), cond).select(*own, *[F.col(f"e.{c}") for c in episodes.columns if c != KEY])
+    met = (F.col("o.station_id") == F.col("e.station_id")) & (F.col("o._c") == F.col("e._c")) & F.col(f"o.{TS}").between(F.col("e.start_ts"), F.col("e.end_ts"))
+    return obs.withColumn("_c", chunk_of(TS, seconds)).alias("o").join(spread.alias("e"), met).select(*own, *[F.col(f"e.{c}") for c in episodes.columns if c != KEY])
 
 
 def _effects() -> dict[str, Column]:

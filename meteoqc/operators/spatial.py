@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meteoqc.functions.geo import bearing_deg, cube_cell, haversine_km
+from meteoqc.functions.geo import bearing_deg, coarser, cube_cell, haversine_km
 from meteoqc.functions.physics import filled_slp
 from meteoqc.functions.timefn import round_to_minutes
 from meteoqc.operators.chunks import CHUNK, FOUR_DAYS, as_of, chunk_window, drop_halo, with_halo
@@ -67,8 +67,57 @@ def station_pairs(st: DataFrame, max_km: float = 600.0) -> DataFrame:
     )
 
 
-def neighbour_edges(st: DataFrame, net: Network = Network()) -> DataFrame:
-    """k nearest per station; the rank uses rounded distance, then id, so ties are stable."""
+AXES = ["cx", "cy", "cz"]
+LEVELS = 12  # the finest cells are max_km / 2^LEVELS wide
+
+
+def _around(df: DataFrame, cell: str = "c") -> DataFrame:
+    """Each row once for its cell and each of the 26 cells around it."""
+    step = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"d{a}") for a, v in zip(AXES, (x, y, z))]) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]))
+    return df.withColumn("_d", step).withColumn(cell, F.struct(*[(F.col(f"{cell}.{a}") + F.col(f"_d.d{a}")).alias(a) for a in AXES])).drop("_d")
+
+
+def _nearest(asked: DataFrame, placed: DataFrame, net: Network) -> DataFrame:
+    """The k nearest of every row of ``asked`` (with ``level`` and ``c``) among the cells around its own."""
+    right = placed.select("level", "c", F.col(KEY).alias("neighbor_id"), F.col("latitude").alias("n_lat"), F.col("longitude").alias("n_lon"), F.col("elevation_m").alias("n_elev"))
+    a, b = (F.col("latitude"), F.col("longitude")), (F.col("n_lat"), F.col("n_lon"))
+    pairs = _around(asked).join(right, ["level", "c"]).filter(F.col(KEY) != F.col("neighbor_id")).select(
+        KEY, "neighbor_id", "level", haversine_km(*a, *b).alias("distance_km"), bearing_deg(*a, *b).alias("bearing_deg"), (F.col("n_elev") - F.col("elevation_m")).alias("elevation_diff_m"))
+    pairs = pairs.filter(F.col("distance_km") <= net.max_km)
+    if net.max_elevation_diff_m is not None:
+        pairs = pairs.filter(F.abs("elevation_diff_m") <= net.max_elevation_diff_m)
+    w = Window.partitionBy(KEY).orderBy(F.round("distance_km", 6), "neighbor_id")
+    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= net.k)
+
+
+def nearest_edges(st: DataFrame, net: Network = Network()) -> DataFrame:
+    """k nearest per station by a ring search over nested grids; the same rows as all pairs would give.
+
+    Every station starts at the finest level where the cells around its own hold some times k
+    stations, so a dense cell is cut as often as needed. If its k-th neighbour lies within one cell
+    width, no other cell can hold a nearer one. Else the distance found (or ``max_km`` where fewer than
+    k were found) bounds the second and last search, at the finest level whose cells are that wide.
+    """
+    fine = cube_cell(F.col("latitude"), F.col("longitude"), net.max_km / 2**LEVELS)
+    st = st.withColumns({"_f": fine, "elevation_m": F.coalesce("elevation_m", F.lit(0.0))})
+    placed = st.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))).withColumn("c", coarser(F.col("_f"), LEVELS - F.col("level"))).select(
+        KEY, "latitude", "longitude", "elevation_m", "level", "c")
+    held = placed.groupBy("level", "c").agg(F.count(F.lit(1)).alias("n"))
+    near = _around(held).groupBy("level", "c").agg(F.sum("n").alias("near"))
+    start = placed.join(near, ["level", "c"]).groupBy(KEY).agg(F.coalesce(F.max(F.when(F.col("near") > 4 * net.k, F.col("level"))), F.lit(0)).alias("level"))
+    first = _nearest(placed.join(start, [KEY, "level"]), placed, net)
+    reach = first.groupBy(KEY).agg(F.count(F.lit(1)).alias("found"), F.max("distance_km").alias("reach"))
+    state = start.join(reach, KEY, "left").withColumn("width", net.max_km / F.pow(F.lit(2.0), F.col("level")))
+    done = (F.col("level") == 0) | ((F.coalesce("found", F.lit(0)) == net.k) & (F.col("reach") + 1e-6 <= F.col("width")))
+    wide = F.when(F.col("found") == net.k, F.least(F.col("reach") + 1e-6, F.lit(net.max_km))).otherwise(net.max_km)
+    level = F.least(F.lit(LEVELS), F.greatest(F.lit(0), F.floor(F.log2(net.max_km / F.greatest(wide, F.lit(1e-6)))).cast("int")))
+    again = state.filter(~done).select(KEY, level.alias("level"))
+    second = _nearest(placed.join(again, [KEY, "level"]), placed, net)
+    return first.join(state.filter(done).select(KEY), KEY, "left_semi").unionByName(second).drop("level")
+
+
+def all_pairs_edges(st: DataFrame, net: Network = Network()) -> DataFrame:
+    """k nearest per station out of all pairs within ``max_km``."""
     pairs = station_pairs(st, net.max_km)
     if net.max_elevation_diff_m is not None:
         pairs = pairs.filter(F.abs("elevation_diff_m") <= net.max_elevation_diff_m)
@@ -76,6 +125,17 @@ def neighbour_edges(st: DataFrame, net: Network = Network()) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= net.k)
 
 
+def neighbour_edges(st: DataFrame, net: Network = Network(), dense: int = 512) -> DataFrame:
+    """k nearest per station; the rank uses rounded distance, then id, so ties are stable.
+
+    Pairs are made directly where no cell of ``max_km`` holds more than ``dense`` stations, which one
+    count tells, and found by a ring search otherwise. Both give the same rows.
+    """
+    cells = st.groupBy(cube_cell(F.col("latitude"), F.col("longitude"), net.max_km).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    most = cells.agg(F.max("n")).first()[0] or 0
+    return all_pairs_edges(st, net) if most <= dense else nearest_edges(staged(st), net)
+
+
 def bucketed_neighbours(obs: DataFrame, edges: DataFrame, minutes: int = 30) -> DataFrame:
     """Neighbour aggregates per reading with both sides rounded to the same time bucket.
 
