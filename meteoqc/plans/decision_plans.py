@@ -153,7 +153,10 @@ ev AS (SELECT p.event_id AS eid, p.station_id, p.obs_ts, p.temperature_c, p.rela
   c.temp_idw, c.rh_idw, c.slp_idw, c.temp_n, c.rh_n, c.slp_n, c.temp_std, c.rh_std, c.slp_std, c.temp_km, c.rh_km, c.slp_km, p.station_pressure_hpa, p.dew_point_c, p.elevation_m, c.valid_neighbors
   FROM persisted p LEFT JOIN context c USING (station_id, obs_ts))"""
 STRONG = "(score >= 0.65)"
-ACT = "CASE decision " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in dc.ACTIONS.items()) + " END"
+ACT = """CASE gate WHEN 'data_quality' THEN 'Leave the sensors alone until a sound record arrives.' WHEN 'bounds' THEN 'Take the value out of forecasts until the sensor has been bypassed or replaced.'
+  WHEN 'flatline' THEN 'Read the channel at the logger. If it does not move there either, clean or thaw the sensor head.' WHEN 'multivariate' THEN 'Put a reference hygrometer beside the station for a day.'
+  WHEN 'regional_mixed' THEN 'Judge this station again once the weather has passed.' WHEN 'local' THEN 'Look through the service log of the station for the last days. Swap in a spare sensor and compare both for a day.'
+  WHEN 'no_context' THEN 'Wait until more of the surroundings report, then judge again.' WHEN 'nominal' THEN 'Nothing to do.' ELSE 'Keep the reading; it is weather.' END"""
 DECISION_CTE = f"""
 gated AS (SELECT *, CASE WHEN n_missing > 0 OR coalesce(gap_minutes, 0) > 240 THEN 'data_quality' WHEN out_of_bounds THEN 'bounds'
   WHEN unchanged >= 6 THEN 'flatline' WHEN humidity_inconsistent THEN 'multivariate' WHEN NOT (score >= 0.40 OR rate_abnormal) THEN 'nominal'

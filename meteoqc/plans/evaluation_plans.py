@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from meteoqc.functions import scores as sco
 from meteoqc.operators import augment as au
+from meteoqc.operators import decision as dc
 from meteoqc.operators import episodes as ep
 from meteoqc.operators import evaluate as ev
+from meteoqc.operators import explain as xp
 from meteoqc.operators import features as ft
 from meteoqc.operators import spatial as sp
 from meteoqc.operators.staging import staged
 from meteoqc.plans.common import oracle, publish, replaced_observations
-from meteoqc.plans.decision_plans import DECIDED, Z24, decided_table, edges_of
+from meteoqc.plans.decision_plans import DECIDED, RULES, Z24, decided_table, edges_of
 from meteoqc.plans.feature_plans import P, deviation_cte, rate_cte, roll_cte
 from meteoqc.plans.repair_plans import MISSING_CTE, error_sql, hist_cte, impute_cte
 from meteoqc.plans.spatial_plans import CONTEXT, NET, STATIONS_CTE, pairs_cte
@@ -202,7 +204,27 @@ def scenario_checks(obs):
     return long.groupBy("check").agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("ok"), 1)).alias("passed"))
 
 
+def scenario_decisions(obs):
+    """The decision cascade once over all scenarios side by side, judged where a scenario acts: detected, as expected, stored, explained."""
+    changed = au.apply_scenarios(au.with_steps(obs), au.scenario_table(obs)).filter("copy = 1").drop("copy", "ts_text", "step", KEY, TS)
+    rest = obs.drop(TEMP, RH, SLP, "data_quality_status")
+    feed = staged(rest.join(changed, "event_id"))
+    d = dc.decisions(feed, edges_of(obs), RULES).filter("applied != 'NONE'")
+    told = xp.explain(d, RULES.gap_minutes).select("event_id", F.length("summary").alias("told"))
+    stored = ~F.col("decision").isin("NORMAL", "POSSIBLE_GENUINE_EVENT")
+    hit = F.col("decision") != "NORMAL"
+    per = d.join(told, "event_id").groupBy("scenario_id", "applied", "expected").agg(
+        F.count(F.lit(1)).alias("rows"), F.count(F.when(hit, 1)).alias("detected"), F.count(F.when(F.col("decision") == F.col("expected"), 1)).alias("as_expected"),
+        F.count(F.when(stored, 1)).alias("stored"), F.count(F.when(F.col("severity").isin("HIGH", "CRITICAL"), 1)).alias("severe"),
+        F.count(F.when(hit & (F.col("told") > 0) & (F.size("reason_codes") > 0), 1)).alias("explained"))
+    wanted = F.col("expected") != "NORMAL"
+    return per.withColumns({
+        "detection_ok": F.when(wanted, F.col("detected") > 0).otherwise(F.col("stored") == 0), "classification_ok": F.col("as_expected") > 0,
+        "explanation_ok": F.col("explained") == F.col("detected"), "protected_ok": (F.col("expected") != "POSSIBLE_GENUINE_EVENT") | (F.col("severe") == 0)})
+
+
 QUERIES = {
+    "scenario_decisions": _q(scenario_decisions),
     "augmented_observations": _q(augmented),
     "augmentation_labels": _q(lambda o: au.labels(o, _episodes(o))),
     "label_accounting": _q(lambda o: ev.label_accounting(staged(au.labels(o, _episodes(o))))),
@@ -335,8 +357,8 @@ AREA = "(SELECT neighbor_id FROM edges WHERE station_id = 'S07')"
 IN10 = "obs_ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12'"
 FAC = f"(0.85::DOUBLE + {bucket_sql(301, 'station_id')} / 1000.0::DOUBLE)"
 MASK_BASE = replaced_observations(f"""
-observations AS (SELECT * EXCLUDE (t0) REPLACE (CASE WHEN hidden THEN NULL ELSE t0 END AS temperature_c) FROM (SELECT *, temperature_c AS t0, {bucket_sql(10, 'CAST(event_id AS VARCHAR)')} = 0 AS hidden
-  FROM raw_observations WHERE temperature_c BETWEEN -50 AND 60))""")
+observations AS (SELECT * EXCLUDE (t0) REPLACE (CASE WHEN hidden THEN NULL ELSE t0 END AS temperature_c) FROM (SELECT *, temperature_c AS t0,
+  coalesce(temperature_c BETWEEN -50 AND 60, FALSE) AND {bucket_sql(10, 'CAST(event_id AS VARCHAR)')} = 0 AS hidden FROM raw_observations))""")
 SWEEP = ", ".join(f"({t}::DOUBLE)" for t in (0.3, 0.4, 0.5, 0.6, 0.65, 0.7, 0.8))
 
 
@@ -346,7 +368,17 @@ def set_sql(ref):
     return f"(WITH {ctes} SELECT 'zscore_{ref}' AS \"set\", * FROM {rates('SELECT ' + CONF + ' FROM scored')})"
 
 
+SCENARIO_BASE = replaced_observations(SCN_CTE.strip().replace("FROM observations", "FROM raw_observations").replace("stepped", "placed"), """
+observations AS (SELECT r.* REPLACE (t.temperature_c AS temperature_c, t.relative_humidity_pct AS relative_humidity_pct, t.sea_level_pressure_hpa AS sea_level_pressure_hpa, t.data_quality_status AS data_quality_status)
+  FROM raw_observations r JOIN transformed t ON r.event_id = t.event_id AND t.copy = 1)""")
 ORACLES = {
+    "scenario_decisions": oracle(
+        """SELECT *, CASE WHEN expected <> 'NORMAL' THEN detected > 0 ELSE stored = 0 END AS detection_ok, as_expected > 0 AS classification_ok, explained = detected AS explanation_ok,
+        expected <> 'POSSIBLE_GENUINE_EVENT' OR severe = 0 AS protected_ok FROM (SELECT scenario_id, applied, expected, count(*) AS rows, count(CASE WHEN decision <> 'NORMAL' THEN 1 END) AS detected,
+        count(CASE WHEN decision = expected THEN 1 END) AS as_expected, count(CASE WHEN decision NOT IN ('NORMAL', 'POSSIBLE_GENUINE_EVENT') THEN 1 END) AS stored,
+        count(CASE WHEN severity IN ('HIGH', 'CRITICAL') THEN 1 END) AS severe, count(CASE WHEN decision <> 'NORMAL' AND reasons <> '' THEN 1 END) AS explained
+        FROM decided d JOIN (SELECT o.station_id, o.obs_ts, t.scenario_id, t.applied, t.expected FROM raw_observations o JOIN transformed t ON o.event_id = t.event_id AND t.copy = 1 WHERE applied <> 'NONE') USING (station_id, obs_ts)
+        GROUP BY 1, 2, 3)""", *DECIDED, base=SCENARIO_BASE),
     "augmented_observations": oracle("SELECT event_id, station_id, obs_ts, temperature_c, relative_humidity_pct, sea_level_pressure_hpa, ingestion_ts FROM doubled", base=BASE),
     "augmentation_labels": oracle("SELECT * FROM labels", base=BASE),
     "label_accounting": oracle(
@@ -413,7 +445,7 @@ ORACLES = {
     "reconstruction_benchmark": oracle(
         """SELECT count(*) AS points, count(CASE WHEN hidden THEN 1 END) AS anomalous, count(err) AS estimated, round(avg(err) + 1e-9::DOUBLE, 3) AS mae, round(sqrt(avg(err * err)) + 1e-9::DOUBLE, 3) AS rmse,
         round(avg(CASE WHEN abs(truth) > 1e-3 THEN err / abs(truth) * 100.0 END) + 1e-9::DOUBLE, 2) AS relative_error_pct, round(count(err) / count(CASE WHEN hidden THEN 1 END) + 1e-9::DOUBLE, 3) AS coverage,
-        0.0::DOUBLE AS unsafe_rate, 0.0::DOUBLE AS unnecessary_rate FROM (SELECT r.temperature_c AS truth, o.hidden, CASE WHEN o.hidden THEN abs(r.temperature_c - j.estimate) END AS err FROM observations o JOIN raw_observations r USING (event_id)
+        0.0::DOUBLE AS unsafe_rate, 0.0::DOUBLE AS unnecessary_rate FROM (SELECT r.temperature_c AS truth, o.hidden, CASE WHEN o.hidden THEN abs(r.temperature_c - j.estimate) END AS err FROM observations o JOIN raw_observations r ON o.event_id = r.event_id AND r.temperature_c IS NOT NULL
         LEFT JOIN judged j ON j.station_id = o.station_id AND j.obs_ts = o.obs_ts)""",
         *CONTEXT, MISSING_CTE, hist_cte("mseries"), impute_cte(False), error_sql("coalesce(gap_minutes, 0)"), base=MASK_BASE, doubles=["mae", "rmse", "relative_error_pct", "coverage"]),
 }

@@ -102,8 +102,8 @@ def _q(fn):
 
 def departures(obs):
     out = ft.time_features(obs, windows=("6h",), cols=[TEMP, RH, SLP], lags=(), persistence=False, ref="6h")
-    return out.filter(F.abs(f"{TEMP}_zscore_6h") >= 1.5).select(
-        *ID, TEMP, f"{TEMP}_rolling_mean_6h", f"{TEMP}_zscore_6h", f"{TEMP}_rate_per_hour")
+    departs = F.coalesce(F.abs(f"{TEMP}_zscore_6h") >= 1.5, F.lit(False))
+    return out.select(*ID, TEMP, f"{TEMP}_rolling_mean_6h", f"{TEMP}_zscore_6h", f"{TEMP}_rate_per_hour", departs.alias("departs"))
 
 
 def elapsed_and_rates(obs):
@@ -163,7 +163,7 @@ QUERIES = {
 
 ORACLES = {
     "departures_from_recent_mean": oracle(
-        f"{_idcols([TEMP, TEMP + '_rolling_mean_6h', TEMP + '_zscore_6h', TEMP + '_rate_per_hour'])} FROM deviated WHERE abs({TEMP}_zscore_6h) >= 1.5",
+        f"{_idcols([TEMP, TEMP + '_rolling_mean_6h', TEMP + '_zscore_6h', TEMP + '_rate_per_hour'])}, coalesce(abs({TEMP}_zscore_6h) >= 1.5, FALSE) AS departs FROM deviated",
         roll_cte(["6h"]), rate_cte(), deviation_cte("6h"), doubles=[f"{TEMP}_rolling_mean_6h", f"{TEMP}_zscore_6h", f"{TEMP}_rate_per_hour"]),
     "calendar_features": oracle(
         f"""SELECT event_id, station_id, obs_ts, hour(obs_ts) AS hour, minute(obs_ts) AS minute, dayofyear(obs_ts) AS day_of_year,

@@ -64,15 +64,6 @@ def kept_payloads(obs):
     return obs.sparkSession.read.parquet(path).groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("payloads"), F.max("payload").alias("last"))
 
 
-def absent_rows(obs):
-    """Rows with a new key only."""
-    path = new_folder(obs.sparkSession, "events")
-    rows = obs.select("event_id", *ID)
-    sinks.insert_absent(rows.filter("event_id % 4 = 0"), path, ["event_id"])
-    sinks.insert_absent(rows.filter("event_id % 2 = 0"), path, ["event_id"])
-    return obs.sparkSession.read.parquet(path).select("event_id", *ID)
-
-
 def absent_rows_of_all(obs):
     """The whole table in two overlapping deliveries; rows with a new key only."""
     path = new_folder(obs.sparkSession, "events")
@@ -116,7 +107,6 @@ QUERIES = {
     "readings_stored_once": _q(stored_once),
     "audit_trail": _q(audit_trail),
     "archived_payloads": _q(kept_payloads),
-    "absent_rows_inserted": _q(absent_rows),
     "absent_rows_of_all_inserted": _q(absent_rows_of_all),
     "retention_run": _q(pruned),
     "labelled_tables": _q(labelled_tables),
@@ -135,7 +125,6 @@ ORACLES = {
     "audit_trail": oracle("SELECT event_id, station_id, obs_ts, temperature_c FROM observations WHERE station_id = 'S03'"),
     "archived_payloads": oracle(
         "SELECT strftime(ingestion_ts, '%Y-%m-%d') AS day, count(*) AS payloads, max(station_id || '|' || CAST(event_id AS VARCHAR)) AS last FROM observations GROUP BY 1"),
-    "absent_rows_inserted": oracle("SELECT event_id, station_id, obs_ts FROM observations WHERE event_id % 2 = 0"),
     "absent_rows_of_all_inserted": oracle("SELECT event_id, station_id, obs_ts FROM observations"),
     "retention_run": oracle(
         """SELECT count(CASE WHEN NOT keep THEN 1 END) AS pruned, count(CASE WHEN keep THEN 1 END) AS kept FROM

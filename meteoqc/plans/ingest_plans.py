@@ -135,10 +135,6 @@ def categorised(obs):
     return obs.select("event_id", tx.error_category(msg).alias("category"), tx.redact_keys(url).alias("url"))
 
 
-def errors(obs):
-    return categorised(obs.filter(F.col("event_type") == "error"))
-
-
 def sources(spark, sf_dir):
     obs = observations(spark, sf_dir).withColumn("source", F.when(F.col("event_id") % 3 == 0, "OPEN_METEO").otherwise(F.col("source")))
     counted = obs.groupBy("source").agg(F.count(F.lit(1)).alias("rows"))
@@ -175,7 +171,6 @@ QUERIES = {
     "missing_value_cleaning": _q(cleaned),
     "timestamp_parsing_and_rounding": _q(times),
     "deterministic_identifiers": _q(identifiers),
-    "error_categories_and_redaction": _q(errors),
     "error_categories_of_all_rows": _q(categorised),
     "source_catalogue": sources,
     "run_history": _q(runs),
@@ -264,9 +259,6 @@ ORACLES = {
     "deterministic_identifiers": oracle(
         """SELECT event_id, 'obs_' || lower(source) || '_' || right(station_id, 6) || '_' || substr(sha256(concat_ws('::', source, station_id, strftime(obs_ts, '%Y-%m-%d %H:%M:%S.%f'))), 1, 16) AS observation_id,
         substr(sha256(concat_ws('::', station_id, CAST(temperature_c AS VARCHAR))), 1, 16) AS short_hash FROM observations"""),
-    "error_categories_and_redaction": oracle(
-        """SELECT event_id, ['HTTP_429','HTTP_401','TIMEOUT','HTTP_5XX','PARSE_ERROR','SCHEMA_VIOLATION','NETWORK_ERROR'][event_id % 7 + 1] AS category,
-        'https://x.test/v1?apikey=[REDACTED]&lat=1' AS url FROM observations WHERE event_type = 'error'"""),
     "error_categories_of_all_rows": oracle(
         """SELECT event_id, ['HTTP_429','HTTP_401','TIMEOUT','HTTP_5XX','PARSE_ERROR','SCHEMA_VIOLATION','NETWORK_ERROR'][event_id % 7 + 1] AS category,
         'https://x.test/v1?apikey=[REDACTED]&lat=1' AS url FROM observations"""),
