@@ -169,7 +169,7 @@ def network_summary(obs):
     per = fresh.join(h, KEY, "left")
     counts = [F.count(F.when(F.col("status") == s, 1)).alias(f"{s.lower()}_stations") for s in ("LIVE", "STALE", "OFFLINE")]
     one = per.agg(F.count(F.lit(1)).alias("total_stations"), *counts, F.avg("overall_health").alias("mean_health"),
-                  F.min(F.struct("overall_health", KEY))[KEY].alias("lowest_health_station"), F.max(TS).alias("last_ts"))
+                  F.min(F.when(F.col("overall_health").isNotNull(), F.struct("overall_health", KEY)))[KEY].alias("lowest_health_station"), F.max(TS).alias("last_ts"))
     return one.join(F.broadcast(d.agg(F.count(F.lit(1)).alias("processed"))), F.lit(True))  # one row each
 
 
@@ -230,7 +230,7 @@ ORACLES = {
     "imputed_variables": " UNION ALL ".join(f"SELECT * FROM ({impute_sql(v, c)})" for v, c in (("temp", TEMP), ("rh", RH), ("slp", SLP))),
     "network_summary": oracle(
         """SELECT count(*) AS total_stations, count(CASE WHEN age <= 3600 THEN 1 END) AS live_stations, count(CASE WHEN age > 3600 AND age <= 86400 THEN 1 END) AS stale_stations,
-        count(CASE WHEN age > 86400 THEN 1 END) AS offline_stations, avg(round(overall_health, 6)) AS mean_health, arg_min(station_id, (round(overall_health, 6), station_id)) AS lowest_health_station, max(obs_ts) AS last_ts,
+        count(CASE WHEN age > 86400 THEN 1 END) AS offline_stations, avg(round(overall_health, 6)) AS mean_health, arg_min(station_id, (round(overall_health, 6), station_id)) FILTER (overall_health IS NOT NULL) AS lowest_health_station, max(obs_ts) AS last_ts,
         (SELECT count(*) FROM decided) AS processed FROM (SELECT station_id, max(obs_ts) AS obs_ts, ((SELECT max(epoch_us(ingestion_ts)) FROM observations) - max(epoch_us(obs_ts))) / 1000000.0::DOUBLE AS age
         FROM observations GROUP BY 1) LEFT JOIN health USING (station_id)""", *DECIDED, HEALTH_CTE, SUMMARY_CTE, doubles=["mean_health"]),
     "retention_by_table": oracle(
