@@ -377,7 +377,10 @@ ORACLES = {
         expected <> 'POSSIBLE_GENUINE_EVENT' OR severe = 0 AS protected_ok FROM (SELECT scenario_id, applied, expected, count(*) AS rows, count(CASE WHEN decision <> 'NORMAL' THEN 1 END) AS detected,
         count(CASE WHEN decision = expected THEN 1 END) AS as_expected, count(CASE WHEN decision NOT IN ('NORMAL', 'POSSIBLE_GENUINE_EVENT') THEN 1 END) AS stored,
         count(CASE WHEN severity IN ('HIGH', 'CRITICAL') THEN 1 END) AS severe, count(CASE WHEN decision <> 'NORMAL' AND reasons <> '' THEN 1 END) AS explained
-        FROM decided d JOIN (SELECT o.station_id, o.obs_ts, t.scenario_id, t.applied, t.expected FROM raw_observations o JOIN transformed t ON o.event_id = t.event_id AND t.copy = 1 WHERE applied <> 'NONE') USING (station_id, obs_ts)
+        FROM (SELECT scenario_id, applied, expected, CASE WHEN bad THEN 'PROBABLE_DATA_QUALITY_ISSUE' ELSE decision END AS decision, CASE WHEN bad THEN 'MEDIUM' ELSE severity END AS severity,
+        CASE WHEN bad THEN '' ELSE reasons END AS reasons FROM (SELECT d.decision, d.severity, d.reasons, t.*, t.sent = 'ERROR' AND d.gate <> 'data_quality' AS bad
+        FROM decided d JOIN (SELECT o.station_id, o.obs_ts, t.scenario_id, t.applied, t.expected, t.data_quality_status AS sent FROM raw_observations o JOIN transformed t ON o.event_id = t.event_id AND t.copy = 1
+        WHERE applied <> 'NONE') t ON t.station_id = d.station_id AND t.obs_ts = d.obs_ts))
         GROUP BY 1, 2, 3)""", *DECIDED, base=SCENARIO_BASE),
     "augmented_observations": oracle("SELECT event_id, station_id, obs_ts, temperature_c, relative_humidity_pct, sea_level_pressure_hpa, ingestion_ts FROM doubled", base=BASE),
     "augmentation_labels": oracle("SELECT * FROM labels", base=BASE),
