@@ -158,16 +158,35 @@ class Model:
         return float(sigmoid(np.float64(self.weights[-1] + sum(self.weight_of.get(f, 0.0) for f in sorted(found)))))
 
 
-def _counts(sets: list[np.ndarray], weight: np.ndarray) -> np.ndarray:
-    at = np.concatenate(sets)
-    return np.bincount(at, np.repeat(weight, [len(s) for s in sets]), minlength=1 << BITS)
+def _counts(sets: list[np.ndarray], weight: np.ndarray, width: int) -> np.ndarray:
+    """Sum of the weights of the documents that hold each feature; no document holds one twice."""
+    out = np.zeros(width)
+    for s, w in zip(sets, weight):
+        out[s] += w
+    return out
+
+
+def _best(worth: np.ndarray, occurring: np.ndarray) -> np.ndarray:
+    """The ``FEATURES`` features of most worth, ascending; those of none follow by their number."""
+    first = np.argsort(-worth, kind="stable")[:FEATURES]
+    chosen = occurring[first[worth[first] > 0]]
+    rest = np.setdiff1d(np.arange(min(2 * FEATURES, 1 << BITS)), chosen, assume_unique=True)
+    return np.sort(np.concatenate([chosen, rest[: FEATURES - len(chosen)]]))
 
 
 def train(sets: list[np.ndarray], label: np.ndarray) -> Model | None:
     """A model from training documents' features and labels (0 or 1)."""
     if len(set(label.tolist())) < 2:
         return None
-    ones, total = _counts(sets, label.astype(float)), _counts(sets, np.ones(len(sets)))
+    # the features that occur are far fewer than their numbers reach, and all arrays below are as long as they are many
+    seen = np.zeros(1 << BITS, np.int32)
+    for s in sets:
+        seen[s] = 1
+    occurring = np.flatnonzero(seen)
+    seen[occurring] = np.arange(len(occurring))
+    short = [seen[s] for s in sets]
+    del seen
+    ones, total = _counts(short, label.astype(float), len(occurring)), _counts(short, np.ones(len(sets)), len(occurring))
     base = label.mean()
     odds = np.log((ones + base) / (total - ones + 1 - base)) - np.log(base / (1 - base))
     strong = np.flatnonzero((ones >= min(5, max(2, label.sum() // 20))) & (odds > 1.5))
@@ -175,18 +194,22 @@ def train(sets: list[np.ndarray], label: np.ndarray) -> Model | None:
     calm = np.flatnonzero((total >= 20) & (odds < -0.7))
     calm = calm[np.argsort(odds[calm] * np.sqrt(total[calm]), kind="stable")][:VOTERS // 8]
     shape = np.unique(np.array([_feature(x) for x in ("loud", "bangs", "questions", "marks")]))
-    voters = np.unique(np.concatenate([strong, calm, shape]))
+    voters = np.unique(np.concatenate([occurring[strong], occurring[calm], shape]))
     votes = np.array([np.isin(voters, s, assume_unique=True) for s in sets], float)
     soft = fit_label_model(votes, label.astype(float)).posterior(votes)
     soft = np.clip(np.where(np.isnan(soft), base, soft), 1e-6, 1 - 1e-6)  # without votes: the share of toxic documents
-    toxic = _counts(sets, soft)
+    toxic = _counts(short, soft, len(occurring))
     fine = total - toxic
     rate = np.log((toxic + soft.mean()) / (fine + 1 - soft.mean())) - np.log(soft.mean() / (1 - soft.mean()))
     worth = np.where(total >= 2, np.abs(rate) * np.sqrt(np.minimum(toxic, total)), 0)
-    columns = np.sort(np.argsort(-worth, kind="stable")[:FEATURES])
-    place = np.full(1 << BITS, -1, np.int32)
-    place[columns] = np.arange(len(columns))
-    rows = Rows.of([{int(c): 1.0 for c in place[s] if c >= 0} for s in sets])
+    columns = _best(worth, occurring)
+    place = np.full(len(occurring), -1, np.int32)
+    known = np.isin(occurring, columns, assume_unique=True)
+    place[known] = np.searchsorted(columns, occurring[known])
+    held = [place[s] for s in short]
+    held = [h[h >= 0] for h in held]
+    edges = np.concatenate([[0], np.cumsum([len(h) for h in held])]).astype(np.int64)
+    rows = Rows(edges, np.concatenate(held).astype(np.int64), np.ones(edges[-1]))
     weights = fit(rows, soft, len(columns), decay=3e-4, rounds=25)
     slope, shift = calibrated(rows.times(weights) + weights[-1], label.astype(float))
     weights = weights * slope
@@ -217,7 +240,7 @@ def model_for(docs: DataFrame, labels: DataFrame) -> Model | None:
     if not rows:
         return None
     lists = got["f"].combine_chunks()
-    flat, edge = lists.flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    flat, edge = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
     return train([flat[edge[i]:edge[i + 1]] for *_, i in rows], np.array([r[1] for r in rows]))
 
 

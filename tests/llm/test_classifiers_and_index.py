@@ -109,3 +109,20 @@ def test_index_recall(spark):
 def test_empty_index(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert mi.nearest(df, df).count() == 0
+
+
+def test_toxicity_training_holds_only_features_that_occur():
+    import tracemalloc
+
+    import numpy as np
+
+    from meteoqc.llm import toxicity
+
+    sets = [toxicity.features(f"word{i % 7} other{i % 5} " + ("awful awful slur" if i % 3 == 0 else "kind day")) for i in range(60)]
+    label = np.array([int(i % 3 == 0) for i in range(60)])
+    tracemalloc.start()
+    model = toxicity.train(sets, label)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.columns) == toxicity.FEATURES and model.score("awful awful slur") > 0.5 > model.score("kind day")
+    assert peak < 120 * 2**20  # one array over all feature numbers takes 64 MB in doubles; there were more than six
