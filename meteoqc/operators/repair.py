@@ -227,11 +227,17 @@ def impute_series(obs: DataFrame, context: DataFrame, variables: tuple[str, ...]
 
 
 def correction_inputs(decided: DataFrame, variables: tuple[str, ...] = ("temp", "rh", "slp"), rules: RepairRules = RepairRules()) -> DataFrame:
-    """One row per (reading, variable) with history, neighbour estimate and decision."""
-    series = long_series(decided, variables)
-    probes = with_history(series.filter(F.col("x").isNotNull()), series, rules.history)
-    flags = decided.select(KEY, TS, "decision", "severity")
-    return probes.join(spatial_estimates(decided), [KEY, TS, "variable"], "left").join(flags, [KEY, TS])
+    """One row per (reading, variable) with history, neighbour estimate and decision.
+
+    Estimate and decision travel with their reading. Joined back on (station, time), each of the
+    readings that share both would meet all the others.
+    """
+    rows = [F.struct(F.lit(v).alias("variable"), F.col(CANONICAL[v]).alias("x"), F.col(f"{v}_idw").alias("idw"), F.coalesce(f"{v}_n", F.lit(0)).alias("n"),
+                     F.col(f"{v}_std").alias("n_std"), F.col(f"{v}_km").alias("km")) for v in variables]
+    known = decided.filter(F.col(KEY).isNotNull() & F.col(TS).isNotNull())
+    probes = known.select(KEY, TS, "decision", "severity", F.explode(F.array(*rows)).alias("s")).select(KEY, TS, "s.*", "decision", "severity")
+    probes = probes.filter(F.col("x").isNotNull()).withColumn("series", F.concat_ws("/", KEY, "variable"))
+    return with_history(probes, long_series(decided, variables), rules.history)
 
 
 def recommend(inputs: DataFrame, health: DataFrame | None = None, rules: RepairRules = RepairRules()) -> DataFrame:
