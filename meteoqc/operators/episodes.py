@@ -9,6 +9,9 @@ from meteoqc.functions.numeric import steady_round
 from meteoqc.operators.chunks import CHUNK, FOUR_DAYS, run_positions, with_chunk
 from meteoqc.schema import KEY, TEMP, TS
 
+#: readings of an average station in one stretch of the neighbours' join
+READINGS = 32
+
 
 def runs_of(decided: DataFrame, seconds: int = FOUR_DAYS) -> DataFrame:
     """Rows with ``is_anom`` and the time of the last row of the other kind (``run_key``)."""
@@ -49,9 +52,13 @@ def surroundings(decided: DataFrame, steps: int = 5, seconds: int = FOUR_DAYS) -
 def neighbours_during(episodes: DataFrame, obs: DataFrame, edges: DataFrame, col: str = TEMP, seconds: int = 86_400) -> DataFrame:
     """Readings of neighbouring stations between onset and end of each episode.
 
-    An equi-join on (neighbour, day) with the time range as residual predicate.
+    An equi-join on (neighbour, stretch of time) with the time range as residual predicate. A stretch
+    is ``seconds`` long at most and holds about ``READINGS`` of an average station, so an episode of a
+    dense station meets few readings besides its own, and few stretches are made per reading.
     """
-    us = seconds * 1_000_000
+    span = F.unix_micros(F.max(TS)) - F.unix_micros(F.min(TS))
+    total = obs.groupBy(KEY).agg(span.alias("span"), F.count(TS).alias("n")).agg(F.sum("span").alias("span"), F.sum("n").alias("n")).first()
+    us = max(1_000_000, min(seconds * 1_000_000, READINGS * int(total["span"] or 0) // max(1, total["n"] or 0)))
     end = F.coalesce("recovery", "last_ts")
     days = F.sequence(F.floor(F.unix_micros("onset") / us), F.floor(F.unix_micros(end) / us))
     e = episodes.select(KEY, "onset", end.alias("end"), F.explode(days).alias("day")).join(edges.select(KEY, "neighbor_id"), KEY)
