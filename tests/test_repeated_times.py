@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from meteoqc.operators import episodes as ep
 from meteoqc.operators import repair as rp
+from meteoqc.plans import model_plans
 from meteoqc.schema import KEY, RH, SLP, TEMP, TS
 
 START = datetime(2024, 1, 1)
@@ -37,3 +38,10 @@ def test_neighbours_of_dense_stations_are_met_in_short_stretches(spark):
     with contextlib.redirect_stdout(text):
         out.explain("simple")
     assert "8.64E10" not in text.getvalue()
+
+
+def test_one_record_for_every_event(obs):
+    few = obs.filter("event_id < 100")
+    twice = few.unionByName(few.withColumn("event_id", F.col("event_id") + 1_000_000))
+    ids = [r.event_id for r in model_plans.records(twice).collect()]
+    assert ids and len(ids) == len(set(ids))
