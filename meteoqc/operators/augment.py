@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meteoqc.functions.numeric import clamp, hash_bucket, steady_round
 from meteoqc.operators.chunks import CHUNK, chunk_of, run_positions, with_chunk
+from meteoqc.operators.cover import readings_before, with_cover
 from meteoqc.schema import KEY, RH, SLP, TEMP, TS
 
 # --- fixed values: type, hours, dT, dRH, dSLP, is_fault, affected -------------
@@ -56,6 +57,7 @@ def choose_episodes(spark: SparkSession, obs: DataFrame, every: int = 300, seed:
 def affected_rows(obs: DataFrame, episodes: DataFrame, seconds: int = 86_400) -> DataFrame:
     """(reading, episode) pairs; a reading inside two episodes appears twice.
 
+    For results that are pairs by nature: their number grows with the square of a station's density.
     Episodes are spread over the stretches of time they touch, so a reading meets only those of its
     own stretch and not all of its station.
     """
@@ -86,10 +88,26 @@ def labels(obs: DataFrame, episodes: DataFrame) -> DataFrame:
         new.alias("modified_value"), F.col("start_ts").alias("injection_start"), F.col("end_ts").alias("injection_end"), "is_fault")
 
 
+def labelled_events(episodes: DataFrame) -> DataFrame:
+    """The labels of ``labels`` one row per event, with its first and last time instead of every reading in between."""
+    real = episodes.filter(F.col(KEY).isNotNull() & F.col("start_ts").isNotNull())
+    return real.select("anomaly_id", KEY, "anomaly_type", F.col("affected").alias("affected_variable"), F.col("start_ts").alias("injection_start"),
+                       F.col("end_ts").alias("injection_end"), "is_fault")
+
+
+def with_affected(events: DataFrame, obs: DataFrame) -> DataFrame:
+    """``events`` with the number of readings that each of them affects."""
+    after = F.timestamp_micros(F.unix_micros("injection_end") + 1)
+    counted = readings_before(readings_before(events, obs, F.col("injection_start"), "_a"), obs, after, "_b")
+    return counted.withColumn("affected", F.col("_b") - F.col("_a")).drop("_a", "_b")
+
+
 def apply_episodes(obs: DataFrame, episodes: DataFrame) -> DataFrame:
     """Observations with the effect of the first episode that covers each reading."""
     fields = ["anomaly_type", "start_ts", "start_temp", "d_temp", "d_rh", "d_slp"]
-    first = affected_rows(obs, episodes).groupBy("event_id").agg(F.min_by(F.struct(*fields), "anomaly_id").alias("_e"))
+    held = with_cover(obs.select("event_id", KEY, TS), episodes, order="anomaly_id", fields=["anomaly_id", *fields])
+    first = held.filter(F.col("cover").isNotNull()).groupBy("event_id").agg(
+        F.min_by(F.struct(*[F.col(f"cover.{f}") for f in fields]), F.col("cover.anomaly_id")).alias("_e"))
     marked = obs.join(first, "event_id", "left").select("*", "_e.*").drop("_e")
     kind = F.col("anomaly_type")
     marked = marked.filter(~F.coalesce(kind.isin(REMOVING), F.lit(False)))
