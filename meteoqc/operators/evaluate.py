@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meteoqc.functions.numeric import steady_round
-from meteoqc.operators.chunks import CHUNK, FOUR_DAYS, chunk_window, drop_halo, scan, with_chunk, with_halo
+from meteoqc.operators.chunks import CHUNK, FOUR_DAYS, as_of, chunk_window, drop_halo, scan, with_chunk, with_halo
+from meteoqc.operators.cover import readings_before, with_cover
 from meteoqc.schema import KEY, TS
 
 SCORE_DIGITS = 6
@@ -20,6 +21,20 @@ def with_truth(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(faults, [KEY, TS], "left").withColumn("y_true", F.coalesce("_y", F.lit(0))).drop("_y")
 
 
+def with_truth_of_events(rows: DataFrame, events: DataFrame) -> DataFrame:
+    """``with_truth`` from events with a first and a last time: 1 iff a fault on the row's station holds its time."""
+    out = with_cover(rows, events.filter("is_fault"), order="anomaly_id", start="injection_start", end="injection_end", name="_y")
+    return out.withColumn("y_true", F.col("_y").isNotNull().cast("int")).drop("_y")
+
+
+def first_hits(hits: DataFrame, events: DataFrame, key: Sequence[str] = (KEY,), more: Sequence[str] = ()) -> DataFrame:
+    """Events with a struct ``hit`` of the first row of ``hits`` (time and ``more``) inside them, null if none is."""
+    site = F.concat_ws("|", *key).alias("_site")
+    asked = events.select("*", site, F.col("injection_start").alias(TS))
+    found = as_of(asked, hits.select(site, TS, *more), key="_site", ts=TS, payload=[TS, *more], name="hit", forward=True)
+    return found.withColumn("hit", F.when(F.col(f"hit.{TS}") <= F.col("injection_end"), F.col("hit"))).drop("_site", TS)
+
+
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
 
@@ -125,6 +140,22 @@ def event_hits(rows: DataFrame, labels: DataFrame) -> DataFrame:
     ).withColumn("latency_minutes", F.when(F.col("detected"), F.col("_lat"))).drop("_lat")
 
 
+def hits_of_events(rows: DataFrame, events: DataFrame, obs: DataFrame) -> DataFrame:
+    """``event_hits`` from events with a first and a last time; steps count the readings of ``obs``."""
+    own = first_hits(rows.filter("pred = 1"), events).select(*events.columns, F.col(f"hit.{TS}").alias("hit"))
+    per = own.groupBy("anomaly_id").agg(F.min("hit").alias("first_hit"), F.min("injection_start").alias("start"), F.first("anomaly_type").alias("anomaly_type"),
+                                        F.first(KEY).alias(KEY), F.first("is_fault").alias("is_fault"))
+    # readings of the event before the hit; events may share an id, where readings do
+    found = events.select("anomaly_id", KEY, "injection_start", "injection_end").join(per.filter("first_hit IS NOT NULL").select("anomaly_id", "first_hit"), "anomaly_id")
+    until = F.least(F.col("first_hit"), F.timestamp_micros(F.unix_micros("injection_end") + 1))
+    counted = readings_before(readings_before(found, obs, F.col("injection_start"), "_a"), obs, until, "_b")
+    steps = counted.groupBy("anomaly_id").agg(F.sum(F.greatest(F.col("_b") - F.col("_a"), F.lit(0))).alias("steps"))
+    hit = F.col("first_hit").isNotNull()
+    minutes = F.greatest(F.lit(0.0), (F.unix_micros("first_hit") - F.unix_micros("start")) / 60_000_000.0)
+    return per.join(steps, "anomaly_id", "left").select(
+        "anomaly_id", KEY, "anomaly_type", "is_fault", hit.alias("detected"), F.when(hit, F.coalesce("steps", F.lit(0))).alias("latency_steps"), F.when(hit, minutes).alias("latency_minutes"))
+
+
 def false_alarm_starts(rows: DataFrame, labels: DataFrame, seconds: int = FOUR_DAYS) -> DataFrame:
     """Rising edges of the prediction among rows whose time carries no fault, per station."""
     clean = rows.join(labels.filter("is_fault").select(TS).distinct(), TS, "left_anti").select(KEY, TS, "pred")

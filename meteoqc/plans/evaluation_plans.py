@@ -39,18 +39,20 @@ def augmented(obs):
 
 
 def labelled(obs, windows=("24h",)):
-    """(scored rows, labels): perturbed readings with a z-score detector and the truth."""
+    """(scored rows, episodes): perturbed readings with a z-score detector and the truth."""
     e = _episodes(obs)
-    labels = staged(au.labels(obs, e))
     data = staged(ft.first_per_key(au.apply_episodes(obs, e)))
-    return scored(data, labels, windows[0]), labels
+    return scored(data, au.labelled_events(e), windows[0]), e
 
 
-def scored(data, labels, ref):
+def predicted(data, ref):
     f = ft.time_features(data, windows=(ref,), cols=[TEMP, RH, SLP], lags=(), ref=ref, persistence=False)
     rows = f.select("event_id", *ID, sco.zscore_score(ref).alias("score"), sco.threshold_score(F.col(f"{TEMP}_rate_per_5min")).alias("threshold_score"))
-    rows = rows.withColumn("pred", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
-    return staged(ev.with_truth(rows, labels))
+    return rows.withColumn("pred", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
+
+
+def scored(data, events, ref):
+    return staged(ev.with_truth_of_events(predicted(data, ref), events))
 
 
 def metrics(obs):
@@ -59,33 +61,32 @@ def metrics(obs):
 
 
 def events(obs):
-    rows, labels = labelled(obs)
-    return ev.event_metrics(rows, labels)
+    rows, e = labelled(obs)
+    return ev.event_metrics(rows, staged(au.labels(obs, e)))
 
 
 def hits(obs):
-    rows, labels = labelled(obs)
-    return ev.event_hits(rows, labels)
+    rows, e = labelled(obs)
+    return ev.hits_of_events(rows, au.labelled_events(e), obs)
 
 
 def by_type(obs):
-    rows, labels = labelled(obs)
-    return ev.recall_by(ev.event_hits(rows, labels), "anomaly_type")
+    return ev.recall_by(hits(obs), "anomaly_type")
 
 
 def by_tier(obs):
-    rows, labels = labelled(obs)
-    return ev.recall_by_tier(rows, labels)
+    rows, e = labelled(obs)
+    return ev.recall_by_tier(rows, staged(au.labels(obs, e)))
 
 
 def genuine(obs):
-    rows, labels = labelled(obs)
-    return ev.genuine_event_alarms(rows, labels)
+    rows, e = labelled(obs)
+    return ev.genuine_event_alarms(rows, staged(au.labels(obs, e)))
 
 
 def clean_rows(obs):
-    rows, labels = labelled(obs)
-    return ev.false_alarm_starts(rows, labels).groupBy(KEY).agg(F.count(F.lit(1)).alias("clean_rows"), F.count(F.when(F.col("rising"), 1)).alias("false_alarms"))
+    rows, e = labelled(obs)
+    return ev.false_alarm_starts(rows, staged(au.labels(obs, e))).groupBy(KEY).agg(F.count(F.lit(1)).alias("clean_rows"), F.count(F.when(F.col("rising"), 1)).alias("false_alarms"))
 
 
 def calibration(obs):
@@ -97,11 +98,10 @@ def calibration(obs):
 def comparison(obs):
     """Detectors and windows side by side: metrics per set, then mean and spread."""
     e = _episodes(obs)
-    labels = staged(au.labels(obs, e))
     data = staged(ft.first_per_key(au.apply_episodes(obs, e)))
     per = None
     for ref in ("3h", "6h", "24h"):
-        m = ev.confusion(scored(data, labels, ref)).withColumn("set", F.lit(f"zscore_{ref}"))
+        m = ev.confusion(scored(data, au.labelled_events(e), ref)).withColumn("set", F.lit(f"zscore_{ref}"))
         per = m if per is None else per.unionByName(m)
     return ev.compare_sets(staged(per), "set", ["precision", "recall", "f1", "fpr"])
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from meteoqc.operators import augment as au
 from meteoqc.operators import cover as co
+from meteoqc.operators import evaluate as ev
 from meteoqc.plans import evaluation_plans as plans
 from meteoqc.schema import KEY, TS
 
@@ -44,6 +45,22 @@ def test_cover_equals_pairs(dense):
     assert sorted(map(tuple, mine.collect())) == sorted(map(tuple, pairs.select("event_id", "spans", "is_fault", "anomaly_id").collect()))
 
 
+def test_truth_hits_and_counts_equal_pairs(spark, dense):
+    readings, episodes = dense
+    rows = readings.filter(F.col(TS).isNotNull()).dropDuplicates([KEY, TS])
+    labels = au.affected_rows(readings, episodes).select("anomaly_id", KEY, TS, "anomaly_type", F.col("start_ts").alias("injection_start"), "is_fault")
+    events = au.labelled_events(episodes)
+    truth = [sorted(map(str, f.select("event_id", "y_true").collect())) for f in (ev.with_truth(rows, labels), ev.with_truth_of_events(rows, events))]
+    assert truth[0] == truth[1]
+    sure = ["anomaly_id", "detected", "latency_steps", "latency_minutes"]
+    found = events.join(labels, "anomaly_id", "left_semi")  # here spans need not hold a reading
+    want, got = ({r.anomaly_id: tuple(r) for r in f.select(sure).collect()} for f in (ev.event_hits(rows, labels), ev.hits_of_events(rows, found, readings)))
+    assert want == got and any(r[1] for r in got.values()) and not all(r[1] for r in got.values())
+    counts = {r.anomaly_id: r.n for r in labels.groupBy("anomaly_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    per = au.with_affected(events, readings).groupBy("anomaly_id").agg(F.sum("affected").alias("n")).filter("n > 0").collect()
+    assert counts == {r.anomaly_id: r.n for r in per}
+
+
 def no_pairs(*_, **__):
     raise AssertionError("(reading, episode) pairs grow with the square of a station's density")
 
@@ -51,3 +68,8 @@ def no_pairs(*_, **__):
 def test_augmented_readings_need_no_pairs(obs, monkeypatch):
     monkeypatch.setattr(au, "affected_rows", no_pairs)
     assert plans.augmented(obs).count() > 0
+
+
+def test_recall_by_type_needs_no_pairs(obs, monkeypatch):
+    monkeypatch.setattr(au, "affected_rows", no_pairs)
+    assert plans.by_type(obs).count() > 0
