@@ -36,8 +36,11 @@ SEEDS = (42, 123, 2026)
 TEST_OFFSET = 100
 
 
-def variants(obs: DataFrame, seeds: Sequence[int] = SEEDS, every: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(readings, labels) of all variants with ``part``, ``seed`` (null where unchanged) and ``site``."""
+def variants(obs: DataFrame, seeds: Sequence[int] = SEEDS, every: int = 100, counted: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(readings, labelled events) of all variants with ``part``, ``seed`` (null where unchanged) and ``site``.
+
+    ``counted``: events with the number of readings they affect.
+    """
     split = staged(ev.chronological_split(obs))
 
     def part(name: str) -> DataFrame:
@@ -52,8 +55,9 @@ def variants(obs: DataFrame, seeds: Sequence[int] = SEEDS, every: int = 100) ->
     for seed in seeds:
         for name, own in (("validation", seed), ("test", seed + TEST_OFFSET)):
             source = part(name)
-            episodes = au.choose_episodes(obs.sparkSession, source, every, own)
-            found = tagged(au.labels(source, episodes), name, seed)
+            episodes = staged(au.choose_episodes(obs.sparkSession, source, every, own))
+            events = au.labelled_events(episodes)
+            found = tagged(au.with_affected(events, source) if counted else events, name, seed)
             labels = found if labels is None else labels.unionByName(found)
             rows = rows.unionByName(tagged(au.apply_episodes(source, episodes), name, seed))
     return staged(ft.first_per_key(rows)), staged(labels)
@@ -162,7 +166,7 @@ TAGS = ["part", "seed", "detector", KEY, TS]
 
 def with_truth(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """``TAGS``, ``score`` (rounded, so that thresholds are stable) and ``y_true``."""
-    return staged(ev.with_truth(rows.withColumn("score", steady_round(F.col("score"), ev.SCORE_DIGITS)), labels).select(*TAGS, "score", "y_true"))
+    return staged(ev.with_truth_of_events(rows.withColumn("score", steady_round(F.col("score"), ev.SCORE_DIGITS)), labels).select(*TAGS, "score", "y_true"))
 
 
 def column_scores(rows: DataFrame, ref: str = "24h") -> tuple[DataFrame, list[str]]:
@@ -195,9 +199,11 @@ def evaluate(scored: DataFrame, labels: DataFrame, calibrated: Sequence[str] | N
     clean = scored.filter(F.col("part") == "clean").withColumnRenamed("seed", "own").join(F.broadcast(cuts), "detector").filter(
         F.col("own").isNull() | (F.col("own") == F.col("seed"))).groupBy(*by).agg(
         F.count(F.lit(1)).alias("clean_observations"), F.sum(hit).alias("clean_alarms"))
-    faults = labels.filter((F.col("part") == "test") & F.col("is_fault")).select("seed", "anomaly_id", KEY, TS)
+    faults = labels.filter((F.col("part") == "test") & F.col("is_fault"))
     events = faults.groupBy("seed").agg(F.count_distinct("anomaly_id").alias("events"))
-    found = faults.drop("seed").join(test.filter(F.col("pred") == 1), [KEY, TS]).groupBy(*by).agg(F.count_distinct("anomaly_id").alias("detected"))
+    asked = faults.drop("seed").join(F.broadcast(cuts.select("detector").distinct()), F.lit(True))  # a few detectors
+    hits = ev.first_hits(test.filter(F.col("pred") == 1), asked, ["detector", KEY], ["seed"]).filter(F.col("hit").isNotNull())
+    found = hits.groupBy("detector", F.col("hit.seed").alias("seed")).agg(F.count_distinct("anomaly_id").alias("detected"))
     out = ev.confusion(test, by).join(cuts, by).join(clean, by).join(events, "seed", "left").join(found, by, "left").fillna(0, ["events", "detected"])
     return out.withColumn("event_recall", steady_round(F.when(F.col("events") > 0, F.col("detected") / F.col("events")).otherwise(0.0), 4))
 

@@ -57,8 +57,8 @@ def compared(metrics):
 
 def parts(obs):
     """Readings, faults and detector-independent figures of every variant."""
-    rows, labels = ex.variants(obs, every=EVERY)
-    events = labels.groupBy("part", "seed").agg(F.count_distinct("anomaly_id").alias("events"), F.count(F.lit(1)).alias("affected"))
+    rows, labels = ex.variants(obs, every=EVERY, counted=True)
+    events = labels.groupBy("part", "seed").agg(F.count_distinct("anomaly_id").alias("events"), F.sum("affected").alias("affected"))
     out = rows.groupBy("part", "seed").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("site").alias("stations"), F.min("obs_ts").alias("first_ts"), F.max("obs_ts").alias("last_ts"))
     same = out["part"].eqNullSafe(events["part"]) & out["seed"].eqNullSafe(events["seed"])
     return out.join(events, same, "left").select(out["part"], out["seed"], "rows", "stations", "first_ts", "last_ts", F.coalesce("events", F.lit(0)).alias("events"), F.coalesce("affected", F.lit(0)).alias("affected"))

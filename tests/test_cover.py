@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from meteoqc.operators import augment as au
 from meteoqc.operators import cover as co
 from meteoqc.operators import evaluate as ev
+from meteoqc.operators import experiment as ex
 from meteoqc.plans import evaluation_plans as plans
+from meteoqc.plans import experiment_plans as trials
 from meteoqc.schema import KEY, TS
 
 START = datetime(2024, 1, 1, 20)
@@ -73,3 +75,11 @@ def test_augmented_readings_need_no_pairs(obs, monkeypatch):
 def test_recall_by_type_needs_no_pairs(obs, monkeypatch):
     monkeypatch.setattr(au, "affected_rows", no_pairs)
     assert plans.by_type(obs).count() > 0
+
+
+def test_experiments_need_no_pairs(obs, monkeypatch):
+    monkeypatch.setattr(au, "affected_rows", no_pairs)
+    rows, labels = ex.variants(obs.filter("event_id < 700"), seeds=(42,), every=60)
+    scores, calibrated = ex.column_scores(rows)
+    assert ex.evaluate(ex.with_truth(scores, labels), labels, calibrated).count() == 2
+    assert trials.parts(obs).agg(F.sum("affected")).first()[0] > 0
