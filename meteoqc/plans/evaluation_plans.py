@@ -152,8 +152,8 @@ def causality(obs):
         f = ft.time_features(df, windows=("1h", "24h"), cols=[TEMP, RH, SLP])
         return f.filter(F.col(TS) <= cut).select(*ID, *[F.round(c, 6).alias(c) for c in f.columns if c.startswith(TEMP)])
 
-    a = run(obs)
-    diff = ev.first_missing(a, run(changed)).agg(F.count(F.lit(1)).alias("differences"))
+    a = staged(run(obs))  # read three times
+    diff = ev.first_missing(a, staged(run(changed))).agg(F.count(F.lit(1)).alias("differences"))
     return diff.join(F.broadcast(a.agg(F.count(F.lit(1)).alias("compared"))), F.lit(True))  # one row each
 
 

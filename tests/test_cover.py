@@ -83,3 +83,11 @@ def test_experiments_need_no_pairs(obs, monkeypatch):
     scores, calibrated = ex.column_scores(rows)
     assert ex.evaluate(ex.with_truth(scores, labels), labels, calibrated).count() == 2
     assert trials.parts(obs).agg(F.sum("affected")).first()[0] > 0
+
+
+def test_audit_runs_each_features_once(obs, monkeypatch):
+    """Both feature tables are written and read again; without that the first one is computed three times."""
+    held = []
+    monkeypatch.setattr(plans, "staged", lambda df: held.append(df) or df)
+    plans.causality(obs.filter("event_id < 50"))
+    assert len(held) == 2
