@@ -201,7 +201,7 @@ def neighbour_matches(obs: DataFrame, edges: DataFrame, net: Network = Network()
 
 
 def _consensus(v: str, net: Network) -> list[Column]:
-    """Aggregates over one reading's neighbours for one variable."""
+    """Aggregates over one reading's neighbours for one variable; what shares a count or a sum shares its buffer."""
     ok = F.col("is_valid")
     x = F.when(ok, F.col(f"n.{v}"))
     d = F.when(ok & F.col(f"n.{v}").isNotNull(), F.col(f"n.d_{v}"))
@@ -209,22 +209,25 @@ def _consensus(v: str, net: Network) -> list[Column]:
     w = F.when(x.isNotNull(), 1.0 / F.pow(F.greatest(F.col("distance_km"), F.lit(1.0)), F.lit(net.idw_power)))
 
     def share(cond, value):
-        return F.avg(F.when(value.isNotNull(), F.when(cond, 1.0).otherwise(0.0)))
+        return F.coalesce(F.count(F.when(value.isNotNull() & cond, 1)) / F.nullif(F.count(value), F.lit(0)), F.lit(0.0))
+
+    def mean(value):
+        return F.sum(value) / F.nullif(F.count(x), F.lit(0))
 
     return [
-        F.count(x).alias(f"{v}_n"), F.avg(x).alias(f"{v}_mean"),
+        F.count(x).alias(f"{v}_n"), mean(x).alias(f"{v}_mean"),
         # one column per neighbour rank: plain hash aggregation, where a percentile would buffer objects
         *[F.max(F.when(F.col("rank") == i + 1, x)).alias(f"_{v}_{i}") for i in range(net.k)],
         F.when(F.count(x) > 0, F.coalesce(F.stddev_samp(x), F.lit(0.0))).alias(f"{v}_std"),
         F.min(x).alias(f"{v}_min"), F.max(x).alias(f"{v}_max"),
-        F.coalesce(share(x > t + tol, x), F.lit(0.0)).alias(f"{v}_higher"),
-        F.coalesce(share(x < t - tol, x), F.lit(0.0)).alias(f"{v}_lower"),
-        F.coalesce(share(F.abs(x - t) <= tol, x), F.lit(0.0)).alias(f"{v}_similar"),
-        F.coalesce(share(d > trend, d), F.lit(0.0)).alias(f"{v}_rising"),
-        F.coalesce(share(d < -trend, d), F.lit(0.0)).alias(f"{v}_falling"),
-        F.coalesce(share(F.abs(d) <= trend, d), F.lit(0.0)).alias(f"{v}_stable"),
+        share(x > t + tol, x).alias(f"{v}_higher"),
+        share(x < t - tol, x).alias(f"{v}_lower"),
+        share(F.abs(x - t) <= tol, x).alias(f"{v}_similar"),
+        share(d > trend, d).alias(f"{v}_rising"),
+        share(d < -trend, d).alias(f"{v}_falling"),
+        share(F.abs(d) <= trend, d).alias(f"{v}_stable"),
         F.count(d).alias(f"{v}_trend_n"),
-        (F.sum(w * x) / F.sum(w)).alias(f"{v}_idw"), F.avg(F.when(x.isNotNull(), F.col("distance_km"))).alias(f"{v}_km"),
+        (F.sum(w * x) / F.sum(w)).alias(f"{v}_idw"), mean(F.when(x.isNotNull(), F.col("distance_km"))).alias(f"{v}_km"),
     ]
 
 
@@ -236,7 +239,11 @@ def _median(values: list[Column], n: Column) -> Column:
 
 
 def consensus(matches: DataFrame, net: Network = Network()) -> DataFrame:
-    """Agreement of each reading with its neighbours, all three variables in one aggregate."""
+    """Agreement of each reading with its neighbours, all three variables in one aggregate.
+
+    The narrow matches are exchanged, not the wide partial aggregates, of which there would be one
+    for each match. Below 100 buffers the aggregate is also compiled (``spark.sql.codegen.maxFields``).
+    """
     aggs = [
         F.count(F.when(F.col("n").isNotNull(), 1)).alias("matched_neighbors"),
         F.count(F.when(F.col("is_valid"), 1)).alias("valid_neighbors"),
@@ -246,7 +253,7 @@ def consensus(matches: DataFrame, net: Network = Network()) -> DataFrame:
     ]
     for v in VARS:
         aggs += _consensus(v, net)
-    out = matches.groupBy(KEY, TS).agg(*aggs)
+    out = matches.repartition(KEY, TS).groupBy(KEY, TS).agg(*aggs)
     ranked = {v: [F.col(f"_{v}_{i}") for i in range(net.k)] for v in VARS}
     out = out.withColumns({"nearest_temp": F.coalesce(*ranked["temp"]), **{f"{v}_median": _median(ranked[v], F.col(f"{v}_n")) for v in VARS}})
     out = out.drop(*[f"_{v}_{i}" for v in VARS for i in range(net.k)])
