@@ -138,27 +138,41 @@ class ForestGridModel(Model):
         super().__init__()
         self.features, self.specs, self.nodes, self.forest_params, self.spans = list(features), list(specs), nodes, params, spans
 
-    def with_raw(self, df: DataFrame) -> DataFrame:
+    def with_raw(self, df: DataFrame, seed: Column | None = None) -> DataFrame:
+        """Column ``raw``, one entry for each forest; those of other seeds are null where ``seed`` is set."""
         forests = [fo.to_arrays(self.nodes[self.nodes["spec"] == k].reset_index(drop=True)) for k in range(len(self.specs))]
         held = df.sparkSession.sparkContext.broadcast(forests)  # size set by the parameters
-        norm = float(fo.average_path(self.forest_params.sample))
+        norm, seeds = float(fo.average_path(self.forest_params.sample)), [s for _, s in self.specs]
 
         @F.pandas_udf("array<double>")
-        def raw(xs: pd.Series) -> pd.Series:
+        def raw(xs: pd.Series, own: pd.Series) -> pd.Series:
             if len(xs) == 0:
                 return pd.Series([], dtype=object)
-            x = np.vstack(xs.to_numpy())
-            return pd.Series(list(np.column_stack([np.power(2.0, -fo.path_lengths(a, x) / norm) for a in held.value])))
+            x, own = np.vstack(xs.to_numpy()), own.to_numpy(dtype=float, na_value=np.nan)
+            out = np.full((len(x), len(seeds)), np.nan)
+            for k, a in enumerate(held.value):
+                rows = np.flatnonzero(np.isnan(own) | (own == seeds[k]))
+                out[rows, k] = np.power(2.0, -fo.path_lengths(a, x[rows]) / norm)
+            return pd.Series(list(out))
 
-        return df.withColumn("raw", raw(fo.feature_array(self.features)))
+        return df.withColumn("raw", raw(fo.feature_array(self.features), (F.lit(None) if seed is None else seed).cast("long")))
 
-    def _transform(self, df: DataFrame) -> DataFrame:
+    def _scores(self, own: Column | None = None) -> Column:
         def entry(k: int) -> Column:
             (name, seed), (low, high) = self.specs[k], self.spans[k]
             score = (F.get("raw", F.lit(k)) - low) / (high - low if high > low else 1.0)
-            return F.struct(F.lit(name).alias("set"), F.lit(seed).cast("long").alias("seed"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"))
+            out = F.struct(F.lit(name).alias("set"), F.lit(seed).cast("long").alias("seed"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"))
+            return out if own is None else F.when(own.isNull() | (own == seed), out)
+
+        return F.array(*[entry(k) for k in range(len(self.specs))])
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return self.with_raw(df).withColumn("scores", self._scores()).drop("raw")
 
-        return self.with_raw(df).withColumn("scores", F.array(*[entry(k) for k in range(len(self.specs))])).drop("raw")
+    def transform_own(self, df: DataFrame, seed: str = "seed") -> DataFrame:
+        """As ``transform``, but a row with a seed is walked by the forests of that seed alone; the entries of others are null."""
+        own = F.col(seed)
+        return self.with_raw(df, own).withColumn("scores", self._scores(own)).drop("raw")
 
 
 TAGS = ["part", "seed", "detector", KEY, TS]

@@ -117,31 +117,63 @@ class _Arrays:
     size: np.ndarray
     depth: np.ndarray
     roots: np.ndarray
+    walk: _Walk
     leaves: tuple = field(default=())
 
 
+@dataclass
+class _Walk:
+    """Nodes renumbered so that a right child follows its left sibling; a leaf is its own child and no value exceeds its threshold."""
+
+    feature: np.ndarray
+    threshold: np.ndarray
+    child: np.ndarray
+    value: np.ndarray
+    steps: np.ndarray  # per tree; its root has the tree's position as number
+
+
+def _walk(feature, threshold, left, right, value, depth, roots) -> _Walk:
+    inner = np.flatnonzero(feature >= 0)
+    at = np.empty(len(feature), dtype=np.intp)
+    at[roots] = np.arange(len(roots))
+    at[left[inner]] = len(roots) + 2 * np.arange(len(inner))
+    at[right[inner]] = at[left[inner]] + 1
+    old = np.argsort(at)
+    leaf = feature[old] < 0
+    return _Walk(np.where(leaf, 0, feature[old]).astype(np.intp), np.where(leaf, np.inf, threshold[old]),
+                 np.where(leaf, np.arange(len(old)), at[left[old]]), value[old], np.maximum.reduceat(depth, roots))
+
+
 def to_arrays(nodes: pd.DataFrame) -> _Arrays:
     """Node table -> flat arrays with global node numbers."""
     start = nodes.reset_index().groupby("tree")["index"].min()
     base = nodes["tree"].map(start).to_numpy()
     leaf = nodes["feature"].to_numpy() < 0
     shift = lambda c: np.where(leaf, np.arange(len(nodes)), nodes[c].to_numpy() + base)
-    return _Arrays(nodes["feature"].to_numpy(), nodes["threshold"].to_numpy(), shift("left"), shift("right"),
-                   nodes["size"].to_numpy(), nodes["depth"].to_numpy(), start.to_numpy())
-
-
-def path_lengths(a: _Arrays, x: np.ndarray) -> np.ndarray:
-    """Mean path length over the trees for each row of ``x``."""
-    total = np.zeros(len(x))
-    rows = np.arange(len(x))
-    extra = average_path(a.size)
-    for root in a.roots:
-        at = np.full(len(x), root)
-        for _ in range(int(a.depth.max())):
-            f = a.feature[at]
-            go = x[rows, np.maximum(f, 0)] <= a.threshold[at]
-            at = np.where(f < 0, at, np.where(go, a.left[at], a.right[at]))
-        total += a.depth[at] + extra[at]
+    f, t, left, right, size, depth = nodes["feature"].to_numpy(), nodes["threshold"].to_numpy(), shift("left"), shift("right"), nodes["size"].to_numpy(), nodes["depth"].to_numpy()
+    roots = start.to_numpy()
+    return _Arrays(f, t, left, right, size, depth, roots, _walk(f, t, left, right, depth + average_path(size), depth, roots))
+
+
+def path_lengths(a: _Arrays, x: np.ndarray, slice_rows: int = 4096) -> np.ndarray:
+    """Mean path length over the trees for each row of ``x`` (finite values, see ``feature_array``).
+
+    Slices keep the rows at hand in the processor's cache while all trees are walked.
+    """
+    w, total = a.walk, np.zeros(len(x))
+    for start in range(0, len(x), slice_rows):
+        part = np.ascontiguousarray(x[start:start + slice_rows].T)
+        n, values = part.shape[1], part.ravel()
+        rows, column = np.arange(n), w.feature * n
+        for tree, steps in enumerate(w.steps):
+            at = np.full(n, tree, dtype=np.intp)
+            for _ in range(steps):
+                place = column.take(at)
+                place += rows
+                above = values.take(place) > w.threshold.take(at)
+                at = w.child.take(at)
+                at += above
+            total[start:start + n] += w.value.take(at)
     return total / len(a.roots)
 
 

@@ -136,14 +136,18 @@ def neighbour_edges(st: DataFrame, net: Network = Network(), dense: int = 512) -
     return all_pairs_edges(st, net) if most <= dense else nearest_edges(staged(st), net)
 
 
-def bucketed_neighbours(obs: DataFrame, edges: DataFrame, minutes: int = 30) -> DataFrame:
+def bucketed_neighbours(obs: DataFrame, edges: DataFrame, minutes: int = 30, readings: DataFrame | None = None) -> DataFrame:
     """Neighbour aggregates per reading with both sides rounded to the same time bucket.
 
     They depend on (station, bucket) only, so they are computed once per bucket and joined back,
-    not once per reading.
+    not once per reading. ``readings``: the same rows before their features were added, so that the
+    features are not computed a second time for the values of the buckets.
     """
-    obs = obs.withColumns({"_bucket": round_to_minutes(TS, minutes), "_slp": filled_slp()})
-    latest = obs.groupBy(KEY, "_bucket").agg(
+    def placed(df: DataFrame) -> DataFrame:
+        return df.withColumns({"_bucket": round_to_minutes(TS, minutes), "_slp": filled_slp()})
+
+    seen, obs = placed(obs if readings is None else readings), placed(obs)
+    latest = seen.groupBy(KEY, "_bucket").agg(
         F.max_by(F.struct(F.col(TEMP).alias("temp"), F.col(RH).alias("rh"), F.col("_slp").alias("slp")), TS).alias("v")
     )
     links = edges.select(F.col(KEY).alias("_target"), F.col("neighbor_id").alias(KEY), "distance_km")

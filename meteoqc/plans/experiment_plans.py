@@ -35,8 +35,8 @@ def matrix(rows, edges):
     names = rows.select(KEY, "site").distinct()
     twin = F.concat("neighbor_id", F.lit(ex.MARK), F.substring_index(KEY, ex.MARK, -1))
     near = names.join(edges.withColumnRenamed(KEY, "site"), "site").select(KEY, twin.alias("neighbor_id"), "distance_km", "rank")
-    timed = ft.time_features(fs.calendar_features(rows), windows=("1h",))
-    full = sp.bucketed_neighbours(timed, near)
+    timed = ft.time_features(fs.calendar_features(rows), windows=("1h",), cols=[TEMP, RH, SLP], lags=())  # what the sets name
+    full = sp.bucketed_neighbours(timed, near, readings=rows)
     return staged(full.select(*ID_COLUMNS, *fs.SET_D))
 
 
@@ -45,9 +45,9 @@ def forests(obs):
     rows, labels = ex.variants(obs, every=EVERY)
     m = matrix(rows, sp.neighbour_edges(sp.stations(obs)))
     model = ex.ForestGrid(fs.SETS, ex.SEEDS, ["event_id"]).fit(m.filter(F.col("part") == "train"))
-    s = model.transform(m.filter(F.col("part") != "train")).select(*ID_COLUMNS, F.explode("scores").alias("s"))
-    own = F.col("seed").isNull() | (F.col("seed") == F.col("s.seed"))  # each perturbed part is scored by the forests of its seed
-    s = s.filter(own).select("part", F.col("s.seed").alias("seed"), F.concat(F.lit("forest_"), F.col("s.set")).alias("detector"), KEY, "obs_ts", F.col("s.score").alias("score"))
+    # each perturbed part is scored by the forests of its seed
+    s = model.transform_own(m.filter(F.col("part") != "train")).select(*ID_COLUMNS, F.explode("scores").alias("s"))
+    s = s.filter(F.col("s").isNotNull()).select("part", F.col("s.seed").alias("seed"), F.concat(F.lit("forest_"), F.col("s.set")).alias("detector"), KEY, "obs_ts", F.col("s.score").alias("score"))
     return ex.evaluate(ex.with_truth(s, labels), labels, None)
 
 

@@ -1,5 +1,7 @@
 """Splits and experiments: exact borders, nothing learned from the test part."""
 
+import contextlib
+import io
 import random
 from datetime import datetime, timedelta
 
@@ -89,3 +91,24 @@ def test_variants_do_not_mix(small):
     assert parts == {("train", None), ("clean", None), ("validation", 42), ("validation", 123), ("test", 42), ("test", 123)}
     assert rows.filter(F.substring_index(KEY, ex.MARK, 1) != F.col("site")).count() == 0
     assert labels.select(KEY).distinct().join(rows.filter("part IN ('train', 'clean')").select(KEY).distinct(), KEY).count() == 0
+
+
+def test_rows_are_walked_by_the_forests_of_their_seed(spark, small):
+    rows = small.select("event_id", KEY, TS, *SETS["A"][:3]).withColumns({f"{TEMP}_delta": F.lit(0.5), "seed": F.get(F.array(*map(F.lit, (42, 7))), (F.col("event_id") % 3).cast("int")).cast("long")})
+    model = ex.ForestGrid(SETS, (42, 7), ["event_id"], PARAMS).fit(rows)
+    own = F.col("seed").isNull() | (F.col("seed") == F.col("s.seed"))
+    every = model.transform(rows).select("event_id", "seed", F.explode("scores").alias("s")).filter(own).collect()
+    got = model.transform_own(rows).select("event_id", "seed", F.explode("scores").alias("s")).filter("s IS NOT NULL").collect()
+    assert sorted(map(str, got)) == sorted(map(str, every)) and {r.seed for r in got} == {42, 7, None}
+    raw = model.with_raw(rows, F.col("seed")).filter("seed = 7").select(F.explode("raw").alias("r")).agg(F.count("r").alias("walked"), F.count(F.lit(1)).alias("n")).first()
+    assert raw.n == 2 * raw.walked > 0
+
+
+def test_features_of_the_matrix_are_computed_once(small, monkeypatch):
+    rows = small.withColumns({"part": F.lit("train"), "seed": F.lit(None).cast("long"), "site": F.col(KEY), KEY: F.concat(KEY, F.lit("#train"))})
+    edges = sp.neighbour_edges(sp.stations(small))
+    monkeypatch.setattr(ep, "staged", lambda df: df)
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        ep.matrix(rows, edges).explain("simple")
+    assert text.getvalue().count("FlatMapGroupsInArrow") == 1

@@ -157,3 +157,25 @@ def test_curves_and_calibration(spark):
     assert abs(c.threshold - choice) < 1e-6 and abs(c.metric - best) < 1e-6
     one = ev.calibrate(df.withColumn("y_true", F.lit(0))).first()
     assert one.threshold == 0.5
+
+
+def test_walk_in_slices_equals_one_row_at_a_time():
+    """Trees of uneven depth, one of a single leaf, values on the thresholds."""
+    rng = np.random.RandomState(5)
+    x = np.round(rng.randn(300, 4), 1)
+    grown = [fo.grow(x[rng.choice(len(x), n)], rng, d) for n, d in ((64, 6), (1, 6), (2, 6), (200, 3))]
+    nodes = pd.DataFrame([(t, *n) for t, own in enumerate(grown) for n in own], columns=["tree", "node", "feature", "threshold", "left", "right", "size", "depth"])
+    x[0] = nodes[nodes.feature >= 0].threshold.iloc[0]
+
+    def length(row):
+        total = 0.0
+        for own in grown:
+            at = own[0]
+            while at[1] >= 0:
+                at = own[at[3] if row[at[1]] <= at[2] else at[4]]
+            total += at[6] + fo.average_path(at[5])
+        return total / len(grown)
+
+    arrays = fo.to_arrays(nodes)
+    assert fo.path_lengths(arrays, x, slice_rows=7).tolist() == fo.path_lengths(arrays, x).tolist() == [length(r) for r in x]
+    assert len(fo.path_lengths(arrays, x[:0])) == 0
