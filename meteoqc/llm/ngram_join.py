@@ -3,13 +3,14 @@
 Two documents are linked when their sets of ``GRAM``-word shingles have a Jaccard similarity of 0.8
 or more; the result names every document's connected component. Nothing is lost on the way:
 
-1. A merged sketch (``Sketch``, fixed size) tells which shingles can occur in two documents. A
-   document in which more shingles than a link allows are its own cannot be linked and drops out. A
-   second sketch does the same among the documents and shingles that the first one left, and so
-   undoes most of what the first one wrongly took for shared.
-2. Documents with equal sets become one. Of the others, those that may be linked share one of a few
-   shingles of either (the prefix of its set in an order that puts unshared shingles first). Sharing
-   one, over any number of steps, makes documents a *family*; links never leave a family.
+1. A merged sketch (``Sketch``, its cells follow the bytes of text) tells which shingles can occur in
+   two documents. A document in which more shingles than a link allows are its own cannot be linked
+   and drops out. A second sketch does the same among the documents and shingles that the first one
+   left, and so undoes most of what the first one wrongly took for shared.
+2. Documents with equal sets become one. A tally counts the shingles of those sets. Sets that may be
+   linked share one of a few shingles of either (the prefix of its set in an order that puts rare
+   shingles first, so that a passage which many documents hold connects only those that consist of
+   it). Sharing one, over any number of steps, makes documents a *family*; links never leave a family.
 3. Families go to signature trees (``signature_tree``), small ones packed together, one task for a
    bounded number of documents. A family of more than ``BLOCK`` documents is cut into blocks by size: blocks
    are joined within themselves, then all documents are compared with pivots from the largest
@@ -35,20 +36,26 @@ from pyspark.sql import functions as F
 from meteoqc.llm import anchors
 from meteoqc.llm.common import keyed, slices, staged, table
 from meteoqc.llm.signature_tree import PERCENT, Tree, links
-from meteoqc.llm.sketch import SENT, Sketch
+from meteoqc.llm.sketch import SENT, Merged, Sketch, sized
 from meteoqc.llm.window_dedup import Words
 
 GRAM, BLOCK, PACK, PIVOTS = 5, 1024, 600, 3
-SKETCHES = (Sketch(rows=1, cells=1 << 28, parts=64), Sketch(rows=1, cells=1 << 27, parts=64))
-#: shingles that a task holds before it sends their cells
-FLUSH = 500_000
+#: bytes of text for each cell of the first sketch; a shingle takes about seven
+CELL_BYTES = 5
+#: shingles that a task holds before it sends their cells: more for a larger sketch, so that their differences stay as short
+FLUSH, MOST_FLUSH = 500_000, 4_000_000
+#: shingles that are looked up at a time in a sketch too large to be held
+LOOK_UP = 2_000_000
 #: large families whose pivots (one set each) may be broadcast
 BROADCAST_PIVOTS = 5_000
 #: rows of (family, band) that may be broadcast
 BROADCAST_BANDS = 200_000
+#: row numbers that may be broadcast, so that the token lists beside which they are looked up stay where they are
+BROADCAST_ROWS = 1_000_000
 #: ratio of sizes within a band, and bands between the sizes of a link: 1.1 ** 3 > 100 / PERCENT
 BAND, BANDS = 1.1, 3
-SETS = "row long, n long, k1 long, k2 long, tokens array<long>, keys array<long>"
+SETS = "row long, n long, k1 long, k2 long, tokens array<long>"
+PREFIXES = "row long, n long, tokens array<long>, keys array<long>"
 
 
 def shingle_sets(documents: list[bytes], gram: int = GRAM) -> list[np.ndarray]:
@@ -75,7 +82,7 @@ def _sets(batch: pa.RecordBatch, gram: int) -> list[np.ndarray]:
     return shingle_sets([(x or "").encode() for x in batch.column(batch.schema.get_field_index("text")).to_pylist()], gram)
 
 
-def shared_tokens(sets: list[np.ndarray], levels: list[tuple[Sketch, list[bytes]]]) -> list[np.ndarray | None]:
+def shared_tokens(sets: list[np.ndarray], levels: list[tuple[Sketch, Merged]]) -> list[np.ndarray | None]:
     """Tokens of each set that every level takes for shared; None for sets that cannot be linked."""
     left: list[np.ndarray | None] = [s if len(s) else None for s in sets]
     for sketch, bits in levels:
@@ -91,18 +98,40 @@ def shared_tokens(sets: list[np.ndarray], levels: list[tuple[Sketch, list[bytes]
     return left
 
 
-def _levels(held: list) -> list[tuple[Sketch, list[bytes]]]:
-    return [(sketch, bits.value) for sketch, bits in held]
+def sketches_for(text: DataFrame) -> tuple[Sketch, Sketch]:
+    """Sketches of about as many cells as ``text`` has shingles, and half as many for those that the first one leaves."""
+    cells = (text.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CELL_BYTES
+    return sized(cells), sized(cells // 2)
+
+
+def _flush(sketch: Sketch) -> int:
+    return min(max(FLUSH, sketch.cells >> 9), MOST_FLUSH)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], held: list, gram: int) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray]]]:
+    """Slices of the batches with their sets; several at a time where a lookup walks through a large sketch."""
+    most = LOOK_UP if any(merged.large for _, merged in held) else 0
+    group: list[pa.RecordBatch] = []
+    sets: list[np.ndarray] = []
+    n = 0
+    for b in slices(batches, "text"):
+        more = _sets(b, gram)
+        group, sets, n = [*group, b], sets + more, n + sum(map(len, more))
+        if n >= most:
+            yield group, sets
+            group, sets, n = [], [], 0
+    if group:
+        yield group, sets
 
 
 def _sketching(sketch: Sketch, held: list, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def send(batches):
         kept: list[np.ndarray] = []
         n = 0
-        for b in slices(batches, "text"):
-            more = [s for s in shared_tokens(_sets(b, gram), _levels(held)) if s is not None]
+        for _, sets in _grouped(batches, held, gram):
+            more = [s for s in shared_tokens(sets, held) if s is not None]
             kept, n = kept + more, n + sum(map(len, more))
-            if n > FLUSH:
+            if n > _flush(sketch):
                 yield from sketch.touched(np.concatenate(kept))
                 kept, n = [], 0
         if kept:
@@ -112,22 +141,62 @@ def _sketching(sketch: Sketch, held: list, gram: int) -> Callable[[Iterator[pa.R
 
 
 def _reading(held: list, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Sizes of all sets; hashes, shared tokens and prefix keys of those that may be linked."""
+    """Sizes of all sets; hashes and shared tokens of those that may be linked."""
     def read(batches):
-        for b in slices(batches, "text"):
-            sets = _sets(b, gram)
+        for group, sets in _grouped(batches, held, gram):
             rows: list[tuple] = []
-            for s, kept in zip(sets, shared_tokens(sets, _levels(held))):
+            for s, kept in zip(sets, shared_tokens(sets, held)):
                 if kept is None:
-                    rows.append((len(s), None, None, None, None))
+                    rows.append((len(s), None, None, None))
                     continue
                 k1, k2 = (int(np.bitwise_xor.reduce(anchors.mixed(s ^ x)).view(np.int64)) for x in (anchors.BASE, anchors.MIX))
-                keys = kept[:allowed(len(s)) - (len(s) - len(kept))]
-                rows.append((len(s), k1, k2, kept.view(np.int64), keys.view(np.int64)))
-            n, k1, k2, tokens, keys = zip(*rows)
+                rows.append((len(s), k1, k2, kept.view(np.int64)))
+            n, k1, k2, tokens = zip(*rows)
             yield pa.RecordBatch.from_arrays([
-                b.column(b.schema.get_field_index("row")), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
-                pa.array(tokens, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=["row", "n", "k1", "k2", "tokens", "keys"])
+                pa.concat_arrays([b.column(b.schema.get_field_index("row")) for b in group]), pa.array(n, pa.int64()), pa.array(k1, pa.int64()),
+                pa.array(k2, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["row", "n", "k1", "k2", "tokens"])
+
+    return read
+
+
+def _tallying(sketch: Sketch) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def send(batches):
+        kept: list[np.ndarray] = []
+        n = 0
+        for b in batches:
+            kept.append(b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            n += len(kept[-1])
+            if n > _flush(sketch):
+                yield from sketch.touched(np.concatenate(kept), tally=True)
+                kept, n = [], 0
+        if n:
+            yield from sketch.touched(np.concatenate(kept), tally=True)
+
+    return send
+
+
+def _prefixing(sketch: Sketch, tallies: Merged) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Tokens that the tally saw twice, and the rarest of them as prefix keys; sets with too many tokens of their own drop out."""
+    def read(batches):
+        for b in batches:
+            row, sets, sizes = _trees(pa.Table.from_batches([b]))
+            if not len(row):
+                continue
+            flat = np.concatenate(sets)
+            count = sketch.counts(tallies, flat)
+            found, start = [], 0
+            for r, s, n in zip(row.tolist(), sets, sizes.tolist()):
+                own = count[start:start + len(s)]
+                start += len(s)
+                kept = s[own > 1]
+                few = allowed(n) - (n - len(kept))
+                if few > 0:
+                    found.append((r, n, kept.view(np.int64), kept[np.argsort(own[own > 1], kind="stable")][:few].view(np.int64)))
+            if found:
+                r, n, tokens, keys = zip(*found)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(r, pa.int64()), pa.array(n, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["row", "n", "tokens", "keys"])
 
     return read
 
@@ -254,21 +323,30 @@ def _few(pivot: DataFrame) -> bool:
     return pivot.count() <= BROADCAST_PIVOTS
 
 
-def similar_groups(own: DataFrame, gram: int = GRAM, sketches: tuple[Sketch, ...] = SKETCHES, block: int = BLOCK) -> DataFrame:
+def _sent(rows: DataFrame) -> DataFrame:
+    """A written table of row numbers, broadcast where it is small."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def similar_groups(own: DataFrame, gram: int = GRAM, sketches: tuple[Sketch, ...] | None = None, block: int = BLOCK) -> DataFrame:
     """(row, n_shingles, component) of every row of ``own`` (row, text); a component is its smallest row."""
     text = own.select("row", "text")
     held: list = []
-    for sketch in sketches:
+    for sketch in sketches or sketches_for(text):
         held.append((sketch, sketch.bits(text.select("text").mapInArrow(_sketching(sketch, list(held), gram), SENT))))
     sets = staged(text.mapInArrow(_reading(held, gram), SETS))
     same = ["k1", "k2", "n"]
-    classes = staged(sets.where("keys IS NOT NULL").groupBy(*same).agg(F.min("row").alias("first")))
-    firsts = classes.select(F.col("first").alias("row"))
-    edges = staged(sets.select("row", "keys").join(firsts, "row").select(F.explode("keys").alias("key"), F.col("row").alias("node")))
+    classes = staged(sets.where("k1 IS NOT NULL").groupBy(*same).agg(F.min("row").alias("first")))
+    distinct = staged(sets.select("row", "n", "tokens").join(_sent(classes.select(F.col("first").alias("row"))), "row"))
+    tally = sized(distinct.agg(F.sum(F.size("tokens"))).first()[0] or 0)
+    tallies = tally.bits(distinct.select("tokens").mapInArrow(_tallying(tally), SENT), tally=True)
+    prefixes = distinct.mapInArrow(_prefixing(tally, tallies), PREFIXES)
+    edges = staged(prefixes.select(F.explode("keys").alias("key"), F.col("row").alias("node")))
     several = edges.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
     family = components(edges.join(several, "key")).select(F.col("node").alias("row"), F.col("component").alias("family"))
     size = family.groupBy("family").agg(F.count("*").alias("size"))
-    members = staged(sets.select("row", "n", "tokens").join(family.join(size.where("size > 1"), "family"), "row"))
+    placed = staged(family.join(size.where("size > 1"), "family"))
+    members = staged(prefixes.select("row", "n", "tokens").join(_sent(placed), "row"))
     small = members.where(F.col("size") <= block)
     packs = max(1, -(-small.count() // PACK))
     found = small.withColumn("pack", F.pmod(F.xxhash64("family"), F.lit(packs))).groupBy("pack").applyInArrow(links_within, "a long, b long")
@@ -280,7 +358,7 @@ def similar_groups(own: DataFrame, gram: int = GRAM, sketches: tuple[Sketch, ...
     return joined.select("row", F.col("n").alias("n_shingles"), F.coalesce("component", "first", "row").alias("component"))
 
 
-def groups(docs: DataFrame, gram: int = GRAM, sketches: tuple[Sketch, ...] = SKETCHES, block: int = BLOCK) -> DataFrame:
+def groups(docs: DataFrame, gram: int = GRAM, sketches: tuple[Sketch, ...] | None = None, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
     own = keyed(docs)
     found = similar_groups(own, gram, sketches, block)

@@ -3,11 +3,13 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from meteoqc.llm import ngram_join as nj
+from meteoqc.llm import sketch as sk
 from meteoqc.llm.common import table
-from meteoqc.llm.sketch import Sketch
+from meteoqc.llm.sketch import SENT, Sketch
 
 SMALL = (Sketch(rows=1, cells=1 << 16, parts=4),) * 2
 
@@ -85,3 +87,30 @@ def test_first_of_groups_keeps_columns(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, row int")
     kept = nj.first_of_groups(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+
+
+def test_a_passage_of_many_documents_makes_no_large_family(spark, monkeypatch):
+    rows = list(enumerate(near_copies(5, 12, 8, 2)))
+    monkeypatch.setattr(nj, "large_family_links", lambda *_: pytest.fail("families are chained by the passage that all documents hold"))
+    assert got(nj.groups(spark.createDataFrame(rows, "doc_id long, text string"), block=16)) == brute(rows)
+
+
+def test_sketches_follow_the_text(spark):
+    def cells(n):
+        return [s.cells for s in nj.sketches_for(spark.range(n).selectExpr("repeat('abcd ', 20000) AS text"))]
+
+    assert cells(1000) == [1 << 25, 1 << 24] and cells(1) == [1 << 16] * 2
+
+
+@pytest.mark.parametrize("tally", [False, True])
+def test_large_sketch_is_read_part_by_part(spark, monkeypatch, tally):
+    sketch = Sketch(rows=2, cells=1 << 12, parts=8)
+    keys = np.arange(900, dtype=np.uint64)
+    often = np.concatenate([keys, keys[:300], keys[:100]])
+    sent = spark.createDataFrame([r for b in sketch.touched(often, tally) for r in b.to_pylist()], SENT)
+    merged = sketch.bits(sent, tally)
+    look = sketch.counts if tally else sketch.repeated
+    held = look(merged, keys)
+    assert (held[:100] >= 3).all() and (held[100:300] >= 2).all() and (held >= 1).all() if tally else held[:300].all() and not held.all()
+    monkeypatch.setattr(sk, "HELD", 0)
+    assert merged.large and (look(merged, keys) == held).all()
