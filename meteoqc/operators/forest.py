@@ -205,16 +205,37 @@ class LeafEffects:
 
     A leaf has at most one interval per feature, so a row meets one of ``2^k`` patterns of its ``k``
     conditions. ``effects`` holds a row of features for each of them, leaf after leaf from ``first``.
+    ``groups`` are runs of leaves; for each feature a group has the limits of its leaves in order and
+    a table of (stretch between limits, leaf) with the bits of the conditions that hold there.
     """
 
-    features: np.ndarray
-    lows: np.ndarray
-    highs: np.ndarray
-    bits: np.ndarray
+    groups: list[tuple[slice, list[tuple[int, np.ndarray, np.ndarray]]]]
     first: np.ndarray
     effects: np.ndarray
 
 
+LEAVES = 256
+
+
+def _condition_groups(feats: np.ndarray, lows: np.ndarray, highs: np.ndarray, bits: np.ndarray) -> list:
+    kind = np.min_scalar_type((1 << feats.shape[1]) - 1)  # all bits of a pattern
+    groups = []
+    for start in range(0, len(feats), LEAVES):
+        run, tables = slice(start, min(start + LEAVES, len(feats))), []
+        for f in np.unique(feats[run][bits[run] > 0]):
+            leaf, at = np.nonzero((feats[run] == f) & (bits[run] > 0))
+            low, high, bit = (a[run][leaf, at] for a in (lows, highs, bits))
+            limits = np.unique(np.concatenate([low[np.isfinite(low)], high[np.isfinite(high)]]))
+            stretch = np.arange(len(limits) + 1)[:, None]  # as many limits lie below a value in it
+            above = stretch > np.where(np.isfinite(low), np.searchsorted(limits, low), -1)
+            below = stretch <= np.where(np.isfinite(high), np.searchsorted(limits, high), len(limits))
+            table = np.zeros((len(limits) + 1, run.stop - run.start), kind)
+            table[:, leaf] = (above & below) * bit
+            tables.append((int(f), limits, table))
+        groups.append((run, tables))
+    return groups
+
+
 def leaf_effects(leaves: tuple[np.ndarray, ...], width: int) -> LeafEffects:
     """Shapley values of the path length at each leaf, with branch shares as background.
 
@@ -238,19 +259,24 @@ def leaf_effects(leaves: tuple[np.ndarray, ...], width: int) -> LeafEffects:
         phi = values[at, None, None] * (o - z) * acc
         rows = first[at][:, None, None] + np.arange(1 << n)[None, :, None]
         effects[rows, feats[at, None, :n]] = phi
-    return LeafEffects(feats, lows, highs, np.where(real, 1 << np.arange(feats.shape[1]), 0), first[:-1], effects)
+    return LeafEffects(_condition_groups(feats, lows, highs, np.where(real, 1 << np.arange(feats.shape[1]), 0)), first[:-1], effects)
 
 
-def attributions(leaves: LeafEffects, trees: int, x: np.ndarray, slice_rows: int = 32) -> np.ndarray:
-    """Shapley values of the mean path length: each row's pattern at every leaf looks up that leaf's effects."""
+def attributions(leaves: LeafEffects, trees: int, x: np.ndarray, slice_rows: int = 64) -> np.ndarray:
+    """Shapley values of the mean path length: each row's pattern at every leaf looks up that leaf's effects.
+
+    The patterns of a group of leaves are sums of one table row for each feature. Slices of rows and
+    groups of leaves are small enough for the effects at hand to stay in the processor's cache.
+    """
     out = np.zeros((len(x), leaves.effects.shape[1]))
-    for start in range(0, len(x), slice_rows):  # slices bound the memory of rows times leaves
-        part = x[start:start + slice_rows]
-        place = np.repeat(leaves.first[None], len(part), axis=0)
-        for j in range(leaves.features.shape[1]):
-            v = part[:, leaves.features[:, j]]
-            place += ((v > leaves.lows[:, j]) & (v <= leaves.highs[:, j])) * leaves.bits[:, j]
-        out[start:start + slice_rows] = leaves.effects[place].sum(1)
+    for start in range(0, len(x), slice_rows):
+        part = np.ascontiguousarray(x[start:start + slice_rows].T)
+        for run, tables in leaves.groups:
+            if not tables:  # no condition, no effect
+                continue
+            pattern = sum(table.take(np.searchsorted(limits, part[f]), axis=0) for f, limits, table in tables)
+            place = np.ascontiguousarray(pattern.T) + leaves.first[run][:, None]
+            out[start:start + slice_rows] += leaves.effects.take(place, axis=0).sum(0)
     return out / trees
 
 

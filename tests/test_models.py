@@ -179,3 +179,19 @@ def test_walk_in_slices_equals_one_row_at_a_time():
     arrays = fo.to_arrays(nodes)
     assert fo.path_lengths(arrays, x, slice_rows=7).tolist() == fo.path_lengths(arrays, x).tolist() == [length(r) for r in x]
     assert len(fo.path_lengths(arrays, x[:0])) == 0
+
+
+def test_patterns_come_from_one_table_row_for_each_feature():
+    rng = np.random.RandomState(5)
+    rows = [(t, *r) for t in range(9) for r in fo.grow(np.round(rng.randn(256, 5), 1), np.random.RandomState(t), 8)]
+    arrays = fo.to_arrays(pd.DataFrame(rows, columns=["tree", "node", "feature", "threshold", "left", "right", "size", "depth"]))
+    table = fo.leaf_table(arrays)
+    feats, lows, highs = table[:3]
+    leaves = fo.leaf_effects(table, 5)
+    x = np.concatenate([np.round(rng.randn(70, 5), 1), np.tile(arrays.threshold[arrays.feature >= 0][:70, None], (1, 5))])
+    want = np.zeros((len(x), 5))
+    for i, row in enumerate(x):
+        met = (row[feats] > lows) & (row[feats] <= highs) & (np.isfinite(lows) | np.isfinite(highs))
+        want[i] = leaves.effects[leaves.first + (met << np.arange(feats.shape[1])).sum(1)].sum(0) / 9
+    assert len(feats) > fo.LEAVES and len(leaves.groups) == -(-len(feats) // fo.LEAVES)
+    assert np.allclose(fo.attributions(leaves, 9, x), want, rtol=0, atol=1e-9)
