@@ -14,7 +14,7 @@ from meteoqc.operators.features import first_per_key, time_features
 from meteoqc.operators.profile import high_water
 from meteoqc.operators.quality import outside
 from meteoqc.operators.spatial import Network, spatial_context
-from meteoqc.schema import DECISION_BOUNDS, KEY, RH, SLP, TEMP, TS
+from meteoqc.schema import DECISION_BOUNDS, DEW, KEY, RH, SLP, STNP, TEMP, TS
 
 
 @dataclass(frozen=True)
@@ -47,6 +47,11 @@ GATE_DECISION = {
 ADVICE = {g: " ".join(ACTIONS.get(g, [AFTER_RECORD_ACTIONS])) for g in GATES}
 
 
+#: what the cascade reads of a reading; others of its columns pass through all exchanges
+READ = [KEY, TS, TEMP, RH, SLP, DEW, STNP, "elevation_m", "data_quality_status"]
+EVIDENCE = ["data_quality", "ml_anomaly", "temporal", "multivariate", "spatial"]
+
+
 def evidence(df: DataFrame, rules: Rules = Rules(), score: str = "score", ref: str = "1h") -> DataFrame:
     """Five evidence structs from feature and spatial columns (see ``evidence_inputs``)."""
     have = set(df.columns)
@@ -161,7 +166,8 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
 def evidence_inputs(obs: DataFrame, edges: DataFrame, ref: str = "24h", net: Network = Network()) -> DataFrame:
     """Feature and spatial columns of every reading, joined on (station, time)."""
     feats = time_features(obs, windows=(ref,), cols=[TEMP, RH, SLP], lags=(), ref=ref).withColumn("score", zscore_score(ref))
-    around = spatial_context(obs, edges, net).select(
+    timed = obs.filter(F.col(KEY).isNotNull() & F.col(TS).isNotNull())  # no other reading is joined, and none is a neighbour's match
+    around = spatial_context(timed, edges, net, timed=True).select(
         KEY, TS, "valid_neighbors", "stale_neighbors", "context_category", "coherence", "temp_similar", "temp_minus_mean", "temp_zscore",
         *[f"{v}_{s}" for v in ("temp", "rh", "slp") for s in ("idw", "n", "std", "km")])
     return feats.join(around, [KEY, TS], "left")

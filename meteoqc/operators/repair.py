@@ -53,12 +53,35 @@ def long_series(obs: DataFrame, variables: tuple[str, ...] = ("temp", "rh", "slp
 
 
 def with_history(probes: DataFrame, series: DataFrame, size: int = 12, seconds: int = FOUR_DAYS) -> DataFrame:
-    """Array ``history`` of the last ``size`` valid values strictly before each probe (empty if none)."""
-    valid = with_halo(series.filter(F.col("x").isNotNull()).select("series", TS, "x"), rows=size - 1, key=("series",), seconds=seconds)
-    w = Window.partitionBy("series", CHUNK).orderBy(TS).rowsBetween(-(size - 1), 0)
-    build = drop_halo(valid.withColumn("history", F.collect_list("x").over(w)), CHUNK).select("series", TS, "history")
-    out = as_of(probes, build, key="series", ts=TS, payload=["history"], name="_h", strict=True, seconds=seconds)
-    return out.withColumn("history", F.coalesce("_h.history", F.array().cast("array<double>"))).drop("_h")
+    """Array ``history`` of the last ``size`` valid values strictly before each probe (empty if none).
+
+    Values and probes are exchanged once, as single values; the arrays are put together where the
+    probes are. A chunk gets what it needs from before its start from the last values of each chunk.
+    """
+    set_key = F.coalesce(F.concat(F.lit("="), "series"), F.lit("")).alias("_s")  # never null, so that the chunks of an unnamed series are joined as well
+    values = with_chunk(series.filter(F.col("x").isNotNull()).select(set_key, TS, "x"), seconds=seconds)
+    asked = with_chunk(probes.select(set_key, TS, F.struct("*").alias("_probe")), seconds=seconds)
+    both = values.unionByName(asked, allowMissingColumns=True).withColumn("_side", F.when(F.col("_probe").isNull(), 0).otherwise(-1))
+    mine = Window.partitionBy("_s", CHUNK, "_side").orderBy(TS)
+    upto = Window.partitionBy("_s", CHUNK).orderBy(TS, "_side", "_n").rowsBetween(Window.unboundedPreceding, 0)
+    near = F.when(F.col("_side") == 0, F.collect_list("x").over(mine.rowsBetween(-(size - 1), 0)))
+    # one exchange for both windows
+    found = both.repartition("_s", CHUNK).withColumns({"_near": near, "_n": F.row_number().over(mine)}).withColumn("_near", F.last("_near", True).over(upto)).filter(F.col("_side") != 0)
+
+    newest = values.withColumn("_r", F.row_number().over(Window.partitionBy("_s", CHUNK).orderBy(F.col(TS).desc()))).filter(F.col("_r") <= size)
+    ends = newest.groupBy("_s", CHUNK).agg(F.array_compact(F.array(*[F.max(F.when(F.col("_r") == i, F.col("x"))) for i in range(size, 0, -1)])).alias("_end"))
+    chunks = asked.select("_s", CHUNK).unionByName(values.select("_s", CHUNK)).distinct().join(ends, ["_s", CHUNK], "left")
+    timed = F.col("_end").isNotNull() & F.col(CHUNK).isNotNull()
+    kept = Window.partitionBy("_s", timed).orderBy(CHUNK).rowsBetween(-(size - 1), 0)
+    before = Window.partitionBy("_s").orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.join(ends.filter(F.col(CHUNK).isNull()).select("_s", F.col("_end").alias("_untimed")), "_s", "left")  # values without a time come before all others
+    chunks = chunks.withColumn("_upto", F.when(timed, tail(F.flatten(F.collect_list("_end").over(kept)), size)))
+    carried = chunks.select("_s", CHUNK, F.last("_upto", True).over(before).alias("_before"), "_untimed")
+    none = F.array().cast("array<double>")
+    out = found.join(carried, ["_s", CHUNK], "left")
+    history = (F.when(F.col("_near").isNotNull(), tail(F.concat(F.coalesce("_before", none), F.col("_near")), size))
+               .when(F.col("_s") != "", F.coalesce("_before", "_untimed", none)).otherwise(none))
+    return out.select("_probe.*", history.alias("history"))
 
 
 def with_next_value(probes: DataFrame, series: DataFrame, seconds: int = FOUR_DAYS) -> DataFrame:

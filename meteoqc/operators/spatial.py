@@ -181,22 +181,26 @@ READING = [TS, "temp", "rh", "slp", "d_temp", "d_rh", "d_slp"]
 
 
 def neighbour_matches(obs: DataFrame, edges: DataFrame, net: Network = Network(), *, causal: bool = True,
-                      seconds: int = FOUR_DAYS) -> DataFrame:
+                      seconds: int = FOUR_DAYS, timed: bool = False) -> DataFrame:
     """One row per (reading, neighbour) with the neighbour's reading nearest in time.
 
     ``causal``: latest at or before the reading; otherwise the nearest on either side, the earlier
     one on a tie. Readings beyond the tolerance stay, marked ``is_stale``. The narrow series is
-    written once, because probes, candidates and their chunk totals all read it.
+    written once, because probes, candidates and their chunk totals all read it. ``timed``: every
+    reading has a station and a time. Then only these two are looked up, once for all readings that
+    share them, and the values join the matches by (station, time), which places them for ``consensus``.
     """
     series = staged(with_deltas(obs, seconds).select(KEY, *READING))
     links = edges.select(KEY, "neighbor_id", "distance_km", "rank")
-    probes = series.join(links, KEY)
+    probes = (series.select(KEY, TS).distinct() if timed else series).join(links, KEY)
     build = series.select(F.col(KEY).alias("neighbor_id"), *READING)
     found = as_of(probes, build, key="neighbor_id", ts=TS, payload=READING, name="n", seconds=seconds)
     if not causal:
         found = as_of(found, build, key="neighbor_id", ts=TS, payload=READING, name="f", forward=True, seconds=seconds)
         back, ahead = F.unix_micros(TS) - F.unix_micros("n.obs_ts"), F.unix_micros("f.obs_ts") - F.unix_micros(TS)
         found = found.withColumn("n", F.when(F.col("n").isNull() | (ahead < back), F.coalesce("f", "n")).otherwise(F.col("n"))).drop("f")
+    if timed:
+        found = series.hint("merge").join(found, [KEY, TS])  # a broadcast would leave them by neighbour
     seconds_off = (F.unix_micros("n.obs_ts") - F.unix_micros(TS)) / 1_000_000.0
     found = found.withColumn("time_delta_seconds", seconds_off)
     stale = F.abs("time_delta_seconds") > net.tolerance_minutes * 60.0
@@ -242,11 +246,11 @@ def _median(values: list[Column], n: Column) -> Column:
     return F.when(n > 0, (F.get(s, low.cast("int")) + F.get(s, high.cast("int"))) / 2.0)
 
 
-def consensus(matches: DataFrame, net: Network = Network()) -> DataFrame:
+def consensus(matches: DataFrame, net: Network = Network(), placed: bool = False) -> DataFrame:
     """Agreement of each reading with its neighbours, all three variables in one aggregate.
 
     The narrow matches are exchanged, not the wide partial aggregates, of which there would be one
-    for each match. Below 100 buffers the aggregate is also compiled (``spark.sql.codegen.maxFields``).
+    for each match; ``placed`` ones lie by (station, time) already. Below 100 buffers the aggregate is also compiled (``spark.sql.codegen.maxFields``).
     """
     aggs = [
         F.count(F.when(F.col("n").isNotNull(), 1)).alias("matched_neighbors"),
@@ -257,7 +261,7 @@ def consensus(matches: DataFrame, net: Network = Network()) -> DataFrame:
     ]
     for v in VARS:
         aggs += _consensus(v, net)
-    out = matches.repartition(KEY, TS).groupBy(KEY, TS).agg(*aggs)
+    out = (matches if placed else matches.repartition(KEY, TS)).groupBy(KEY, TS).agg(*aggs)
     ranked = {v: [F.col(f"_{v}_{i}") for i in range(net.k)] for v in VARS}
     out = out.withColumns({"nearest_temp": F.coalesce(*ranked["temp"]), **{f"{v}_median": _median(ranked[v], F.col(f"{v}_n")) for v in VARS}})
     out = out.drop(*[f"_{v}_{i}" for v in VARS for i in range(net.k)])
@@ -318,8 +322,8 @@ def context(cons: DataFrame, net: Network = Network()) -> DataFrame:
     )
 
 
-def spatial_context(obs: DataFrame, edges: DataFrame, net: Network = Network(), seconds: int = FOUR_DAYS) -> DataFrame:
-    return context(consensus(neighbour_matches(obs, edges, net, seconds=seconds), net), net)
+def spatial_context(obs: DataFrame, edges: DataFrame, net: Network = Network(), seconds: int = FOUR_DAYS, timed: bool = False) -> DataFrame:
+    return context(consensus(neighbour_matches(obs, edges, net, seconds=seconds, timed=timed), net, placed=timed), net)
 
 
 def trailing_neighbours(obs: DataFrame, edges: DataFrame, col: str = TEMP, minutes: int = 15,

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meteoqc.functions.numeric import hash_bucket
+from meteoqc.operators import decision as dc
 from meteoqc.operators import health as hl
 from meteoqc.operators import lookups as lk
 from meteoqc.operators import repair as rp
 from meteoqc.operators import spatial as sp
 from meteoqc.operators.staging import staged
 from meteoqc.plans.common import oracle, publish
-from meteoqc.plans.decision_plans import DECIDED, HEALTH, HEALTH_CTE, SUMMARY_CTE, decided_table, edges_of
+from meteoqc.plans.decision_plans import DECIDED, HEALTH, HEALTH_CTE, SUMMARY_CTE, edges_of
+from meteoqc.plans.decision_plans import RULES as DECISION_RULES
 from meteoqc.plans.ingest_plans import VIOLATIONS
 from meteoqc.plans.spatial_plans import CONTEXT, P
 from meteoqc.schema import KEY, TEMP, TS
@@ -37,7 +39,8 @@ def series(obs):
 
 
 def recommended(obs):
-    d = decided_table(obs)
+    used = [*dc.READ[:-1], "decision", "severity", "data_quality", "temporal", "spatial", *[f"{v}_{s}" for v in rp.CANONICAL for s in ("idw", "n", "std", "km")]]
+    d = staged(dc.decisions(obs.select(*dc.READ), edges_of(obs), DECISION_RULES).select(*used))
     return rp.recommend(rp.correction_inputs(d, rules=RULES), hl.station_health(d, HEALTH), RULES), d
 
 
