@@ -252,12 +252,13 @@ def consensus(matches: DataFrame, net: Network = Network(), placed: bool = False
     The narrow matches are exchanged, not the wide partial aggregates, of which there would be one
     for each match; ``placed`` ones lie by (station, time) already. Below 100 buffers the aggregate is also compiled (``spark.sql.codegen.maxFields``).
     """
+    any_of = F.last if placed else F.first  # readings that share station and time: one of them speaks for all
     aggs = [
         F.count(F.when(F.col("n").isNotNull(), 1)).alias("matched_neighbors"),
         F.count(F.when(F.col("is_valid"), 1)).alias("valid_neighbors"),
         F.count(F.when(F.col("is_stale"), 1)).alias("stale_neighbors"),
         F.avg(F.when(F.col("is_valid"), F.col("distance_km"))).alias("valid_mean_km"),
-        *[F.first(v).alias(v) for v in VARS], *[F.first(f"d_{v}").alias(f"d_{v}") for v in VARS],
+        *[any_of(v).alias(v) for v in VARS], *[any_of(f"d_{v}").alias(f"d_{v}") for v in VARS],
     ]
     for v in VARS:
         aggs += _consensus(v, net)
